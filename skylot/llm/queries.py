@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, mixing
+from skylot.llm import chat, mixing, packing
 from skylot.llm.common import read
 
 #: A conversation whose texts hold the control strings themselves.
@@ -22,9 +22,21 @@ def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def vocabulary() -> str:
+    """Where the word tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES = {
     "op2_chat_template": op2_chat_template,
     "op6_pivotal_mix": op6_pivotal_mix,
+    "op7_tiered_packing": op7_tiered_packing,
 }
 #: Control strings as the template escapes them, for SQL: each gets a backslash.
 _CONTROL = r"\\|</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|role\|>|<\|text\|>|<\|end\|>"
