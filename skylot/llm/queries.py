@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, mixing, packing
+from skylot.llm import chat, mixing, packing, secrets
 from skylot.llm.common import read
 
 #: A conversation whose texts hold the control strings themselves.
@@ -33,10 +33,15 @@ def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_chat_template": op2_chat_template,
     "op6_pivotal_mix": op6_pivotal_mix,
     "op7_tiered_packing": op7_tiered_packing,
+    "op9_entropy_secrets": op9_entropy_secrets,
 }
 #: Control strings as the template escapes them, for SQL: each gets a backslash.
 _CONTROL = r"\\|</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|role\|>|<\|text\|>|<\|end\|>"
