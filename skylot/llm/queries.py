@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, mixing, packing, secrets
+from skylot.llm import chat, licenses, mixing, packing, secrets
 from skylot.llm.common import read
 
 #: A conversation whose texts hold the control strings themselves.
@@ -17,6 +17,10 @@ def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(trap)))
 
 
+def op5_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(read(spark, sf_dir, "documents"))
+
+
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
@@ -39,6 +43,7 @@ def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_template": op2_chat_template,
+    "op5_diagonal_licenses": op5_diagonal_licenses,
     "op6_pivotal_mix": op6_pivotal_mix,
     "op7_tiered_packing": op7_tiered_packing,
     "op9_entropy_secrets": op9_entropy_secrets,
