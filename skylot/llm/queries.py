@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, licenses, mixing, packing, secrets
+from skylot.llm import chat, licenses, media, mixing, packing, secrets
 from skylot.llm.common import read
 
 #: A conversation whose texts hold the control strings themselves.
@@ -37,6 +37,10 @@ def op7_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored(read(spark, sf_dir, "documents")))
+
+
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op5_diagonal_licenses": op5_diagonal_licenses,
     "op6_pivotal_mix": op6_pivotal_mix,
     "op7_tiered_packing": op7_tiered_packing,
+    "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_entropy_secrets": op9_entropy_secrets,
 }
 #: Control strings as the template escapes them, for SQL: each gets a backslash.
