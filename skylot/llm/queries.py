@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, licenses, media, mixing, packing, secrets
+from skylot.llm import chat, licenses, media, mixing, packing, secrets, toxicity
 from skylot.llm.common import read
 
 #: A conversation whose texts hold the control strings themselves.
@@ -45,6 +45,11 @@ def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(read(spark, sf_dir, "documents"))
 
 
+def op10_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_chat_template": op2_chat_template,
     "op5_diagonal_licenses": op5_diagonal_licenses,
@@ -52,6 +57,7 @@ QUERIES = {
     "op7_tiered_packing": op7_tiered_packing,
     "op8_progressive_jpeg": op8_progressive_jpeg,
     "op9_entropy_secrets": op9_entropy_secrets,
+    "op10_noisy_toxicity": op10_noisy_toxicity,
 }
 #: Control strings as the template escapes them, for SQL: each gets a backslash.
 _CONTROL = r"\\|</s>|<s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|role\|>|<\|text\|>|<\|end\|>"
