@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, licenses, media, mixing, packing, secrets, toxicity
+from skylot.llm import chat, licenses, media, mixing, packing, pii, secrets, toxicity
 from skylot.llm.common import read
 
 #: A conversation whose texts hold the control strings themselves.
@@ -17,6 +17,10 @@ def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(trap)))
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(read(spark, sf_dir, "documents"))
+
+
 def op5_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_template": op2_chat_template,
+    "op4_bootstrapped_pii": op4_bootstrapped_pii,
     "op5_diagonal_licenses": op5_diagonal_licenses,
     "op6_pivotal_mix": op6_pivotal_mix,
     "op7_tiered_packing": op7_tiered_packing,
