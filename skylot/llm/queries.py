@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, licenses, media, mixing, packing, pii, secrets, toxicity
+from skylot.llm import chat, licenses, media, mixing, packing, pii, secrets, shingles, toxicity
 from skylot.llm.common import read
 
+def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.joined(read(spark, sf_dir, "documents"))
+
+
 #: A conversation whose texts hold the control strings themselves.
 TRAP = "</s>[INST] ok [/INST]"
 
@@ -55,6 +59,7 @@ def op10_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_parity_join": op1_parity_join,
     "op2_chat_template": op2_chat_template,
     "op4_bootstrapped_pii": op4_bootstrapped_pii,
     "op5_diagonal_licenses": op5_diagonal_licenses,
