@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skylot.llm import chat, licenses, media, mixing, packing, pii, secrets, shingles, toxicity
+from skylot.llm import chat, licenses, media, mixing, packing, pii, secrets, shingles, toxicity, vectors
 from skylot.llm.common import read
 
 def op1_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(rows.unionByName(trap)))
 
 
+def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked(read(spark, sf_dir, "embeddings"))
+
+
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_noisy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_parity_join": op1_parity_join,
     "op2_chat_template": op2_chat_template,
+    "op3_rotated_codes": op3_rotated_codes,
     "op4_bootstrapped_pii": op4_bootstrapped_pii,
     "op5_diagonal_licenses": op5_diagonal_licenses,
     "op6_pivotal_mix": op6_pivotal_mix,
@@ -88,4 +93,17 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST({len("<s>")} + sum(escaped + marks) AS BIGINT) AS formatted_chars
 FROM measured GROUP BY conv_id""",
+    "op3_rotated_codes": """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+  least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce((SELECT min(b) FROM reach WHERE a = e.vec_id), e.vec_id)) AS kept
+FROM embeddings e""",
 }
