@@ -1,0 +1,75 @@
+"""Routing heuristics: one run or window is one group, and groups run side by side.
+
+Inside a group the search is sequential by nature, so it is a grouped pandas function; what goes in
+and comes out are plain tables, and everything around it stays in DataFrame plans.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+LEGS = "label string, drone int, seq int, demand_id long, leg_m double, arrival_s double, priority int"
+
+
+def route_length(points: np.ndarray, order: list[int]) -> float:
+    """From the depot at the origin along the stops and back."""
+    path = np.vstack([np.zeros(2), points[order], np.zeros(2)])
+    return float(np.hypot(*np.diff(path, axis=0).T).sum())
+
+
+def improved(points: np.ndarray, order: list[int]) -> list[int]:
+    """Relocations and reversals until none shortens the route."""
+    best, gain = route_length(points, order), True
+    while gain:
+        gain = False
+        for i in range(len(order)):
+            for j in range(len(order)):
+                if i == j:
+                    continue
+                moved = order[:i] + order[i + 1:]
+                tries = [moved[:j] + [order[i]] + moved[j:]]
+                if i < j:
+                    tries.append(order[:i] + order[i:j + 1][::-1] + order[j + 1:])
+                for t in tries:
+                    if (n := route_length(points, t)) < best - 1e-9:
+                        order, best, gain = t, n, True
+    return order
+
+
+def assign(rows: pd.DataFrame, drones: int, capacity: float, speed: float, polish: bool) -> pd.DataFrame:
+    """Greedy bundles of one window: the most urgent demand that fits goes to the drone and place in its
+    route where it costs least. Ties: the shorter detour, then the smaller drone."""
+    rows = rows.sort_values(["priority", "demand_id"], ignore_index=True)
+    points, load = rows[["x", "y"]].to_numpy(float), np.zeros(drones)
+    routes: list[list[int]] = [[] for _ in range(drones)]
+    for i in range(len(rows)):
+        weight, best = rows.at[i, "weight_kg"], None
+        for k in range(drones):
+            if load[k] + weight > capacity:
+                continue
+            now = route_length(points, routes[k])
+            for at in range(len(routes[k]) + 1):
+                cost = route_length(points, routes[k][:at] + [i] + routes[k][at:]) - now
+                if best is None or (cost, k, at) < best:
+                    best = (cost, k, at)
+        if best:
+            _, k, at = best
+            routes[k].insert(at, i)
+            load[k] += weight
+    out = []
+    for k, route in enumerate(routes):
+        route = improved(points, route) if polish else route
+        here, clock = np.zeros(2), 0.0
+        for seq, i in enumerate(route):
+            leg = float(np.hypot(*(points[i] - here)))
+            clock, here = clock + leg / speed, points[i]
+            out.append((rows.at[i, "label"], k, seq, int(rows.at[i, "demand_id"]), leg, clock, int(rows.at[i, "priority"])))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in LEGS.split(", ")])
+
+
+def assigned(windows: DataFrame, drones: int = 3, capacity: float = 60.0, speed: float = 15.0, polish: bool = False) -> DataFrame:
+    """(label, demand_id, priority, weight_kg, x, y) -> LEGS. A window is what one solver call sees, so
+    a group has a window's demands and no more."""
+    return windows.groupBy("label").applyInPandas(lambda g: assign(g, drones, capacity, speed, polish), LEGS)

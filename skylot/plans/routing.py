@@ -1,0 +1,64 @@
+"""Queries over window-parallel routing; invariants in the tests take the place of SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skylot.functions.scalars import q6
+from skylot.operators import pareto
+from skylot.operators.routing import assigned
+from skylot.registry import query
+from skylot.sources.lens import demands
+
+
+def windows(spark, d):
+    """Feasible demands with places in metres around the depot."""
+    at = lambda c, m: ((F.col(c) * m) % 4001 - 2000).cast("double")
+    return demands(spark, d).filter("weight_kg <= 60").select("label", "demand_id", "priority", "weight_kg", at("demand_id", 7919).alias("x"), at("demand_id", 6101).alias("y"))
+
+
+@query("greedy_assignment")
+def greedy_assignment(spark, d):
+    return assigned(windows(spark, d)).withColumns({c: q6(F.col(c)) for c in ("leg_m", "arrival_s")})
+
+
+@query("local_search_gain")
+def local_search_gain(spark, d):
+    """How much shorter local search makes each drone's greedy route."""
+    def lengths(polish, name):
+        return assigned(windows(spark, d), polish=polish).groupBy("label", "drone").agg(F.sum("leg_m").alias(name))
+    return lengths(False, "greedy_m").join(lengths(True, "improved_m"), ["label", "drone"]).select("label", "drone", q6(F.col("greedy_m")).alias("greedy_m"), q6(F.col("improved_m")).alias("improved_m"))
+
+
+@query("gantt_legs")
+def gantt_legs(spark, d):
+    """Flight legs as intervals: a leg starts where the drone's last one ended."""
+    order = Window.partitionBy("label", "drone").orderBy("seq")
+    rows = assigned(windows(spark, d))
+    return rows.select("label", "drone", "seq", "demand_id", q6(F.coalesce(F.lag("arrival_s").over(order), F.lit(0.0))).alias("start_s"), q6(F.col("arrival_s")).alias("end_s"))
+
+
+@query("sim_run_summary")
+def sim_run_summary(spark, d):
+    """Run summary of every window: demands, served ones, distance, latency, drones used."""
+    need = windows(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("demands"))
+    run = assigned(windows(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("served"), q6(F.sum("leg_m")).alias("distance_m"), q6(F.avg("arrival_s")).alias("mean_s"), q6(F.max("arrival_s")).alias("max_s"), F.count_distinct("drone").alias("used_drones"))
+    return need.join(run, "label", "left").withColumn("service_rate", q6(F.coalesce("served", F.lit(0)) / F.col("demands")))
+
+
+@query("snapshot_at")
+def snapshot_at(spark, d):
+    """What each window has served one minute after it began, and what is still on its way."""
+    return assigned(windows(spark, d)).groupBy("label").agg(F.count_if(F.col("arrival_s") <= 60).alias("served"), F.count_if(F.col("arrival_s") > 60).alias("assigned"))
+
+
+@query("fleet_size_frontier")
+def fleet_size_frontier(spark, d):
+    """Fleets of one to four drones for one day's windows: distance against mean time, the front of it."""
+    day = windows(spark, d).filter("label < '2024-01-02'")
+    runs = None
+    for n in (1, 2, 3, 4):
+        run = assigned(day, drones=n).agg(F.lit(n).cast("double").alias("drones"), F.sum("leg_m").alias("distance"), F.avg("arrival_s").alias("time"), (-F.count(F.lit(1))).cast("double").alias("unserved"))
+        runs = run if runs is None else runs.unionByName(run)
+    return pareto.frontier(runs, ("drones", "distance", "time", "unserved")).select(*(q6(F.col(c)).alias(c) for c in ("drones", "distance", "time", "unserved")))
