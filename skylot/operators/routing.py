@@ -1,25 +1,35 @@
-"""Routing heuristics: one run or window is one group, and groups run side by side.
+"""Routing heuristics: one run or window is one row of demands, and windows run side by side.
 
-Inside a group the search is sequential by nature, so it is a grouped pandas function; what goes in
-and comes out are plain tables, and everything around it stays in DataFrame plans.
+Inside a window the search is sequential by nature, so it is a function of the window's demands; Spark
+gathers a window (what one solver call sees) into an array, deals the windows out and runs the function
+over Arrow batches. What goes in and comes out are plain tables.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+from math import hypot
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEGS = "label string, drone int, seq int, demand_id long, leg_m double, arrival_s double, priority int"
+_SCHEMA = pa.schema([("label", pa.string()), ("drone", pa.int32()), ("seq", pa.int32()), ("demand_id", pa.int64()),
+                     ("leg_m", pa.float64()), ("arrival_s", pa.float64()), ("priority", pa.int32())])
+Point = tuple[float, float]
 
 
-def route_length(points: np.ndarray, order: list[int]) -> float:
+def route_length(points: list[Point], order: list[int]) -> float:
     """From the depot at the origin along the stops and back."""
-    path = np.vstack([np.zeros(2), points[order], np.zeros(2)])
-    return float(np.hypot(*np.diff(path, axis=0).T).sum())
+    x = y = total = 0.0
+    for i in order:
+        total += hypot(points[i][0] - x, points[i][1] - y)
+        x, y = points[i]
+    return total + hypot(x, y)
 
 
-def improved(points: np.ndarray, order: list[int]) -> list[int]:
+def improved(points: list[Point], order: list[int]) -> list[int]:
     """Relocations and reversals until none shortens the route."""
     best, gain = route_length(points, order), True
     while gain:
@@ -38,16 +48,16 @@ def improved(points: np.ndarray, order: list[int]) -> list[int]:
     return order
 
 
-def assign(rows: pd.DataFrame, drones: int, capacity: float, speed: float, polish: bool) -> pd.DataFrame:
-    """Greedy bundles of one window: the most urgent demand that fits goes to the drone and place in its
-    route where it costs least. Ties: the shorter detour, then the smaller drone."""
-    rows = rows.sort_values(["priority", "demand_id"], ignore_index=True)
-    points, load = rows[["x", "y"]].to_numpy(float), np.zeros(drones)
+def assign(demands: list[dict], drones: int, capacity: float, speed: float, polish: bool) -> list[tuple]:
+    """Greedy bundles of one window, its demands in order of urgency: the next one goes to the drone and
+    place in its route where it costs least, if it fits. Ties: the smaller drone, then the earlier place.
+    Gives (drone, seq, demand_id, leg_m, arrival_s, priority)."""
+    points, load = [(d["x"], d["y"]) for d in demands], [0.0] * drones
     routes: list[list[int]] = [[] for _ in range(drones)]
-    for i in range(len(rows)):
-        weight, best = rows.at[i, "weight_kg"], None
+    for i, d in enumerate(demands):
+        best = None
         for k in range(drones):
-            if load[k] + weight > capacity:
+            if load[k] + d["weight_kg"] > capacity:
                 continue
             now = route_length(points, routes[k])
             for at in range(len(routes[k]) + 1):
@@ -57,19 +67,27 @@ def assign(rows: pd.DataFrame, drones: int, capacity: float, speed: float, polis
         if best:
             _, k, at = best
             routes[k].insert(at, i)
-            load[k] += weight
+            load[k] += d["weight_kg"]
     out = []
     for k, route in enumerate(routes):
-        route = improved(points, route) if polish else route
-        here, clock = np.zeros(2), 0.0
-        for seq, i in enumerate(route):
-            leg = float(np.hypot(*(points[i] - here)))
-            clock, here = clock + leg / speed, points[i]
-            out.append((rows.at[i, "label"], k, seq, int(rows.at[i, "demand_id"]), leg, clock, int(rows.at[i, "priority"])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in LEGS.split(", ")])
+        x = y = clock = 0.0
+        for seq, i in enumerate(improved(points, route) if polish else route):
+            leg = hypot(points[i][0] - x, points[i][1] - y)
+            (x, y), clock = points[i], clock + leg / speed
+            out.append((k, seq, demands[i]["demand_id"], leg, clock, demands[i]["priority"]))
+    return out
 
 
 def assigned(windows: DataFrame, drones: int = 3, capacity: float = 60.0, speed: float = 15.0, polish: bool = False) -> DataFrame:
-    """(label, demand_id, priority, weight_kg, x, y) -> LEGS. A window is what one solver call sees, so
-    a group has a window's demands and no more."""
-    return windows.groupBy("label").applyInPandas(lambda g: assign(g, drones, capacity, speed, polish), LEGS)
+    """(label, demand_id, priority, weight_kg, x, y) -> LEGS."""
+    demand = F.struct("priority", "demand_id", "weight_kg", "x", "y")
+    gathered = windows.groupBy("label").agg(F.sort_array(F.collect_list(demand)).alias("demands"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(label, *leg) for label, demands in zip(*(batch.column(c).to_pylist() for c in ("label", "demands")), strict=True)
+                    for leg in assign(demands, drones, capacity, speed, polish)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+
+    return gathered.mapInArrow(run, LEGS)
