@@ -148,5 +148,6 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns it has."""
     sized = staged(sizes(docs), "sizes")
     decided = copies(sized, **how).filter("copies > 0").select("doc_id", "source", F.col("copies").alias("_copies"))
-    return (_with_copies(docs, decided).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*(F.col(f"`{c}`") for c in docs.columns)))
+    whole = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))  # its names clash with none
+    repeated = _with_copies(whole, decided).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -10,12 +10,12 @@ the allow-list knows its form (UUIDs, running alphabets, placeholders) or a patt
 Every row is worked on by itself: no shuffle, nothing is collected.
 
 Cases: null text is empty and has no spans; repeated rows have equal results; texts of any length are
-scanned whole; an empty table gives an empty one; columns beside doc_id and text aren't read.
+scanned whole; an empty table gives an empty one; findings() doesn't read columns beside doc_id and
+text, redacted() keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,5 +130,6 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
-    rows = scanned(docs).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")  # its names clash with none
+    rows = scanned(whole).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
