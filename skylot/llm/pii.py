@@ -1,7 +1,7 @@
 """Personal data: patterns for the base, and bootstrapped contextual extraction for the rest.
 
 Seeds are the spans that the base patterns find. Every identifier-like token of every text, seed or
-not, is an instance, seen in contexts: the words before it, the word after it and the token's shape.
+not, is an instance, seen in contexts: the words before it, alone or with the word after it or the token's shape.
 Contexts and instances make a bipartite graph, a row an edge. Rounds of scoring go to and fro:
 a context is as reliable as the instances seen in it (weighed down while it has seen few), an
 unknown token as reliable as its best contexts. Contexts that stay reliable after the last round are
@@ -95,12 +95,13 @@ def _word_after(text: str, stop: int) -> str:
 
 
 def _contexts(text: str, start: int, stop: int) -> list[str]:
-    """Lexical patterns of a place: the two words before, the word before with the shape and the word
-    on either side with the shape."""
+    """Lexical patterns of a place: the two words before, with the shape and (where there are two) for
+    any shape; the word before with the shape; the word on either side with the shape."""
     form = shape(text[start:stop])
     before = _words_before(text, start)
-    last = before.rpartition(" ")[2]
-    return [f"b2|{before}|{form}", f"b1|{last}|{form}", f"ba|{last}|{_word_after(text, stop)}|{form}"]
+    first, _, last = before.rpartition(" ")
+    shaped = [f"b2|{before}|{form}", f"b1|{last}|{form}", f"ba|{last}|{_word_after(text, stop)}|{form}"]
+    return [*shaped, f"l2|{before}"] if first else shaped
 
 
 def instances(text: str) -> list[tuple[int, int, str | None]]:
