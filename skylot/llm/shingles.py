@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +39,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylot.llm.common import LOWER, SPACE, UPPER, components, staged
+from skylot.llm.common import LOWER, UPPER, components, staged
 
 N, PERCENT = 4, 85
 #: Band borders grow by this factor; blocks beyond the most that can differ, as a share.
 GROWTH, SPARE = 1.5, 0.07
 SKETCH_WORDS = 32
-_LOWER = str.maketrans(UPPER, LOWER)
-_SPACE = re.compile(SPACE)
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Word hashes that a Python worker keeps at most.
+KEPT = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,17 +58,23 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(200_000)
-def _word(word: str) -> int:
-    return xxhash.xxh64_intdigest(word)
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_hashes = _Hashes()
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """The sorted distinct hashes of a text's word n-grams."""
-    words = [w for w in _SPACE.split((text or "").translate(_LOWER)) if w]
+    words = (text or "").encode().translate(_LOWER).split()  # bytes are split at SPACE only
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word, words), np.uint64, len(words))
+    hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     out = np.full(max(1, len(words) - n + 1), min(len(words), n), np.uint64)
     for i in range(min(len(words), n)):
         out = mixed_bits(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i:i + len(out)])
