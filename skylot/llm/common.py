@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Spark's own switch that deletes a query's shuffle files when it ends, not when the driver collects garbage.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folder: list[str] = []
 
 
@@ -30,12 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """df written to the shared folder as Parquet and read again: cuts its lineage, survives lost
-    executors, and later readers don't compute it anew. Goes when the application ends."""
+    executors, and later readers don't compute it anew, so that its shuffle files go at once. Goes when
+    the application ends. batch_rows: rows of an Arrow batch, for wide rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skylot-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    settings = {FREES_SHUFFLES: "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {})
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
