@@ -13,13 +13,15 @@ they are left out where k - d exceeds their number, which no linked pair can mis
 
 The join never makes all pairs of a group. First every shared block links its members to one pivot,
 the member with the most shared blocks; these pairs are verified and the links contracted. Only pairs
-that share a block across the components so found are then compared, by the Hamming distance of
-2048-bit parity sketches in the join itself, which never exceeds the symmetric difference; what
-passes is verified. Verified means: counted on the sets made from the texts.
+that share a block across the components so found are then compared. Before any pair is verified, the
+Hamming distance of its 2048-bit parity sketches, which never exceeds the symmetric difference, has to
+allow a link. Verified means: counted on the sets made from the texts.
 
 Spark side: texts with equal sets are one class from the start; block keys are emitted once a class
-and partition, pre-aggregated, and kept only where two classes share one. Every stage between joins
-is written to the shared folder.
+and partition, and go through one shuffle as arrays, by ranges of the key. A chunk of keys sends its
+smallest and largest class of a key there, whatever the number between them, so that a common block
+cannot fill a range; only blocks that two classes share are kept. Every stage between joins is written
+to the shared folder.
 
 Cases: null, empty and blank texts have no set and link with nothing (component: their own doc_id);
 fewer words than four make one shingle; rows that repeat a doc_id have its smallest component; a null
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +49,12 @@ N, PERCENT = 4, 85
 GROWTH, SPARE = 1.5, 0.07
 SKETCH_WORDS = 32
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Block keys that a task sorts at once; about as many, or fewer, meet in a range.
+CHUNK = 1 << 19
+#: Ids that are broadcast at most, 8 bytes each, to pick texts where they lie; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+#: Pairs of texts in an Arrow batch: texts may be very long.
+PAIR_ROWS = 100
 #: Word hashes that a Python worker keeps at most.
 KEPT = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,8 +168,79 @@ def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(digest, SET)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and their classes, CHUNK at most at a time."""
+    kept, size = [], 0
+    for batch in batches:
+        lists = batch.column("keys")
+        keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        classes = np.repeat(batch.column("class").to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(keys):
+            taken = min(len(keys) - at, CHUNK - size)
+            kept.append((keys[at:at + taken], classes[at:at + taken]))
+            at, size = at + taken, size + taken
+            if size == CHUNK:
+                yield np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept])
+                kept, size = [], 0
+    if kept:
+        yield np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept])
+
+
+def _by_key(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and where a key's first and last pair is."""
+    order = np.lexsort((classes, keys))
+    keys, classes = keys[order], classes[order]
+    other = keys[1:] != keys[:-1]
+    fresh = np.concatenate([[True], other | (classes[1:] != classes[:-1])])[:len(keys)]
+    keys, classes = keys[fresh], classes[fresh]
+    other = keys[1:] != keys[:-1]
+    return keys, classes, np.concatenate([[True], other])[:len(keys)], np.concatenate([other, [True]])[:len(keys)]
+
+
+def shared_blocks(found: DataFrame) -> DataFrame:
+    """SET -> (key, class) for keys that two classes or more have, each once.
+
+    A chunk's smallest and largest class of a key go to the key's range. Those between them, if any, are
+    shared whatever is elsewhere: they go through in a group of their own, whose number is negative."""
+    spark = found.sparkSession
+    total = found.agg(F.sum("n_shingles")).first()[0] or 0  # a set has fewer keys than shingles
+    ranges = max(total // CHUNK + 1, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, classes in _chunks(batches):
+            keys, classes, first, last = _by_key(keys, classes)
+            ends = first | last
+            at = (((keys[ends] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            numbers, offsets = at[starts], np.append(starts, len(at))
+            sent_keys, sent_classes = keys[ends], classes[ends]
+            if not ends.all():
+                own = int(xxhash.xxh64_intdigest(keys.tobytes(), seed=2)) >> 1
+                numbers, offsets = np.append(numbers, -1 - own), np.append(offsets, len(keys))
+                sent_keys, sent_classes = np.append(sent_keys, keys[~ends]), np.append(sent_classes, classes[~ends])
+            offsets = pa.array(offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sent_keys.view(np.int64))),
+                 pa.ListArray.from_arrays(offsets, pa.array(sent_classes))], ["range", "keys", "classes"])
+
+    def meet(dealt: pa.Table) -> pa.Table:
+        keys, classes = (pc.list_flatten(dealt[c]).to_numpy() for c in ("keys", "classes"))
+        if dealt["range"][0].as_py() >= 0:
+            keys, classes, first, last = _by_key(keys, classes)
+            shared = ~(first & last)
+            keys, classes = keys[shared], classes[shared]
+        return pa.table({"key": pa.array(keys, pa.int64()), "class": pa.array(classes, pa.int64())})
+
+    dealt = found.filter("keys IS NOT NULL").select("class", "keys").mapInArrow(deal, "range long, keys array<long>, classes array<long>")
+    return dealt.groupBy("range").applyInArrow(meet, "key long, class long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of doc_ids that link, counted on the sets of texts (doc_id, text)."""
+    """Pairs (a, b) of doc_ids that link, counted on the sets of texts (doc_id, text). pairs: written."""
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = staged(texts.join(chosen, "doc_id", "left_semi"), "texts")
     one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     other = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b")
@@ -190,9 +270,7 @@ def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT)
     classes = staged(found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class", "proof").agg(
         F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size")), "classes")
     texts = docs.select("doc_id", "text")
-    blocks = found.filter("keys IS NOT NULL").select("class", F.explode("keys").alias("key"))
-    shared = blocks.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
-    members = staged(blocks.join(shared, "key").distinct(), "members")
+    members = staged(shared_blocks(found), "members")
 
     # 1. each shared block's members to its pivot, the one with the most shared blocks
     central = members.groupBy("class").agg(F.count(F.lit(1)).alias("weight"))
@@ -202,14 +280,19 @@ def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT)
         F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")).distinct()
     rep = classes.select("class", "rep", "size")
 
+    sketches = found.filter("sketch IS NOT NULL").select("class", "sketch").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    fit = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
+    alike = _hamming("sketch_x", "sketch_y") * (100 + percent) <= (100 - percent) * (F.col("size_x") + F.col("size_y"))
+
     def by_rep(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes as pairs of representatives whose sizes allow a link."""
+        """Pairs of classes as pairs of representatives whose sizes and sketches allow a link."""
         x, y = (rep.withColumnsRenamed({"class": c, "rep": f"rep_{c}", "size": f"size_{c}"}) for c in "xy")
-        fit = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
-        return pairs.join(x, "x").join(y, "y").filter(fit).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+        sketch_x, sketch_y = (sketches.withColumnsRenamed({"class": c, "sketch": f"sketch_{c}"}) for c in "xy")
+        return pairs.join(x, "x").join(y, "y").filter(fit).join(sketch_y, "y").join(sketch_x, "x").filter(alike).select(
+            F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
 
     tried = staged(by_rep(star), "tried")
-    first = staged(verified(tried, texts, n, percent), "links")
+    first = staged(verified(tried, texts, n, percent), "links", PAIR_ROWS)
 
     # 2. across the components of these links, what shares a block
     joined = components(first)
@@ -217,15 +300,12 @@ def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT)
         "class", "rep", "size", F.coalesce("component", "rep").alias("component"))
     placed = members.join(of_class, "class")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    sketches = found.filter("sketch IS NOT NULL").select("class", "sketch").groupBy("class").agg(F.first("sketch").alias("sketch"))
     rest = staged(placed.join(mixed, "key").join(sketches, "class").select("key", "rep", "size", "component", "sketch"), "rest")
     left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "component", "sketch"))) for s in "xy")
-    near = left.join(right, (left["key"] == right["key"]) & (F.col("component_x") < F.col("component_y"))
-                     & F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
-                     & (_hamming("sketch_x", "sketch_y") * (100 + percent) <= (100 - percent) * (F.col("size_x") + F.col("size_y"))))
+    near = left.join(right, (left["key"] == right["key"]) & (F.col("component_x") < F.col("component_y")) & fit & alike)
     pairs = near.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = staged(verified(staged(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), texts, n, percent), "links")
+    second = staged(verified(staged(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), texts, n, percent), "links", PAIR_ROWS)
     return first.union(second)
 
 
