@@ -4,7 +4,9 @@
    table has at most SYMBOLS**3 rows whatever the corpus, so the model that tasks get has a known size.
 2. Tokens that look disguised (digits or signs among letters, letters in long repetition, letters set
    apart) become lattices: each character offers the letters it may stand for, a separator or a
-   repeated letter may vanish. Viterbi finds the likeliest reading under channel and language model.
+   repeated letter may vanish. Viterbi finds the likeliest reading under channel and language model,
+   for tokens and runs of any length. Runs of letters set apart are also parted into the LEXICON most
+   frequent words of the corpus, for separators of one width don't show where words end.
 3. A logistic model over words and word beginnings of the restored text gives the score. Its features
    and weights come from at most SAMPLE labelled rows, taken by hash order among the rows that aren't
    held out; everything else covers all documents. Labels, language, source and id are never features.
@@ -17,6 +19,7 @@ read whole; an empty table gives an empty one; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -46,12 +49,17 @@ SEPARATORS = " .-_*~'"
 #: Costs in the channel: a sign read as a letter, a repeated letter or a separator that vanishes, one
 #: that parts two words.
 _AS_LETTER, _REPEATED, _GONE, _PARTS = 0.7, 1.2, 0.2, 3.0
-#: Longer tokens aren't disguised words.
-LONGEST = 64
+#: Words of the corpus that are kept, the most frequent ones, to part letters without any word's edge;
+#: what a letter costs there that belongs to none; distinct words counted before they are sent on.
+LEXICON, _UNKNOWN, _COUNTED = 20_000, 20.0, 100_000
+#: Tokens up to this length are kept in the reader's cache; longer ones are decoded anew.
+CACHED = 64
 
 _SIGNS = re.escape("".join(READINGS))
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~«»„“”‚‘’…–—¿¡"
 _SPACED = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]{{1,3}}[a-z{_SIGNS}]){{2,}}(?![^\W\d_])")
+_WIDTHS = re.compile(r"[ .\-_*~]+")
+_JOINTS = re.compile(r"[.\-_*~'/,:;=&?]+")
 _LONG = re.compile(r"([^\W\d_])\1\1")
 #: A sign in the place of a letter: before a letter, with at most two more between.
 _SIGN = re.compile(rf"[{_SIGNS}]{{1,3}}[a-z]")
@@ -77,37 +85,129 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word string, n long): documents with each word; the empty word stands in all documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            there = pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
+            total.clear()
+            return there
+
+        total = Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total.update({w for w in {t.strip(_EDGES) for t in set((text or "").lower().split())} if w.isalpha()})
+                total[""] += 1
+                if len(total) > _COUNTED:
+                    yield sent()
+        yield sent()
+
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def lexicon(docs: DataFrame) -> tuple[dict[str, int], int]:
+    """The LEXICON most frequent words with the number of documents that have each, and the number of all."""
+    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(LEXICON + 1).collect()  # the empty word leads
+    found = {r["word"]: r["n"] for r in rows}
+    return found, found.pop("", 0)
+
+
 class Reader:
     """Viterbi decoding of disguised tokens."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, lexicon: dict[str, int] | None = None):
+        self.lexicon = lexicon or {}
+        self.sorted, self.all = sorted(self.lexicon), sum(self.lexicon.values())
+        self.counts = counts
         cube = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
         back_off = (cube.sum(0) + 0.5) / (cube.sum((0, 1))[None, :].sum() + 0.5 * SYMBOLS)
         back_off /= back_off.sum(1, keepdims=True)
         smooth = cube + 5.0 * back_off[None, :, :]
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).tolist()
-        self.read = functools.lru_cache(50_000)(self._read)
+        self._kept = functools.lru_cache(50_000)(self._read)
+
+    def read(self, token: str) -> str:
+        """The likeliest words behind a token of letters, signs and separators, whatever its length."""
+        return self._kept(token) if len(token) <= CACHED else self._read(token)
 
     def _read(self, token: str) -> str:
-        """The likeliest word behind a token of letters, signs and separators."""
-        best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        # a word is a chain of (what stands before, letter): the live states are few, however long the token
+        best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for char in token:
             letters = [(char, 0.0)] if char.isalpha() else [(c, _AS_LETTER) for c in READINGS.get(char, "")]
             vanishes = char in SEPARATORS
-            found: dict[tuple[int, int, str], tuple[float, str]] = {}
+            found: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             for (a, b, last), (cost, word) in best.items():
-                options = [((b, s, c), cost + extra + self.cost[a][b][s], word + c)
+                options = [((b, s, c), cost + extra + self.cost[a][b][s], (word, c))
                            for c, extra in letters for s in (ord(c) - 96 if "a" <= c <= "z" else 27,)]
                 if vanishes or not letters:
                     options.append(((a, b, last), cost + _GONE, word))
                 if vanishes and last:  # or it does part two words
-                    options.append(((b, 0, ""), cost + _PARTS + self.cost[a][b][0], word + " "))
+                    options.append(((b, 0, ""), cost + _PARTS + self.cost[a][b][0], (word, " ")))
                 options += [((a, b, last), cost + extra + _REPEATED, word) for c, extra in letters if c == last]
                 for state, total, text in options:
                     if state not in found or total < found[state][0]:
                         found[state] = (total, text)
             best = found
-        return min((cost + self.cost[a][b][0], word) for (a, b, _), (cost, word) in best.items())[1].strip()
+        return min((cost + self.cost[a][b][0], _spelled(word)) for (a, b, _), (cost, word) in best.items())[1].strip()
+
+    def parted(self, letters: str) -> list[str]:
+        """The likeliest words of the corpus that make up letters and signs without any separator."""
+        if not self.lexicon:
+            return []
+        best: list[tuple[float, int, str]] = [(0.0, 0, "")]  # by place: cost, where the last word starts, it
+        best += [(math.inf, 0, "")] * len(letters)
+
+        def spelt(start: int) -> Iterator[tuple[int, float, str]]:
+            """(end, cost, beginning of a word) for all that may be read from start."""
+            live = {"": 0.0}
+            for end in range(start, len(letters)):
+                char, after = letters[end], {}
+                options = [(char, 0.0)] if char.isalpha() else [(c, _AS_LETTER) for c in READINGS[char]]
+                for begun, cost in live.items():
+                    for c, extra in options:
+                        k = bisect.bisect_left(self.sorted, begun + c)
+                        if k < len(self.sorted) and self.sorted[k].startswith(begun + c):
+                            after[begun + c] = min(cost + extra, after.get(begun + c, math.inf))
+                        if begun.endswith(c):
+                            after[begun] = min(cost + extra + _REPEATED, after.get(begun, math.inf))
+                if not after:
+                    return
+                live = after
+                yield from ((end + 1, cost, begun) for begun, cost in live.items())
+
+        for start in range(len(letters)):
+            so_far = best[start][0]
+            best[start + 1] = min(best[start + 1], (so_far + _UNKNOWN, start, ""))
+            for end, cost, word in spelt(start):
+                if n := self.lexicon.get(word):
+                    best[end] = min(best[end], (so_far + cost + math.log(self.all / n), start, word))
+        found, at = [], len(letters)
+        while at:
+            _, at, word = best[at]
+            found.append(word)
+        return [w for w in reversed(found) if w]
+
+
+def _spelled(chain: tuple | None) -> str:
+    letters = []
+    while chain:
+        chain, letter = chain
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def spaced_out(run: str, reader: Reader) -> set[str]:
+    """The words of a run of letters set apart: as the reader parts the whole run, as the corpus's words part
+    it, and as wider separators do where their widths differ."""
+    found = {*reader.read(run).split(), *reader.parted(_WIDTHS.sub("", run))}
+    for width in sorted({len(w) for w in _WIDTHS.findall(run)})[1:]:
+        for part in re.split(rf"[ .\-_*~]{{{width},}}", run):
+            said = reader.read(part).split()
+            found.update(said)
+            found.add("".join(said))
+    return found
 
 
 def words(text: str, reader: Reader) -> set[str]:
@@ -126,11 +226,13 @@ def words(text: str, reader: Reader) -> set[str]:
             found.update(parts)
             if 1 < len(parts) < 8:
                 found.add("".join(parts))
-        if len(token) <= LONGEST and _SIGN.search(token):
-            found.add(reader.read(token.strip("\"'.,;:?-_*~#%&<>[]{}«»„“”")))
+        if _SIGN.search(token):
+            core = token.strip("\"'.,;:?-_*~#%&<>[]{}«»„“”")
+            for part in {core, *_JOINTS.split(core)}:  # also the parts of a compound by themselves
+                if part == core or _SIGN.search(part):
+                    found.update(reader.read(part).split())
     for m in _SPACED.finditer(text):
-        if len(m[0]) <= LONGEST:
-            found.update(reader.read(m[0]).split())
+        found.update(spaced_out(m[0], reader))
     return found
 
 
@@ -173,15 +275,15 @@ def fit(rows: list[tuple[list[int], int]], n: int, rounds: int = 1000, ridge: fl
 
 
 class Model:
-    """What tasks get: the trigram counts and the weights, both of bounded size."""
+    """What tasks get: the trigram counts, the lexicon and the weights, all of bounded size."""
 
-    def __init__(self, counts: np.ndarray, weights: dict[str, float]):
-        self.counts, self.weights = counts, weights
+    def __init__(self, counts: np.ndarray, known: dict[str, int], weights: dict[str, float]):
+        self.counts, self.known, self.weights = counts, known, weights
         self.heads = frozenset(f.partition("*")[0][:4] for f in weights)
 
     @functools.cached_property
     def reader(self) -> Reader:
-        return Reader(self.counts)
+        return Reader(self.counts, self.known)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "reader"}
@@ -202,7 +304,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = np.zeros(SYMBOLS**3, np.int64)
     for row in trigram_counts(docs).collect():  # at most SYMBOLS**3 rows
         counts[row["trigram"]] = row["n"]
-    empty = Model(counts, {})
+    known, _ = lexicon(docs)
+    empty = Model(counts, known, {})
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -227,7 +330,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.col("toxic") / F.col("n")
     best = best.orderBy((share * share * F.col("toxic")).desc(), "feature").limit(FEATURES)
     number = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}  # at most FEATURES rows
-    chosen = Model(counts, dict.fromkeys(number, 0.0))
+    chosen = Model(counts, known, dict.fromkeys(number, 0.0))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +340,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     table = rows.mapInArrow(placed, "there array<int>, toxic int").collect()  # at most `sample` rows
     weight = fit(sorted((list(r["there"]), r["toxic"]) for r in table), len(number))
-    return Model(counts, {f: float(weight[i]) for f, i in number.items()})
+    return Model(counts, known, {f: float(weight[i]) for f, i in number.items()})
 
 
 SCORED = "doc_id long, score double"

@@ -42,6 +42,18 @@ def test_viterbi_reads_disguised_words(spark):
     assert toxicity.words("An 1D10T, s t u p i d!", reader(spark)) >= {"idiot", "stupid"}
 
 
+def test_long_spaced_out_texts_are_read_whole(spark):
+    said = "you are a stupid idiot and the moron is a horrible idea " * 8
+    known, n = toxicity.lexicon(frame(spark, ["you are a stupid idiot and the moron is here", "a horrible idea", None] * 9))
+    assert n == 27 and known["a"] == 18 and known["moron"] == 9
+    read = toxicity.Reader(reader(spark).counts, known)
+    wanted = set(said.split())
+    for apart in (" ".join(said.replace(" ", "")), "  ".join(said.replace(" ", "")), "   ".join(" ".join(w) for w in said.split())):
+        assert len(apart) > 600 and toxicity.words(apart, read) >= wanted
+    hidden = "x" + "-x" * 40 + "-stup1d-1d10t"
+    assert toxicity.words(hidden, read) >= {"stupid", "idiot"}
+
+
 def test_odd_rows(spark):
     docs = odd(spark, "fine words")
     labels = spark.createDataFrame([(1, 1, None), (1, 1, 1), (2, None, 0), (None, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
