@@ -2,8 +2,8 @@
 
 1. Every document's characters are counted as trigrams where they are read; Spark sums the counts. The
    table has at most SYMBOLS**3 rows whatever the corpus, so the model that tasks get has a known size.
-2. Tokens that look disguised (digits or signs among letters, letters in long repetition, letters set
-   apart) become lattices: each character offers the letters it may stand for, a separator or a
+2. Tokens that look disguised (digits or signs among letters or behind them, letters doubled in what isn't a
+   common word of the corpus, letters set apart), and the parts of compounds, become lattices: each character offers the letters it may stand for, a separator or a
    repeated letter may vanish. Viterbi finds the likeliest reading under channel and language model,
    for tokens and runs of any length. Runs of letters set apart are also parted into the LEXICON most
    frequent words of the corpus, for separators of one width don't show where words end.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -31,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylot.llm.common import staged
+
 #: Labelled rows that the classifier is fitted on at most, and features that it has at most.
 SAMPLE, FEATURES, MIN_DOCS, MIN_SHARE = 20_000, 2_000, 5, 0.5
 #: Letters of a word's beginnings beside the first four, and words of a family that are told apart.
@@ -52,6 +55,8 @@ _AS_LETTER, _REPEATED, _GONE, _PARTS = 0.7, 1.2, 0.2, 3.0
 #: Words of the corpus that are kept, the most frequent ones, to part letters without any word's edge;
 #: what a letter costs there that belongs to none; distinct words counted before they are sent on.
 LEXICON, _UNKNOWN, _COUNTED = 20_000, 20.0, 100_000
+#: A word is common if it stands in COMMON_DOCS documents and in COMMON_SHARE of all; its doubled letters are its own.
+COMMON_DOCS, COMMON_SHARE = 20, 0.002
 #: Tokens up to this length are kept in the reader's cache; longer ones are decoded anew.
 CACHED = 64
 
@@ -60,10 +65,17 @@ _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~«»„“”‚
 _SPACED = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]{{1,3}}[a-z{_SIGNS}]){{2,}}(?![^\W\d_])")
 _WIDTHS = re.compile(r"[ .\-_*~]+")
 _JOINTS = re.compile(r"[.\-_*~'/,:;=&?]+")
-_LONG = re.compile(r"([^\W\d_])\1\1")
-#: A sign in the place of a letter: before a letter, with at most two more between.
-_SIGN = re.compile(rf"[{_SIGNS}]{{1,3}}[a-z]")
+_RUNS = re.compile(r"(.)\1*", re.DOTALL)
+_REPEATS = re.compile(r"(.)\1+", re.DOTALL)
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: A sign in the place of a letter: before a letter, with at most two more between, or behind one.
+_SIGN = re.compile(rf"[{_SIGNS}]{{1,3}}[a-z]|[a-z][{_SIGNS}]")
+_BEFORE = re.compile(rf"[{_SIGNS}]{{1,3}}[a-z]")
+#: What ends sentences and brackets rather than stands for a word's last letter.
+_ENDS = "!()\"'.,;:?-_*~#%&<>[]{}«»„“”"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_PARTED = re.compile(rf"[{re.escape(SEPARATORS)}]+")
+_PLAIN = str.maketrans({s: "l" if "i" in letters else letters for s, letters in READINGS.items()} | {"i": "l"})
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = np.arange(1, 27)
@@ -97,7 +109,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         total = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                total.update({w for w in {t.strip(_EDGES) for t in set((text or "").lower().split())} if w.isalpha()})
+                total.update({w for w in {t if t.isalpha() else t.strip(_EDGES) for t in set((text or "").lower().split())} if w.isalpha()})
                 total[""] += 1
                 if len(total) > _COUNTED:
                     yield sent()
@@ -107,8 +119,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame) -> tuple[dict[str, int], int]:
-    """The LEXICON most frequent words with the number of documents that have each, and the number of all."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(LEXICON + 1).collect()  # the empty word leads
+    """At most LEXICON words, the most frequent ones, with the number of documents that have each, and the
+    number of all. Words of one frequency come all or none, so that only words taken reach the driver."""
+    counts = staged(word_counts(docs), "words")
+    levels = counts.filter("word <> ''").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(LEXICON).collect()
+    taken = itertools.accumulate(r["words"] for r in levels)
+    least = min((r["n"] for r, words in zip(levels, taken, strict=True) if words <= LEXICON), default=math.inf)
+    rows = counts.filter((F.col("n") >= least) | (F.col("word") == "")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found, found.pop("", 0)
 
@@ -116,8 +133,10 @@ def lexicon(docs: DataFrame) -> tuple[dict[str, int], int]:
 class Reader:
     """Viterbi decoding of disguised tokens."""
 
-    def __init__(self, counts: np.ndarray, lexicon: dict[str, int] | None = None):
+    def __init__(self, counts: np.ndarray, lexicon: dict[str, int] | None = None, docs: int = 0):
         self.lexicon = lexicon or {}
+        least = max(COMMON_DOCS, COMMON_SHARE * docs)
+        self.common = frozenset(w for w, n in self.lexicon.items() if n >= least)
         self.sorted, self.all = sorted(self.lexicon), sum(self.lexicon.values())
         self.counts = counts
         cube = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
@@ -125,11 +144,25 @@ class Reader:
         back_off /= back_off.sum(1, keepdims=True)
         smooth = cube + 5.0 * back_off[None, :, :]
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).tolist()
-        self._kept = functools.lru_cache(50_000)(self._read)
+        self._kept = functools.lru_cache(50_000)(self._readings)
 
     def read(self, token: str) -> str:
         """The likeliest words behind a token of letters, signs and separators, whatever its length."""
-        return self._kept(token) if len(token) <= CACHED else self._read(token)
+        return " ".join(self.readings(token)[0])
+
+    def readings(self, token: str) -> tuple[list[str], list[str]]:
+        """What read() gives, as words, and the likeliest single word of the corpus that the token may stand for."""
+        return self._kept(token) if len(token) <= CACHED else self._readings(token)
+
+    def _readings(self, token: str) -> tuple[list[str], list[str]]:
+        runs = [m[0] for m in _RUNS.finditer(token)] if token.isalpha() else []
+        if runs and math.prod(map(len, runs)) <= 64:  # only repeated letters: all ways to drop some
+            kept = ("".join(c) for c in itertools.product(*([r[:k] for k in range(1, len(r) + 1)] for r in runs)))
+            whole = [((len(token) - len(w)) * _REPEATED - math.log(self.lexicon[w]), w) for w in kept if w in self.lexicon]
+            return self._read(token).split(), [min(whole)[1]] if whole else []
+        letters = "".join(c for c in token if c.isalpha() or c in READINGS)
+        whole = [(cost - math.log(self.lexicon[w]), w) for end, cost, w in self.spelt(letters, 0) if end == len(letters) and w in self.lexicon]
+        return self._read(token).split(), [min(whole)[1]] if whole else []
 
     def _read(self, token: str) -> str:
         # a word is a chain of (what stands before, letter): the live states are few, however long the token
@@ -152,35 +185,34 @@ class Reader:
             best = found
         return min((cost + self.cost[a][b][0], _spelled(word)) for (a, b, _), (cost, word) in best.items())[1].strip()
 
+    def spelt(self, letters: str, start: int) -> Iterator[tuple[int, float, str]]:
+        """(end, cost, beginning of a word of the corpus) for all that may be read from start."""
+        live = {"": 0.0}
+        for end in range(start, len(letters)):
+            char, after = letters[end], {}
+            options = [(char, 0.0)] if char.isalpha() else [(c, _AS_LETTER) for c in READINGS[char]]
+            for begun, cost in live.items():
+                for c, extra in options:
+                    k = bisect.bisect_left(self.sorted, begun + c)
+                    if k < len(self.sorted) and self.sorted[k].startswith(begun + c):
+                        after[begun + c] = min(cost + extra, after.get(begun + c, math.inf))
+                    if c == begun[-1:]:
+                        after[begun] = min(cost + extra + _REPEATED, after.get(begun, math.inf))
+            if not after:
+                return
+            live = after
+            yield from ((end + 1, cost, begun) for begun, cost in live.items())
+
     def parted(self, letters: str) -> list[str]:
         """The likeliest words of the corpus that make up letters and signs without any separator."""
         if not self.lexicon:
             return []
         best: list[tuple[float, int, str]] = [(0.0, 0, "")]  # by place: cost, where the last word starts, it
         best += [(math.inf, 0, "")] * len(letters)
-
-        def spelt(start: int) -> Iterator[tuple[int, float, str]]:
-            """(end, cost, beginning of a word) for all that may be read from start."""
-            live = {"": 0.0}
-            for end in range(start, len(letters)):
-                char, after = letters[end], {}
-                options = [(char, 0.0)] if char.isalpha() else [(c, _AS_LETTER) for c in READINGS[char]]
-                for begun, cost in live.items():
-                    for c, extra in options:
-                        k = bisect.bisect_left(self.sorted, begun + c)
-                        if k < len(self.sorted) and self.sorted[k].startswith(begun + c):
-                            after[begun + c] = min(cost + extra, after.get(begun + c, math.inf))
-                        if begun.endswith(c):
-                            after[begun] = min(cost + extra + _REPEATED, after.get(begun, math.inf))
-                if not after:
-                    return
-                live = after
-                yield from ((end + 1, cost, begun) for begun, cost in live.items())
-
         for start in range(len(letters)):
             so_far = best[start][0]
             best[start + 1] = min(best[start + 1], (so_far + _UNKNOWN, start, ""))
-            for end, cost, word in spelt(start):
+            for end, cost, word in self.spelt(letters, start):
                 if n := self.lexicon.get(word):
                     best[end] = min(best[end], (so_far + cost + math.log(self.all / n), start, word))
         found, at = [], len(letters)
@@ -210,27 +242,50 @@ def spaced_out(run: str, reader: Reader) -> set[str]:
     return found
 
 
-def words(text: str, reader: Reader) -> set[str]:
-    """The distinct words of a text, lower case, with what disguised ones stand for."""
+def skeleton(letters: str) -> str:
+    """What all readings of the same letters and signs share: l for i, no repetition, nothing but letters."""
+    if not letters.isalpha():
+        letters = _NOT_LETTERS.sub("", letters.translate(_PLAIN))
+    return _REPEATS.sub(r"\1", letters.replace("i", "l"))
+
+
+def may_begin(token: str, skeletons: frozenset[str] | None) -> bool:
+    """Whether a word in a reading of token may begin as one of skeletons, each of at most four letters."""
+    if skeletons is None:
+        return True
+    starts = (0,) if token.isalpha() else (0, *(m.end() for m in _PARTED.finditer(token)))
+    for at in starts:
+        said = skeleton(token[at:])
+        if said[:4] in skeletons or said[:3] in skeletons or said[:2] in skeletons or said[:1] in skeletons:
+            return True
+    return False
+
+
+def words(text: str, reader: Reader, skeletons: frozenset[str] | None = None) -> set[str]:
+    """The distinct words of a text, lower case, with what disguised ones stand for. skeletons: those of the
+    beginnings that matter; a token whose readings can't begin so isn't decoded."""
     text = text.lower()
     found = set()
-    long = _LONG.search(text) is not None
     for token in set(text.split()):
         plain = token.strip(_EDGES)
         if plain.isalpha():
             found.add(plain)
-            if long and _LONG.search(plain):
-                found.add(reader.read(plain))
+            if _TWICE.search(plain) and plain not in reader.common and may_begin(plain, skeletons):
+                found.update(*reader.readings(plain))
         else:
             parts = [p for p in _NOT_LETTERS.split(plain) if p]
             found.update(parts)
+            for p in parts:
+                if _TWICE.search(p) and p not in reader.common and may_begin(p, skeletons):
+                    found.update(*reader.readings(p))
             if 1 < len(parts) < 8:
                 found.add("".join(parts))
         if _SIGN.search(token):
             core = token.strip("\"'.,;:?-_*~#%&<>[]{}«»„“”")
-            for part in {core, *_JOINTS.split(core)}:  # also the parts of a compound by themselves
-                if part == core or _SIGN.search(part):
-                    found.update(reader.read(part).split())
+            ended = core.lstrip("(").rstrip(_ENDS)
+            for part in {core, ended, *_JOINTS.split(ended)}:  # also the parts of a compound by themselves
+                if _SIGN.search(part) and (part != core or core == ended or _BEFORE.search(core)) and may_begin(part, skeletons):
+                    found.update(*reader.readings(part))
     for m in _SPACED.finditer(text):
         found.update(spaced_out(m[0], reader))
     return found
@@ -277,19 +332,20 @@ def fit(rows: list[tuple[list[int], int]], n: int, rounds: int = 1000, ridge: fl
 class Model:
     """What tasks get: the trigram counts, the lexicon and the weights, all of bounded size."""
 
-    def __init__(self, counts: np.ndarray, known: dict[str, int], weights: dict[str, float]):
-        self.counts, self.known, self.weights = counts, known, weights
+    def __init__(self, counts: np.ndarray, known: dict[str, int], docs: int, weights: dict[str, float]):
+        self.counts, self.known, self.docs, self.weights = counts, known, docs, weights
         self.heads = frozenset(f.partition("*")[0][:4] for f in weights)
+        self.skeletons = frozenset(map(skeleton, self.heads))
 
     @functools.cached_property
     def reader(self) -> Reader:
-        return Reader(self.counts, self.known)
+        return Reader(self.counts, self.known, self.docs)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "reader"}
 
     def score(self, text: str) -> float:
-        there = features(words(text, self.reader), self.heads)
+        there = features(words(text, self.reader, self.skeletons), self.heads)
         # in one order, so that equal texts have equal sums
         z = BIAS + math.fsum(self.weights[f] for f in there if f in self.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -304,8 +360,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = np.zeros(SYMBOLS**3, np.int64)
     for row in trigram_counts(docs).collect():  # at most SYMBOLS**3 rows
         counts[row["trigram"]] = row["n"]
-    known, _ = lexicon(docs)
-    empty = Model(counts, known, {})
+    known, n_docs = lexicon(docs)
+    empty = Model(counts, known, n_docs, {})
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -330,17 +386,17 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share = F.col("toxic") / F.col("n")
     best = best.orderBy((share * share * F.col("toxic")).desc(), "feature").limit(FEATURES)
     number = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}  # at most FEATURES rows
-    chosen = Model(counts, known, dict.fromkeys(number, 0.0))
+    chosen = Model(counts, known, n_docs, dict.fromkeys(number, 0.0))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = [sorted(number[f] for f in features(words(t or "", chosen.reader), chosen.heads) if f in number)
+            there = [sorted(number[f] for f in features(words(t or "", chosen.reader, chosen.skeletons), chosen.heads) if f in number)
                      for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["there", "toxic"])
 
     table = rows.mapInArrow(placed, "there array<int>, toxic int").collect()  # at most `sample` rows
     weight = fit(sorted((list(r["there"]), r["toxic"]) for r in table), len(number))
-    return Model(counts, known, {f: float(weight[i]) for f, i in number.items()})
+    return Model(counts, known, n_docs, {f: float(weight[i]) for f, i in number.items()})
 
 
 SCORED = "doc_id long, score double"

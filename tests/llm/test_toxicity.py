@@ -54,6 +54,21 @@ def test_long_spaced_out_texts_are_read_whole(spark):
     assert toxicity.words(hidden, read) >= {"stupid", "idiot"}
 
 
+def test_every_form_of_disguise_reaches_the_reader(spark):
+    texts = ["you are a stupid idiot and the moron is here", "a worthless and disgusting ass"] * 20 + ["see all that is good"] * 60
+    counts = toxicity.np.zeros(toxicity.SYMBOLS**3, toxicity.np.int64)
+    for r in toxicity.trigram_counts(frame(spark, texts)).collect():
+        counts[r["trigram"]] = r["n"]
+    read = toxicity.Reader(counts, *toxicity.lexicon(frame(spark, texts)))
+    for said, meant in {"idio7": "idiot", "worthle55": "worthless", "disgustin9": "disgusting", "a$$": "ass", "idio7!": "idiot", "(idio7)": "idiot",
+                        "stuupid": "stupid", "iddiot": "idiot", "stuuupid-head": "stupid", "iddiot/moron": "idiot", "my-idio7": "idiot",
+                        "1D10T!": "idiot"}.items():
+        assert meant in toxicity.words(f"such {said} there", read), said
+        heads = frozenset({meant[:4]})
+        assert meant in toxicity.words(said, read, frozenset(map(toxicity.skeleton, heads))), said  # what is passed over can't matter
+    assert toxicity.words("see good all! idiot!", read) == {"see", "good", "all", "idiot"}
+
+
 def test_odd_rows(spark):
     docs = odd(spark, "fine words")
     labels = spark.createDataFrame([(1, 1, None), (1, 1, 1), (2, None, 0), (None, 0, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
