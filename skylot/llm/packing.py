@@ -3,10 +3,11 @@
 Documents are tokenized where they are read, in Arrow batches, and cut only where they exceed a
 window: what goes on is a narrow row a piece (document, start, length, checksum). Pieces are dealt to
 blocks by a hash; in a block each piece is routed to the smallest context size (tier) that holds it.
-From the longest tier down, each tier's longest piece opens a window, and the gap is filled with the
-longest pieces that still fit, from that tier and the shorter ones. A window is padded at most once
-a gap that no piece of the block fits into. Last, windows are dealt in turn, by length, to groups of
-steps, so that the steps of a group cost alike.
+From the longest tier down, each tier's longest piece opens a context of the tier's own size, and the
+gap is filled with the longest pieces that still fit, from that tier and the shorter ones. A context is
+padded once, by a gap that no piece left in the block fits into. Contexts are laid side by side in windows of
+4096, without gaps as their sizes are powers of two; attention stays within a context. Last, windows are
+dealt in turn, by the attention that their contexts cost, to groups of steps, so that the groups cost alike.
 
 Cases: a null text is empty, and an empty one still has its end token; pieces of repeated rows are
 packed one by one; very long documents are cut into full windows and a rest; an empty table gives an
@@ -151,8 +152,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end: int
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECE)
 
 
-def fill(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[int]]:
-    """Windows as lists of places in lengths: the hierarchical packing of one block."""
+def contexts(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[int]]]:
+    """(size, places in lengths) of each context, long contexts first: the hierarchical packing of one block."""
     stacks: dict[int, list[int]] = {}
     for i in np.argsort(-lengths, kind="stable")[::-1].tolist():
         stacks.setdefault(int(lengths[i]), []).append(i)
@@ -165,32 +166,59 @@ def fill(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIE
             del there[k]
         return i
 
-    windows = []
-    for low in (0, *tiers[:-1])[::-1]:
+    found = []
+    for low, size in zip((0, *tiers[:-1])[::-1], tiers[::-1], strict=True):
         while there and there[-1] > low:
-            gap = window - there[-1]
-            windows.append([pop(len(there) - 1)])
+            gap = size - there[-1]
+            found.append((size, [pop(len(there) - 1)]))
             while there and (k := bisect.bisect_right(there, gap) - 1) >= 0:
                 gap -= there[k]
-                windows[-1].append(pop(k))
-    return windows
+                found[-1][1].append(pop(k))
+    return found
+
+
+def tiled(sizes: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """(window, start in it) of contexts laid side by side. Sizes that fall by powers of two leave no gap."""
+    found, number, at = [], 0, 0
+    for size in sizes:
+        if at + size > window:
+            number, at = number + 1, 0
+        found.append((number, at))
+        at += size
+    return found
+
+
+def fill(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[int]]:
+    """Windows as lists of places in lengths."""
+    found = contexts(lengths, tiers)
+    windows: dict[int, list[int]] = {}
+    for (number, _), (_, places) in zip(tiled([size for size, _ in found], window), found, strict=True):
+        windows.setdefault(number, []).extend(places)
+    return list(windows.values())
 
 
-PACKED = PIECE + ", sequence_id long, offset long, tier int, step_group long"
+PACKED = PIECE + ", sequence_id long, offset long, tier int, step_group long, context int, context_start int, context_offset int"
 
 
 def packed(found: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, steps: int = STEPS) -> DataFrame:
-    """PIECE -> PACKED. tier: the context size that the piece was routed to. step_group: windows to be
-    trained side by side; in a block every group of `steps` windows gets long and short ones alike."""
+    """PIECE -> PACKED. tier: the context size that the piece was routed to; context: the size of the one
+    that it was packed into, which is longer where it fills a gap. A piece stands in its window at
+    context_start + context_offset; offset counts the ids before it in the window without padding.
+    step_group: windows to be trained side by side; in a block every group of `steps` windows gets
+    windows of long and of short contexts alike."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
         lengths = rows["length"].to_numpy()
+        found = contexts(lengths, tiers)
+        sizes = np.array([size for size, _ in found])
+        in_window, context_start = np.array(tiled(sizes.tolist(), window)).T
         windows = fill(lengths, window, tiers)
+        attention = np.bincount(in_window, sizes.astype(float) ** 2)  # each context attends to itself
         used = np.array([lengths[w].sum() for w in windows])
         groups = math.ceil(len(windows) / steps)
         turn = np.empty(len(windows), np.int64)
-        turn[np.argsort(-used, kind="stable")] = np.arange(len(windows))
+        turn[np.lexsort((-used, -attention))] = np.arange(len(windows))
         lap, place = np.divmod(turn, groups)
         group = np.where(lap % 2 == 0, place, groups - 1 - place)  # to and fro
         order = np.array([i for w in windows for i in w])
@@ -203,6 +231,10 @@ def packed(found: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIER
         out["sequence_id"], out["offset"] = base + number, offset
         out["tier"] = np.array(tiers, np.int32)[np.searchsorted(tiers, lengths[order])]
         out["step_group"] = base + group[number]
+        of = np.repeat(np.arange(len(found)), [len(places) for _, places in found])
+        full = np.array([lengths[places].sum() for _, places in found])
+        out["context"], out["context_start"] = sizes[of].astype(np.int32), context_start[of].astype(np.int32)
+        out["context_offset"] = (ends - lengths[order] - (np.cumsum(full) - full)[of]).astype(np.int32)
         return out.drop(columns="block")
 
     blocks = max(1, math.ceil(found.count() / BLOCK))

@@ -58,6 +58,24 @@ def test_fill_packs_each_piece_once(lengths):
     assert sum(x <= packing.WINDOW // 2 for x in light) <= 1  # two half-empty ones would have been one
 
 
+def test_each_tier_is_packed_into_contexts_of_its_own_size(spark):
+    rows = packing.pack(frame(spark, ["w " * (50 + 37 * i % 3000) for i in range(400)]), vocabulary()).collect()
+    found, windows = defaultdict(list), defaultdict(set)
+    for r in rows:
+        assert r["tier"] <= r["context"] and r["context_start"] % r["context"] == 0
+        found[r["sequence_id"], r["context_start"], r["context"]].append((r["context_offset"], r["length"], r["tier"]))
+        windows[r["sequence_id"]].add((r["context_start"], r["context"]))
+    assert {size for _, _, size in found} >= {1024, 2048, 4096}
+    for (_, _, size), parts in found.items():
+        parts.sort()
+        assert parts[0][2] == size  # the piece that opens a context is of its tier
+        assert [at for at, _, _ in parts] == [sum(n for _, n, _ in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n, _ in parts) <= size
+    for tiles in windows.values():
+        assert all(a + size <= b for (a, size), (b, _) in zip(sorted(tiles), sorted(tiles)[1:]))
+        assert max(a + size for a, size in tiles) <= packing.WINDOW
+
+
 def test_step_groups_cost_alike(spark):
     rows = packing.pack(frame(spark, ["w " * (50 + 37 * i % 3000) for i in range(400)]), vocabulary()).collect()
     cost = defaultdict(int)
