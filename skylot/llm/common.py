@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local tests a temporary one."""
     if set_by_cluster := spark.conf.get("spark.checkpoint.dir", None):
         return set_by_cluster
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_folder:
         _local_folder.append(tempfile.mkdtemp(prefix="skylot-"))
     return _local_folder[0]

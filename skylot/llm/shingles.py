@@ -8,25 +8,29 @@ chance) the same elements fell into them an odd number of times.
 Two sets with 100 * intersection >= 85 * union differ in d = 15/185 * (a + b) elements at most. Each
 differing element touches one block, so with k > d blocks at least k - d of them are equal: pairs are
 found by an equality join on blocks (pigeonhole). A set looks for partners in its own size band and,
-if the band's end is near, in the next. Blocks with no or one element are common in unrelated texts;
-they are left out where k - d exceeds their number, which no linked pair can miss.
+if the band's end is near, in the next; d follows the largest partner of each. Blocks with no or one
+element are common in unrelated texts; both kinds, else the empty ones, are left out where k - d exceeds
+their number: of the blocks that a linked pair shares, one is then left that neither set leaves out.
 
 The join never makes all pairs of a group. First every shared block links its members to one pivot,
 the member with the most shared blocks; these pairs are verified and the links contracted. Only pairs
 that share a block across the components so found are then compared. Before any pair is verified, the
-Hamming distance of its 2048-bit parity sketches, which never exceeds the symmetric difference, has to
-allow a link. Verified means: counted on the sets made from the texts.
+Hamming distance of its parity sketches, which never exceeds the symmetric difference, has to allow a
+link. A sketch has 2048 bits or, of larger sets, as many as the set's size, so that it doesn't fill up; the
+longer of two folds to the shorter. Verified means: counted on the sets made from the texts.
 
 Spark side: texts with equal sets are one class from the start; block keys are emitted once a class
 and partition, and go through one shuffle as arrays, by ranges of the key. A chunk of keys sends its
 smallest and largest class of a key there, whatever the number between them, so that a common block
-cannot fill a range; only blocks that two classes share are kept. Every stage between joins is written
-to the shared folder.
+cannot fill a range; only blocks that two classes share are kept. Pairs are narrow rows until they are
+distinct; a block with more than SPLIT classes is dealt in pairs of parts. Every stage between joins is
+written to the shared folder.
 
 Cases: null, empty and blank texts have no set and link with nothing (component: their own doc_id);
-fewer words than four make one shingle; rows that repeat a doc_id have its smallest component; a null
-doc_id has no component; texts are read whole; an empty table gives an empty one; further columns
-are ignored.
+fewer words than four make one shingle; rows that repeat a doc_id are texts of one document, which links
+with what any of them links with, so that all its rows have one component; rows with a null doc_id have a
+set but no component and link with nothing; texts are read whole; an empty table gives an empty one;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylot.llm.common import LOWER, UPPER, components, staged
@@ -47,14 +51,16 @@ from skylot.llm.common import LOWER, UPPER, components, staged
 N, PERCENT = 4, 85
 #: Band borders grow by this factor; blocks beyond the most that can differ, as a share.
 GROWTH, SPARE = 1.5, 0.07
-SKETCH_WORDS = 32
+SKETCH_BITS = 2048
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Block keys that a task sorts at once; about as many, or fewer, meet in a range.
 CHUNK = 1 << 19
 #: Ids that are broadcast at most, 8 bytes each, to pick texts where they lie; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Pairs of texts in an Arrow batch: texts may be very long.
-PAIR_ROWS = 100
+#: Pairs of texts in an Arrow batch, and of sketches: texts may be very long.
+PAIR_ROWS, SKETCH_ROWS = 100, 2000
+#: Classes of a block that are compared with as many in one piece.
+SPLIT = 1000
 #: Word hashes that a Python worker keeps at most.
 KEPT = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -123,30 +129,47 @@ def block_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     keys = []
     for b in range(band(size), band(largest) + 1):
         k = n_blocks(b, percent)
-        block = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+        differ = most_differing(size + min(largest, border(b + 1) - 1), percent)
+        block = (((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
         parity = np.zeros(k, np.uint64)
-        np.bitwise_xor.at(parity, block.astype(np.int64), mixed_bits(hashes ^ np.uint64(0x5851F42D4C957F2D)))
-        held = np.bincount(block.astype(np.int64), minlength=k)
-        full = held > 1
-        if (~full).sum() >= k - differ:  # too many bare blocks to do without them
-            full[:] = True
+        np.bitwise_xor.at(parity, block, mixed_bits(hashes ^ np.uint64(0x5851F42D4C957F2D)))
+        held = np.bincount(block, minlength=k)
+        few = next((few for few in (1, 0) if (held <= few).sum() < k - differ), -1)
         name = mixed_bits(np.arange(k, dtype=np.uint64) + np.uint64(b << 40))
-        keys.append(mixed_bits(parity ^ name)[full])
+        keys.append(mixed_bits(parity ^ name)[held > few])
     return np.concatenate(keys)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The parity sketch of 64 * SKETCH_WORDS bits."""
-    bits = np.bincount((hashes % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity sketch: SKETCH_BITS, or the power of two that the set's size needs."""
+    bits = max(SKETCH_BITS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-SET = "doc_id long, n_shingles long, class long, proof long, keys array<long>, sketch array<long>"
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Hamming distances of sketches, each pair folded to the bits of the shorter one."""
+    out = np.zeros(len(x), np.int64)
+    lengths = np.array([[len(v) for v in x], [len(v) for v in y]]).T
+    for pair in {tuple(v) for v in lengths.tolist()}:
+        own = np.flatnonzero((lengths == pair).all(1))
+        words = [np.frombuffer(b"".join(side[i] for i in own), np.uint64).reshape(len(own), -1, min(pair) // 8) for side in (x, y)]
+        folded = [np.bitwise_xor.reduce(w, axis=1) for w in words]
+        out[own] = np.bitwise_count(folded[0] ^ folded[1]).sum(1)
+    return out
+
+
+SET = "doc_id long, text_key long, n_shingles long, class long, proof long, keys array<long>, sketch binary"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
 
 def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text) -> SET. class and proof are two digests of the set; keys and sketch are given with
-    the first row of a class in a partition, else null."""
+    """(doc_id, text) -> SET. text_key tells texts of one doc_id apart; class and proof are two digests of
+    the set; keys and sketch are given with the first row of a class in a partition, else null."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,11 +184,11 @@ def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                 rows.append((len(h), own, proof, block_keys(h, percent).view(np.int64) if new else None, sketch(h) if new else None))
             size, own, proof, keys, sketches = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.int64()), pa.array(proof, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "class", "proof", "keys", "sketch"])
+                [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(own, pa.int64()),
+                 pa.array(proof, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "class", "proof", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, SET)
+    return keyed(docs).mapInArrow(digest, SET)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,21 +260,27 @@ def shared_blocks(found: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of doc_ids that link, counted on the sets of texts (doc_id, text). pairs: written."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    """Links (a, b) among pairs (a, text_a, b, text_b) of doc_ids and text_keys, counted on the sets of
+    texts (doc_id, text, text_key). pairs: written."""
+    ids = staged(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("text_a").alias("text_key")),
+                                                F.struct(F.col("b").alias("doc_id"), F.col("text_b").alias("text_key")))).alias("s")).select("s.*").distinct(), "ids")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = staged(texts.join(chosen, "doc_id", "left_semi"), "texts")
-    one = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    other = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(one, "b").join(other, "a").select("a", "b", "text_a", "text_b")
+    # of repeated rows one is enough
+    texts = staged(texts.join(chosen, ["doc_id", "text_key"], "left_semi"), "texts")
+    repeated = texts.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():
+        texts = texts.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    one = texts.select(F.col("doc_id").alias("b"), F.col("text_key").alias("text_b"), F.col("text").alias("right"))
+    other = texts.select(F.col("doc_id").alias("a"), F.col("text_key").alias("text_a"), F.col("text").alias("left"))
+    both = pairs.join(one, ["b", "text_b"]).join(other, ["a", "text_a"]).select("a", "text_a", "b", "left", "right")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.empty(0, np.uint64)
         for batch in batches:
             linked = []
-            for a, text_a, text_b in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if a != last:
-                    last, left = a, shingles(text_a.as_py(), n)
+            for a, key, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a")), batch.column("left"), batch.column("right"), strict=True):
+                if (a, key) != last:
+                    last, left = (a, key), shingles(text_a.as_py(), n)
                 right = shingles(text_b.as_py(), n)
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 linked.append(common > 0 and 100 * common >= percent * (len(left) + len(right) - common))
@@ -260,67 +289,83 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERC
     return both.mapInArrow(count, "a long, b long")
 
 
-def _hamming(left: str, right: str) -> Column:
-    return F.aggregate(F.zip_with(left, right, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def links(docs: DataFrame, found: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, classes: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Enough links (a, b) between representatives of classes to connect all that is connected.
-    found: SET, written."""
-    classes = staged(found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class", "proof").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size")), "classes")
-    texts = docs.select("doc_id", "text")
+    found: SET, written; classes: as classes_of() gives them, written."""
+    texts = keyed(docs)
     members = staged(shared_blocks(found), "members")
+    sketches = found.filter("sketch IS NOT NULL").select("class", "sketch").groupBy("class").agg(F.first("sketch").alias("sketch"))
+    fit = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = apart(batch.column("sketch_x").to_pylist(), batch.column("sketch_y").to_pylist())
+            fine = far * (100 + percent) <= (100 - percent) * batch.column("sizes").to_numpy()
+            yield batch.select(["a", "text_a", "b", "text_b"]).filter(pa.array(fine))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, y) of classes as pairs of representatives whose sizes and sketches allow a link."""
+        for c, name in (("x", "a"), ("y", "b")):
+            pairs = pairs.join(classes.select(F.col("class").alias(c), F.col("rep").alias(name), F.col("text_key").alias(f"text_{name}"),
+                                              F.col("size").alias(f"size_{c}")), c)
+        pairs = pairs.filter(fit).withColumn("sizes", F.expr("size_x + size_y"))
+        for c in "yx":
+            pairs = pairs.join(sketches.withColumnsRenamed({"class": c, "sketch": f"sketch_{c}"}), c)
+        return pairs.select("a", "text_a", "b", "text_b", "sizes", "sketch_x", "sketch_y").mapInArrow(
+            near, "a long, text_a long, b long, text_b long")
+
+    def connected(pairs: DataFrame) -> DataFrame:
+        return staged(verified(staged(alike(pairs), "pairs", SKETCH_ROWS), texts, n, percent), "links", PAIR_ROWS)
 
     # 1. each shared block's members to its pivot, the one with the most shared blocks
     central = members.groupBy("class").agg(F.count(F.lit(1)).alias("weight"))
     weighed = members.join(central, "class")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("top")).select("key", F.col("top.class").alias("pivot"))
-    star = members.join(pivots, "key").filter("class <> pivot").select(
-        F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")).distinct()
-    rep = classes.select("class", "rep", "size")
-
-    sketches = found.filter("sketch IS NOT NULL").select("class", "sketch").groupBy("class").agg(F.first("sketch").alias("sketch"))
-    fit = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
-    alike = _hamming("sketch_x", "sketch_y") * (100 + percent) <= (100 - percent) * (F.col("size_x") + F.col("size_y"))
+    star = staged(members.join(pivots, "key").filter("class <> pivot").select(
+        F.least("class", "pivot").alias("x"), F.greatest("class", "pivot").alias("y")).distinct(), "star")
+    first = connected(star)
 
-    def by_rep(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes as pairs of representatives whose sizes and sketches allow a link."""
-        x, y = (rep.withColumnsRenamed({"class": c, "rep": f"rep_{c}", "size": f"size_{c}"}) for c in "xy")
-        sketch_x, sketch_y = (sketches.withColumnsRenamed({"class": c, "sketch": f"sketch_{c}"}) for c in "xy")
-        return pairs.join(x, "x").join(y, "y").filter(fit).join(sketch_y, "y").join(sketch_x, "x").filter(alike).select(
-            F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-
-    tried = staged(by_rep(star), "tried")
-    first = staged(verified(tried, texts, n, percent), "links", PAIR_ROWS)
-
-    # 2. across the components of these links, what shares a block
+    # 2. across the components of these links, what shares a block; narrow rows until pairs are distinct
     joined = components(first)
     of_class = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "class", "rep", "size", F.coalesce("component", "rep").alias("component"))
+        "class", "size", F.coalesce("component", "rep").alias("component"))
     placed = members.join(of_class, "class")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = staged(placed.join(mixed, "key").join(sketches, "class").select("key", "rep", "size", "component", "sketch"), "rest")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "component", "sketch"))) for s in "xy")
-    near = left.join(right, (left["key"] == right["key"]) & (F.col("component_x") < F.col("component_y")) & fit & alike)
-    pairs = near.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = staged(verified(staged(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), texts, n, percent), "links", PAIR_ROWS)
-    return first.union(second)
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    rest = staged(placed.join(mixed.select("key", parts.alias("parts")), "key").select(
+        "key", "class", "size", "component", "parts", F.pmod(F.hash("class"), "parts").alias("part")), "rest")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = rest.select("key", F.col("part").alias("p"), every.alias("q"), *(F.col(c).alias(f"{c}_x") for c in ("class", "size", "component")))
+    y = rest.select("key", every.alias("p"), F.col("part").alias("q"), *(F.col(c).alias(f"{c}_y") for c in ("class", "size", "component")))
+    meet = x.join(y, ["key", "p", "q"]).filter((F.col("component_x") < F.col("component_y")) & fit)
+    pairs = meet.select(F.least("class_x", "class_y").alias("x"), F.greatest("class_x", "class_y").alias("y")).distinct()
+    return first.union(connected(staged(pairs.join(star, ["x", "y"], "left_anti"), "candidates")))
+
+
+def classes_of(found: DataFrame) -> DataFrame:
+    """SET -> (class, proof, size, rep, text_key): its text of the smallest doc_id stands for a class."""
+    rows = found.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class", "proof").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("n_shingles").alias("size"))
+    return rows.select("class", "proof", "size", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"))
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id), one row a document."""
     found = staged(sets(docs, n, percent), "sets")
-    connected = components(links(docs, found, n, percent)).withColumnRenamed("id", "rep")
-    classes = found.filter("n_shingles > 0").groupBy("class", "proof").agg(F.min("doc_id").alias("rep"))
-    classes = classes.join(connected, "rep", "left").select("class", "proof", F.coalesce("component", "rep").alias("component"))
-    rows = found.select("doc_id", "n_shingles", "class", "proof").join(classes, ["class", "proof"], "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = staged(classes_of(found), "classes")
+    rows = found.select("doc_id", "n_shingles", "class", "proof").join(classes.select("class", "proof", "rep"), ["class", "proof"], "left")
+    rows = staged(rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "rows")
+    # a document of several texts connects their classes
+    bridges = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).filter(
+        "size(reps) > 1").select(F.col("doc_id").alias("a"), F.explode("reps").alias("b"))
+    connected = components(links(docs, found, classes, n, percent).union(bridges)).withColumnRenamed("id", "rep")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return rows.join(connected, "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component: the one with the component's doc_id. Texts without
     words and rows without doc_id stay."""
-    others = joined(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    others = staged(joined(docs, n, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "others")
+    chosen = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    return docs.join(chosen, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
