@@ -57,8 +57,8 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 CHUNK = 1 << 19
 #: Ids that are broadcast at most, 8 bytes each, to pick texts where they lie; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
-#: Pairs of texts in an Arrow batch, and of sketches: texts may be very long.
-PAIR_ROWS, SKETCH_ROWS = 100, 2000
+#: Texts, pairs of texts and pairs of sketches in an Arrow batch: texts may be very long.
+SET_ROWS, PAIR_ROWS, SKETCH_ROWS = 1000, 100, 2000
 #: Classes of a block that are compared with as many in one piece.
 SPLIT = 1000
 #: Word hashes that a Python worker keeps at most.
@@ -175,8 +175,8 @@ def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                h = shingles(text, n)
+            for text in batch.column("text"):
+                h = shingles(text.as_py(), n)
                 own = int(xxhash.xxh64_intdigest(h.tobytes())) >> 1
                 proof = int(xxhash.xxh64_intdigest(h.tobytes(), seed=1)) >> 1
                 new = own not in seen and len(h) > 0
@@ -351,7 +351,7 @@ def classes_of(found: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id), one row a document."""
-    found = staged(sets(docs, n, percent), "sets")
+    found = staged(sets(docs, n, percent), "sets", SET_ROWS)
     classes = staged(classes_of(found), "classes")
     rows = found.select("doc_id", "n_shingles", "class", "proof").join(classes.select("class", "proof", "rep"), ["class", "proof"], "left")
     rows = staged(rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "rows")

@@ -11,6 +11,8 @@
    and weights come from at most SAMPLE labelled rows, taken by hash order among the rows that aren't
    held out; everything else covers all documents. Labels, language, source and id are never features.
 
+What a token stands for doesn't depend on its text, so tasks keep it for the tokens that they meet again.
+
 Cases: null and empty texts score as texts without any feature; documents without labels are scored
 like others; labels that are null are left out, repeated labels of one id count as their maximum;
 repeated rows score alike; without usable labels all texts score alike; texts are
@@ -25,7 +27,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from skylot.llm.common import staged
 
-#: Labelled rows that the classifier is fitted on at most, and features that it has at most.
-SAMPLE, FEATURES, MIN_DOCS, MIN_SHARE = 20_000, 2_000, 5, 0.5
+#: Labelled rows that the classifier is fitted on at most; a feature's toxic rows, and their share, at least.
+SAMPLE, MIN_DOCS, MIN_SHARE = 20_000, 5, 0.5
 #: Letters of a word's beginnings beside the first four, and words of a family that are told apart.
 BEGINNINGS, FAMILY = (5, 7), 4
 THRESHOLD = 0.7
@@ -57,12 +59,16 @@ _AS_LETTER, _REPEATED, _GONE, _PARTS = 0.7, 1.2, 0.2, 3.0
 LEXICON, _UNKNOWN, _COUNTED = 20_000, 20.0, 100_000
 #: A word is common if it stands in COMMON_DOCS documents and in COMMON_SHARE of all; its doubled letters are its own.
 COMMON_DOCS, COMMON_SHARE = 20, 0.002
-#: Tokens up to this length are kept in the reader's cache; longer ones are decoded anew.
-CACHED = 64
+#: Tokens up to this length are kept in a task's tables, so many at most; longer ones are decoded anew.
+CACHED, KEPT = 64, 100_000
 
 _SIGNS = re.escape("".join(READINGS))
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~«»„“”‚‘’…–—¿¡"
 _SPACED = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]{{1,3}}[a-z{_SIGNS}]){{2,}}(?![^\W\d_])")
+#: A separator before a single letter, and three letters set apart: searched for about the first, for texts without
+#: any such run are the rule.
+_SINGLE = re.compile(rf"[ .\-_*~](?=[a-z{_SIGNS}][ .\-_*~])")
+_THREE = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]{{1,3}}[a-z{_SIGNS}]){{2}}(?:[ .\-_*~]|(?![^\W\d_]))")
 _WIDTHS = re.compile(r"[ .\-_*~]+")
 _JOINTS = re.compile(r"[.\-_*~'/,:;=&?]+")
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
@@ -82,46 +88,63 @@ _CLASS[97:123] = np.arange(1, 27)
 _CLASS[[0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 27
 
 
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """(trigram int, n long) over all texts; trigram: a number in base SYMBOLS."""
+class Kept(dict):
+    """A function's values by token, for tokens up to CACHED characters and KEPT of them at most: those that
+    come first, among which the frequent ones are. Begins anew when many others have come."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                kinds = _CLASS[np.frombuffer(f"  {(text or '').lower()}  ".encode("latin-1", "replace"), np.uint8)]
-                total += np.bincount((kinds[:-2] * SYMBOLS + kinds[1:-1]) * SYMBOLS + kinds[2:], minlength=SYMBOLS**3)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], ["trigram", "n"])
+    def __init__(self, of: Callable):
+        super().__init__()
+        self.of, self.missed = of, 0
+
+    def __missing__(self, token: str):
+        value = self.of(token)
+        if len(self) < KEPT:
+            if len(token) <= CACHED:
+                self[token] = value
+        else:
+            self.missed += 1
+            if self.missed > 50 * KEPT:
+                self.clear()
+                self.missed = 0
+        return value
 
-    return docs.select("text").mapInArrow(count, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
+def _word(token: str) -> str:
+    """The word that a token is but for signs about it, or an empty one."""
+    plain = token if token.isalpha() else token.strip(_EDGES)
+    return plain if plain.isalpha() else ""
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word string, n long): documents with each word; the empty word stands in all documents."""
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(trigram int, word string, n long) over all texts: how often each trigram stands there, a number in
+    base SYMBOLS, and how many documents have each word. The empty word stands in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent() -> pa.RecordBatch:
-            there = pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
-            total.clear()
-            return there
+        def sent(trigrams: np.ndarray, words: list[str | None], n: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(trigrams, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["trigram", "word", "n"])
 
-        total = Counter()
+        cube, total, word = np.zeros(SYMBOLS**3, np.int64), Counter(), Kept(_word)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                total.update({w for w in {t if t.isalpha() else t.strip(_EDGES) for t in set((text or "").lower().split())} if w.isalpha()})
-                total[""] += 1
+            for text in batch.column("text"):
+                low = (text.as_py() or "").lower()
+                kinds = _CLASS[np.frombuffer(f"  {low}  ".encode("latin-1", "replace"), np.uint8)]
+                cube += np.bincount((kinds[:-2] * SYMBOLS + kinds[1:-1]) * SYMBOLS + kinds[2:], minlength=SYMBOLS**3)
+                there = set(map(word.__getitem__, set(low.split())))
+                there.add("")
+                total.update(there)
                 if len(total) > _COUNTED:
-                    yield sent()
-        yield sent()
+                    yield sent([None] * len(total), list(total), list(total.values()))
+                    total.clear()
+        there = np.flatnonzero(cube)
+        yield sent([*there, *[None] * len(total)], [*[None] * len(there), *total], [*cube[there], *total.values()])
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "trigram int, word string, n long").groupBy("trigram", "word").agg(F.sum("n").alias("n"))
 
 
-def lexicon(docs: DataFrame) -> tuple[dict[str, int], int]:
+def lexicon(counts: DataFrame) -> tuple[dict[str, int], int]:
     """At most LEXICON words, the most frequent ones, with the number of documents that have each, and the
-    number of all. Words of one frequency come all or none, so that only words taken reach the driver."""
-    counts = staged(word_counts(docs), "words")
+    number of all. Words of one frequency come all or none, so that only words taken reach the driver.
+    counts: counted(), written."""
     levels = counts.filter("word <> ''").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(LEXICON).collect()
     taken = itertools.accumulate(r["words"] for r in levels)
     least = min((r["n"] for r, words in zip(levels, taken, strict=True) if words <= LEXICON), default=math.inf)
@@ -144,17 +167,12 @@ class Reader:
         back_off /= back_off.sum(1, keepdims=True)
         smooth = cube + 5.0 * back_off[None, :, :]
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).tolist()
-        self._kept = functools.lru_cache(50_000)(self._readings)
-
     def read(self, token: str) -> str:
         """The likeliest words behind a token of letters, signs and separators, whatever its length."""
         return " ".join(self.readings(token)[0])
 
     def readings(self, token: str) -> tuple[list[str], list[str]]:
         """What read() gives, as words, and the likeliest single word of the corpus that the token may stand for."""
-        return self._kept(token) if len(token) <= CACHED else self._readings(token)
-
-    def _readings(self, token: str) -> tuple[list[str], list[str]]:
         runs = [m[0] for m in _RUNS.finditer(token)] if token.isalpha() else []
         if runs and math.prod(map(len, runs)) <= 64:  # only repeated letters: all ways to drop some
             kept = ("".join(c) for c in itertools.product(*([r[:k] for k in range(1, len(r) + 1)] for r in runs)))
@@ -261,34 +279,62 @@ def may_begin(token: str, skeletons: frozenset[str] | None) -> bool:
     return False
 
 
-def words(text: str, reader: Reader, skeletons: frozenset[str] | None = None) -> set[str]:
-    """The distinct words of a text, lower case, with what disguised ones stand for. skeletons: those of the
-    beginnings that matter; a token whose readings can't begin so isn't decoded."""
-    text = text.lower()
-    found = set()
-    for token in set(text.split()):
+def spaced(text: str) -> Iterator[re.Match]:
+    """The runs of three letters and more that are set apart in a lower-case text."""
+    if any(_THREE.search(text, max(0, m.start() - 3), m.end() + 6) for m in _SINGLE.finditer(text)):
+        yield from _SPACED.finditer(text)
+
+
+class Finder:
+    """Finds the words of texts, with what disguised ones stand for. heads: the first letters of the words that
+    matter; others are passed over, and a token whose readings can't begin so isn't decoded."""
+
+    def __init__(self, reader: Reader, heads: frozenset[str] | None = None):
+        self.reader, self.heads = reader, heads
+        self.skeletons = None if heads is None else frozenset(map(skeleton, heads))
+        firsts = {s[:1] for s in self.skeletons or ()}
+        #: First letters of words whose skeletons may matter.
+        self.firsts = None if heads is None else frozenset(firsts | {"i"} if "l" in firsts else firsts)
+        self.said = Kept(self._said)
+
+    def words(self, text: str) -> set[str]:
+        """The distinct words of a text, lower case."""
+        text = text.lower()
+        found: set[str] = set()
+        for said in map(self.said.__getitem__, set(text.split())):
+            if said:
+                found.update(said)
+        for m in spaced(text):
+            found.update(spaced_out(m[0], self.reader))
+        return found
+
+    def _said(self, token: str) -> tuple[str, ...]:
+        if self.heads is not None and token.isalpha() and token[0] not in self.firsts:  # most tokens
+            return (token,) if token[:4] in self.heads else ()
+        return tuple(w for w in self._readings(token) if self.heads is None or w[:4] in self.heads)
+
+    def _doubled(self, word: str) -> bool:
+        """Whether a word's doubled letters may be a disguise that matters."""
+        return ((self.firsts is None or word[0] in self.firsts) and _TWICE.search(word) is not None
+                and word not in self.reader.common and may_begin(word, self.skeletons))
+
+    def _readings(self, token: str) -> set[str]:
+        reader, found = self.reader, set()
         plain = token.strip(_EDGES)
-        if plain.isalpha():
-            found.add(plain)
-            if _TWICE.search(plain) and plain not in reader.common and may_begin(plain, skeletons):
-                found.update(*reader.readings(plain))
-        else:
-            parts = [p for p in _NOT_LETTERS.split(plain) if p]
-            found.update(parts)
-            for p in parts:
-                if _TWICE.search(p) and p not in reader.common and may_begin(p, skeletons):
-                    found.update(*reader.readings(p))
-            if 1 < len(parts) < 8:
-                found.add("".join(parts))
-        if _SIGN.search(token):
+        parts = [plain] if plain.isalpha() else [p for p in _NOT_LETTERS.split(plain) if p]
+        for p in parts:
+            found.add(p)
+            if self._doubled(p):
+                found.update(*reader.readings(p))
+        if len(parts) > 1:
+            found.add("".join(parts))
+        if not token.isalpha() and _SIGN.search(token):
             core = token.strip("\"'.,;:?-_*~#%&<>[]{}«»„“”")
             ended = core.lstrip("(").rstrip(_ENDS)
             for part in {core, ended, *_JOINTS.split(ended)}:  # also the parts of a compound by themselves
-                if _SIGN.search(part) and (part != core or core == ended or _BEFORE.search(core)) and may_begin(part, skeletons):
+                if _SIGN.search(part) and (part != core or core == ended or _BEFORE.search(core)) and may_begin(part, self.skeletons):
                     found.update(*reader.readings(part))
-    for m in _SPACED.finditer(text):
-        found.update(spaced_out(m[0], reader))
-    return found
+        return found
 
 
 def features(found: set[str], heads: frozenset[str] | None = None) -> set[str]:
@@ -335,17 +381,16 @@ class Model:
     def __init__(self, counts: np.ndarray, known: dict[str, int], docs: int, weights: dict[str, float]):
         self.counts, self.known, self.docs, self.weights = counts, known, docs, weights
         self.heads = frozenset(f.partition("*")[0][:4] for f in weights)
-        self.skeletons = frozenset(map(skeleton, self.heads))
 
     @functools.cached_property
-    def reader(self) -> Reader:
-        return Reader(self.counts, self.known, self.docs)
+    def finder(self) -> Finder:
+        return Finder(Reader(self.counts, self.known, self.docs), self.heads)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "reader"}
+        return {k: v for k, v in self.__dict__.items() if k != "finder"}
 
     def score(self, text: str) -> float:
-        there = features(words(text, self.reader, self.skeletons), self.heads)
+        there = features(self.finder.words(text), self.heads)
         # in one order, so that equal texts have equal sums
         z = BIAS + math.fsum(self.weights[f] for f in there if f in self.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -358,21 +403,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of docs (doc_id, text), with weights from labels (doc_id, toxic)."""
     counts = np.zeros(SYMBOLS**3, np.int64)
-    for row in trigram_counts(docs).collect():  # at most SYMBOLS**3 rows
+    every = staged(counted(docs), "counts")
+    for row in every.filter("trigram IS NOT NULL").collect():  # at most SYMBOLS**3 rows
         counts[row["trigram"]] = row["n"]
-    known, n_docs = lexicon(docs)
-    empty = Model(counts, known, n_docs, {})
+    known, n_docs = lexicon(every.filter("word IS NOT NULL"))
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `sample` narrow rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # `sample` narrow rows
+    # of an id's rows one, so that no more than `sample` are fitted on
+    rows = staged(texts.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("row.*"), "labelled")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = empty.reader
+        finder = Finder(Reader(counts, known, n_docs))
         for batch in batches:
             all_, toxic = Counter(), Counter()
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                there = features(words(text or "", reader))
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                there = features(finder.words(text.as_py() or ""))
                 all_.update(there)
                 if label:
                     toxic.update(there)
@@ -384,14 +431,14 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     best = seen.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
     share = F.col("toxic") / F.col("n")
-    best = best.orderBy((share * share * F.col("toxic")).desc(), "feature").limit(FEATURES)
-    number = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}  # at most FEATURES rows
+    # the words of `sample` texts bound what is collected
+    number = {r["feature"]: i for i, r in enumerate(best.orderBy((share * share * F.col("toxic")).desc(), "feature").select("feature").collect())}
     chosen = Model(counts, known, n_docs, dict.fromkeys(number, 0.0))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = [sorted(number[f] for f in features(words(t or "", chosen.reader, chosen.skeletons), chosen.heads) if f in number)
-                     for t in batch.column("text").to_pylist()]
+            there = [sorted(number[f] for f in features(chosen.finder.words(t.as_py() or ""), chosen.heads) if f in number)
+                     for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["there", "toxic"])
 
     table = rows.mapInArrow(placed, "there array<int>, toxic int").collect()  # at most `sample` rows
@@ -408,7 +455,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(t or "") for t in batch.column("text").to_pylist()]
+            scores = [shared.value.score(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(score, SCORED).select(
@@ -423,8 +470,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("row").field(docs_text).to_pylist()
-            fine = [shared.value.score(t or "") < THRESHOLD for t in texts]
+            fine = [shared.value.score(t.as_py() or "") < THRESHOLD for t in batch.column("row").field(docs_text)]
             yield batch.filter(pa.array(fine, pa.bool_()))
 
     docs_text = docs.columns.index("text")

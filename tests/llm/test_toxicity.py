@@ -25,12 +25,16 @@ def test_held_out_documents_score_as_their_labels(spark, tables):
     assert kept.columns == docs.columns and kept.count() == sum(1 - r["predicted"] for r in scores.values())
 
 
+def words_of(spark, texts):
+    return toxicity.counted(frame(spark, texts)).filter("word IS NOT NULL")
+
+
 def reader(spark):
     import numpy as np
 
     counts = np.zeros(toxicity.SYMBOLS**3, np.int64)
     texts = ["you are a stupid idiot and the moron is here with us all", "this is a horrible and stupid idea of an idiot"] * 50
-    for r in toxicity.trigram_counts(frame(spark, texts)).collect():
+    for r in toxicity.counted(frame(spark, texts)).filter("trigram IS NOT NULL").collect():
         counts[r["trigram"]] = r["n"]
     return toxicity.Reader(counts)
 
@@ -39,34 +43,78 @@ def test_viterbi_reads_disguised_words(spark):
     read = reader(spark).read
     assert read("stup1d") == "stupid" and read("1d10t") == "idiot" and read("$tup!d") == "stupid"
     assert read("s.t.u.p.i.d") == "stupid" and read("stuuuupid") == "stupid" and read("i d i o t") == "idiot"
-    assert toxicity.words("An 1D10T, s t u p i d!", reader(spark)) >= {"idiot", "stupid"}
+    assert toxicity.Finder(reader(spark)).words("An 1D10T, s t u p i d!") >= {"idiot", "stupid"}
 
 
 def test_long_spaced_out_texts_are_read_whole(spark):
     said = "you are a stupid idiot and the moron is a horrible idea " * 8
-    known, n = toxicity.lexicon(frame(spark, ["you are a stupid idiot and the moron is here", "a horrible idea", None] * 9))
+    known, n = toxicity.lexicon(words_of(spark, ["you are a stupid idiot and the moron is here", "a horrible idea", None] * 9))
     assert n == 27 and known["a"] == 18 and known["moron"] == 9
     read = toxicity.Reader(reader(spark).counts, known)
     wanted = set(said.split())
     for apart in (" ".join(said.replace(" ", "")), "  ".join(said.replace(" ", "")), "   ".join(" ".join(w) for w in said.split())):
-        assert len(apart) > 600 and toxicity.words(apart, read) >= wanted
+        assert len(apart) > 600 and toxicity.Finder(read).words(apart) >= wanted
     hidden = "x" + "-x" * 40 + "-stup1d-1d10t"
-    assert toxicity.words(hidden, read) >= {"stupid", "idiot"}
+    assert toxicity.Finder(read).words(hidden) >= {"stupid", "idiot"}
 
 
 def test_every_form_of_disguise_reaches_the_reader(spark):
     texts = ["you are a stupid idiot and the moron is here", "a worthless and disgusting ass"] * 20 + ["see all that is good"] * 60
     counts = toxicity.np.zeros(toxicity.SYMBOLS**3, toxicity.np.int64)
-    for r in toxicity.trigram_counts(frame(spark, texts)).collect():
+    for r in toxicity.counted(frame(spark, texts)).filter("trigram IS NOT NULL").collect():
         counts[r["trigram"]] = r["n"]
-    read = toxicity.Reader(counts, *toxicity.lexicon(frame(spark, texts)))
+    read = toxicity.Reader(counts, *toxicity.lexicon(words_of(spark, texts)))
     for said, meant in {"idio7": "idiot", "worthle55": "worthless", "disgustin9": "disgusting", "a$$": "ass", "idio7!": "idiot", "(idio7)": "idiot",
                         "stuupid": "stupid", "iddiot": "idiot", "stuuupid-head": "stupid", "iddiot/moron": "idiot", "my-idio7": "idiot",
                         "1D10T!": "idiot"}.items():
-        assert meant in toxicity.words(f"such {said} there", read), said
-        heads = frozenset({meant[:4]})
-        assert meant in toxicity.words(said, read, frozenset(map(toxicity.skeleton, heads))), said  # what is passed over can't matter
-    assert toxicity.words("see good all! idiot!", read) == {"see", "good", "all", "idiot"}
+        assert meant in toxicity.Finder(read).words(f"such {said} there"), said
+        assert meant in toxicity.Finder(read, frozenset({meant[:4]})).words(said), said  # what is passed over can't matter
+    assert toxicity.Finder(read).words("see good all! idiot!") == {"see", "good", "all", "idiot"}
+
+
+def test_viterbi_finds_the_cheapest_of_all_readings(spark):
+    """Against enumeration: every way to read or drop each character of short tokens."""
+    read = reader(spark)
+
+    def every(token, a=0, b=0, last="", cost=0.0):
+        if not token:
+            yield cost + read.cost[a][b][0]
+            return
+        char, rest = token[0], token[1:]
+        letters = [(char, 0.0)] if char.isalpha() else [(c, toxicity._AS_LETTER) for c in toxicity.READINGS.get(char, "")]
+        for c, extra in letters:
+            s = ord(c) - 96
+            yield from every(rest, b, s, c, cost + extra + read.cost[a][b][s])
+            if c == last:
+                yield from every(rest, a, b, last, cost + extra + toxicity._REPEATED)
+        if char in toxicity.SEPARATORS or not letters:
+            yield from every(rest, a, b, last, cost + toxicity._GONE)
+        if char in toxicity.SEPARATORS and last:
+            yield from every(rest, b, 0, "", cost + toxicity._PARTS + read.cost[a][b][0])
+
+    def price(token, said):
+        """The cheapest cost at which token is read as said."""
+        def walk(token, a, b, last, left):
+            if not token:
+                return read.cost[a][b][0] if not left.strip() else float("inf")
+            char, rest, best = token[0], token[1:], float("inf")
+            letters = [(char, 0.0)] if char.isalpha() else [(c, toxicity._AS_LETTER) for c in toxicity.READINGS.get(char, "")]
+            for c, extra in letters:
+                if left.startswith(c):
+                    s = ord(c) - 96
+                    best = min(best, extra + read.cost[a][b][s] + walk(rest, b, s, c, left[1:]))
+                if c == last:
+                    best = min(best, extra + toxicity._REPEATED + walk(rest, a, b, last, left))
+            if char in toxicity.SEPARATORS or not letters:
+                best = min(best, toxicity._GONE + walk(rest, a, b, last, left))
+            if char in toxicity.SEPARATORS and last and (left.startswith(" ") or not left):
+                best = min(best, toxicity._PARTS + read.cost[a][b][0] + walk(rest, b, 0, "", left[1:]))
+            return best
+
+        return walk(token, 0, 0, "", said)
+
+    for token in ("1d10t", "st1pp", "a$$-1t", "i.d.1.o", "m0r0n", "s t u"):
+        assert abs(price(token, read.read(token)) - min(every(token))) < 1e-9, token
 
 
 def test_odd_rows(spark):
