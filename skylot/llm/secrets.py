@@ -2,12 +2,14 @@
 
 A pattern's places come from two passes that agree on the matches: split() gives the gaps,
 regexp_extract_all() what was found, and their lengths add up to the offsets. Beside the patterns,
-long strings that mix letters and digits are candidates: a window slides over each, the counts of its
-characters change by one in and one out, and with them the sum of c * log2(c) that Shannon entropy
-needs. A candidate whose richest window reaches its character class's threshold is a finding, unless
-the allow-list knows its form (UUIDs, running alphabets, placeholders) or a pattern's span meets it.
+long strings that mix letters and digits are candidates: a window slides over each, the count of the
+character that comes and of the one that goes changes by one, and with it the sum of c * log2(c) that
+Shannon entropy needs. A candidate whose richest window reaches its character class's threshold is a
+finding, unless the allow-list knows its form (UUIDs, mere words or digits) or a pattern's span meets it.
+The parts of a candidate between '/', '_', '+' and '-' that hold a placeholder's word don't count: the rest
+is measured.
 
-Every row is worked on by itself: no shuffle, nothing is collected.
+Every row is worked on by itself: no shuffle, nothing is collected. Time is in proportion to the text.
 
 Cases: null text is empty and has no spans; repeated rows have equal results; texts of any length are
 scanned whole; an empty table gives an empty one; findings() doesn't read columns beside doc_id and
@@ -16,6 +18,9 @@ text, redacted() keeps them, whatever their names.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +33,39 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Candidates for the entropy scan, and forms that aren't secrets.
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 QUICK = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}"
-ALLOWED = (r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|dummy|placeholder|changeme|x{6}"
-           r"|0123456789|abcdefgh|^[0-9+/_-]*$|^[a-z+/_-]*$")
+ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[0-9+/_-]*$|^[a-z+/_-]*$"
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|x{6}|0123456789|abcdefgh"
 #: Characters in a window, and bits a character from which a window counts as random, by class.
 WINDOW = 16
 THRESHOLDS = {"hex": 2.8, "alnum": 3.2, "base64": 3.4}
 
 _SPANS = "array<struct<start:int,stop:int,said:string>>"
+#: Items that running() appends to one array: an array is copied whenever it grows.
+_PIECE = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states after each of items, beginning from zero, as an array of struct type kind. Arrays grow by pieces, so
+    that the time stays in proportion to their length."""
+    def append(s: Column, x: Column) -> Column:
+        return let(step(s["now"], x), lambda new: F.struct(new.alias("now"), F.concat(s["out"], F.array(new)).alias("out")))
+
+    def piece(s: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(s["now"].alias("now"), F.array().cast(f"array<{kind}>").alias("out")), append)
+        return let(done, lambda d: F.struct(d["now"].alias("now"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    def all_pieces(every: Column) -> Column:
+        starts = F.when(F.size(every) > 0, F.sequence(F.lit(1), F.size(every), F.lit(_PIECE))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice(every, i, F.lit(_PIECE)))
+        first = F.struct(zero.alias("now"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.flatten(F.aggregate(parts, first, piece, lambda s: s["out"]))
+
+    return let(items, all_pieces)
 
 
 def located(text: Column, pattern: str, quick: Column) -> Column:
@@ -43,42 +74,39 @@ def located(text: Column, pattern: str, quick: Column) -> Column:
                        lambda gap, said: F.struct(F.length(gap).alias("gap"), said.alias("said")))
 
     def step(s: Column, x: Column) -> Column:
-        start = s["at"] + x["gap"]
-        stop = start + F.length(x["said"])
-        here = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["said"].alias("said")))
-        return F.struct(F.coalesce(stop, start).alias("at"),
-                        F.when(x["said"].isNull(), s["out"]).otherwise(F.concat(s["out"], here)).alias("out"))
+        return let(s["stop"] + x["gap"], lambda start: F.struct(
+            start.alias("start"), (start + F.length(x["said"])).alias("stop"), x["said"].alias("said")))
 
-    none = F.array().cast(_SPANS)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(quick, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(none)
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(None).cast("string").alias("said"))
+    found = F.filter(running(pairs, zero, step, "struct<start:int,stop:int,said:string>"), lambda m: m["said"].isNotNull())
+    return F.when(quick, found).otherwise(F.array().cast(_SPANS))
 
 
 def richest_window(said: Column, width: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits a character, of any window of width characters."""
-    def weight(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+    # c * log2(c) as whole multiples of 2**-32, so that sums don't drift however far the window slides
+    weight = [round(n * math.log2(n) * 2**32) if n else 0 for n in range(width + 1)]
+    grows = F.array(*(F.lit(weight[n + 1] - weight[n]).cast("long") for n in range(width)))
 
-    def place(i: Column) -> Column:
-        return F.ascii(F.substring(said, i, F.lit(1)))
+    def count(window: Column, char: Column) -> Column:
+        return F.length(window) - F.length(F.replace(window, char, F.lit("")))
 
-    def changed(counts: Column, at: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, i: F.when(i == at, n + by).otherwise(n))
+    def step(s: Column, new: Column) -> Column:
+        full = F.length(s["window"]) == width
+        gone = F.substring(s["window"], 1, 1)
+        rest = F.when(full, F.substring(s["window"], 2, width - 1)).otherwise(s["window"])
+        lost = F.when(full, F.get(grows, count(s["window"], gone) - 1)).otherwise(F.lit(0))
+        return let(F.struct(rest.alias("rest"), lost.alias("lost")), lambda t: F.struct(
+            F.concat(t["rest"], new).alias("window"),
+            (s["sum"] - t["lost"] + F.get(grows, count(t["rest"], new))).alias("sum"),
+            F.when(full, F.least(s["least"], s["sum"])).otherwise(s["least"]).alias("least")))
 
-    def step(s: Column, i: Column) -> Column:
-        new, gone = place(i), place(i - width)
-        full = i > width
-        before = F.get(s["counts"], new)
-        grown = changed(s["counts"], new, 1)
-        total = s["sum"] + weight(before + 1) - weight(before)
-        leaving = F.get(grown, gone)
-        kept = F.when(full, changed(grown, gone, -1)).otherwise(grown)
-        total = total + F.when(full, weight(leaving - 1) - weight(leaving)).otherwise(F.lit(0.0))
-        bits = F.when(i >= width, F.lit(float(width)) * F.log2(F.lit(float(width))) - total).otherwise(F.lit(0.0)) / width
-        return F.struct(kept.alias("counts"), total.alias("sum"), F.greatest(s["best"], bits).alias("best"))
+    def bits(s: Column) -> Column:
+        least = F.least(s["least"], F.when(F.length(s["window"]) == width, s["sum"]))
+        return F.coalesce(F.lit(math.log2(width)) - least / F.lit(float(2**32 * width)), F.lit(0.0))
 
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(said)), zero, step, lambda s: s["best"])
+    zero = F.struct(F.lit("").alias("window"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("least"))
+    return F.aggregate(F.split(said, ""), zero, step, bits)
 
 
 def _as_spans(found: Column, kind: str) -> Column:
@@ -101,12 +129,19 @@ def scanned(docs: DataFrame) -> DataFrame:
         "_candidates": located(text, CANDIDATE, text.rlike(QUICK))})
     found = found.withColumn("base", F.array_sort(F.concat(*(f"_{k}" for k in base))))
 
-    said = lambda c: F.regexp_replace(c["said"], "=+$", "")
-    level = lambda c: (F.when(said(c).rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"])
-                       .when(said(c).rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"]))
+    def level(said: Column) -> Column:
+        return (F.when(said.rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"])
+                .when(said.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"]))
+
+    def is_random(said: Column) -> Column:
+        """A string without '=' at its end: outside the allow-list, with a window that is rich enough."""
+        parts = F.transform(F.split(said, "(?=[+/_-])"), lambda p: F.when(p.rlike(PLACEHOLDER), " ").otherwise(p))
+        real = F.split(F.array_join(parts, ""), " ")  # what stands between placeholders
+        return said.rlike("[0-9]") & said.rlike("[A-Za-z]") & ~said.rlike(ALLOWED) & F.exists(real, lambda r: F.when(
+            F.length(r) >= WINDOW, richest_window(r) >= level(r)).otherwise(F.lit(False)))
+
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    random = F.filter("_candidates", lambda c: said(c).rlike("[0-9]") & said(c).rlike("[A-Za-z]") & ~said(c).rlike(ALLOWED)
-                      & apart(c) & (richest_window(said(c)) >= level(c)))
+    random = F.filter("_candidates", lambda c: let(F.regexp_replace(c["said"], "=+$", ""), is_random) & apart(c))
     found = found.withColumn("_entropy", _as_spans(random, "entropy"))
     return found.withColumn("spans", F.array_sort(F.concat("base", "_entropy"))).drop(
         *(f"_{k}" for k in base), "_candidates", "_entropy")
@@ -122,14 +157,19 @@ def findings(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every span in text replaced by mark; overlapping spans by one."""
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        before = F.substring("text", s["at"] + 1, x["start"] - s["at"])
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"),
-                        F.when(fresh, F.concat(s["out"], before, F.lit(mark))).otherwise(s["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
+    def reach(s: Column, x: Column) -> Column:
+        """A span that starts inside those before it is part of their mark."""
+        return F.struct(s["stop"].alias("before"), (x["start"] >= s["stop"]).alias("fresh"), x["start"].alias("start"),
+                        F.greatest(s["stop"], x["stop"]).alias("stop"))
+
+    def pieces(reached: Column) -> Column:
+        return let(F.split("text", ""), lambda chars: F.concat(F.array_join(F.flatten(F.transform(
+            F.filter(reached, lambda r: r["fresh"]),
+            lambda r: F.concat(F.slice(chars, r["before"] + 1, r["start"] - r["before"]), F.array(F.lit(mark))))), ""),
+            F.array_join(F.slice(chars, F.element_at(reached, -1)["stop"] + 1, F.size(chars)), "")))
+
+    zero = F.struct(F.lit(0).alias("before"), F.lit(True).alias("fresh"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
+    clean = let(running(F.col("spans"), zero, reach, "struct<before:int,fresh:boolean,start:int,stop:int>"), pieces)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")  # its names clash with none
     rows = scanned(whole).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
     return rows.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
