@@ -4,21 +4,25 @@ Seeds are the spans that the base patterns find. Every identifier-like token of
 not, is an instance, seen in contexts: the words before it, alone or with the word after it or the token's shape.
 Contexts and instances make a bipartite graph, a row an edge. Rounds of scoring go to and fro:
 a context is as reliable as the instances seen in it (weighed down while it has seen few), an
-unknown token as reliable as its best contexts. Contexts that stay reliable after the last round are
-the patterns; tokens in them that no base span meets are found, with the kind that the context's
-seeds mostly have.
+unknown token as reliable as its best contexts. A context that is reliable and has MIN_SEEDS instances of
+known kind is a pattern of the kind that most of them have. Tokens in it are discovered; from the next round on
+they are instances of known kind themselves, so that they induce patterns where no seed stands. Tokens in the
+last round's patterns that no base span meets are found, with the kind of the most reliable one.
 
 Spark side: the texts are read twice, for edges and for the result; only edges (a text has few) are
 shuffled. Counts are summed before the shuffle, so a context or an instance with a third of all edges
 is no hot key, and joins on it are split by adaptive execution.
 
 Cases: null text is empty and has no spans; rows that share doc_id (null ids too) get the spans of
-their own text; repeated rows have equal results; texts are read whole; an empty table gives an empty
+their own text; repeated rows have equal results; texts are read whole, in time proportional to
+their length; an identifier beside the base has SHORTEST characters at least; an empty table gives an empty
 one; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -32,12 +36,15 @@ from skylot.llm.common import staged
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base (fixed values).
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # a match never starts behind a digit
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: What an identifier may look like: a token with a digit or an at sign.
-TOKEN = re.compile(r"[A-Za-z0-9._%+()@#/:-]*[0-9@][A-Za-z0-9._%+()@#/:-]*")
+#: What an identifier may look like: a token with a digit or an at sign, of SHORTEST characters at least.
+TOKEN, MARK, SHORTEST = re.compile(r"[A-Za-z0-9._%+()@#/:-]+"), re.compile("[0-9@]"), 4
+_WORD = re.compile(r"\S+")
+#: Longer parts of a context are kept as a digest: only their being equal matters.
+SPELLED = 64
 #: Rounds of scoring, how much a context has to have seen and how reliable it has to be.
 ROUNDS, MIN_SEEDS, RELIABLE, PRIOR = 3, 5, 0.8, 2.0
 
@@ -67,7 +74,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, stop) by kind as listed, then by start."""
     found = [("email", *s) for s in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(digits := re.sub(r"[\x20-]", "", m[0])) <= 19 and luhn(digits):
@@ -82,26 +89,62 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def shape(token: str) -> str:
     """The token's kinds of characters, runs as one."""
     kinds = re.sub(r"[A-Za-z]+", "a", token)
-    return re.sub(r"[0-9]+", "9", kinds)[:24]
-
-
-def _words_before(text: str, start: int, n: int = 2) -> str:
-    return " ".join(text[max(0, start - 64):start].lower().split()[-n:])
-
-
-def _word_after(text: str, stop: int) -> str:
-    after = text[stop:stop + 48].split(None, 1)
-    return after[0].lower().rstrip(".,;:!?") if after else ""
-
-
-def _contexts(text: str, start: int, stop: int) -> list[str]:
-    """Lexical patterns of a place: the two words before, with the shape and (where there are two) for
-    any shape; the word before with the shape; the word on either side with the shape."""
-    form = shape(text[start:stop])
-    before = _words_before(text, start)
-    first, _, last = before.rpartition(" ")
-    shaped = [f"b2|{before}|{form}", f"b1|{last}|{form}", f"ba|{last}|{_word_after(text, stop)}|{form}"]
-    return [*shaped, f"l2|{before}"] if first else shaped
+    return _brief(re.sub(r"[0-9]+", "9", kinds))
+
+
+def _brief(part: str) -> str:
+    return part if len(part) <= SPELLED else hashlib.sha256(part.encode("utf-8", "replace")).hexdigest()
+
+
+class Places:
+    """The lexical patterns of a text's places. Words are what stands between spaces; of the word that a place stands
+    in, its beginning and its rest, as far as the places beside it, count as words too."""
+
+    def __init__(self, text: str):
+        self.text, self.spelled = text, {}
+        words = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.stops = [w[0] for w in words], [w[1] for w in words]
+
+    def word(self, k: int) -> str:
+        if k not in self.spelled:
+            self.spelled[k] = _brief(self.text[self.starts[k]:self.stops[k]].lower())
+        return self.spelled[k]
+
+    def before(self, start: int, last: int, n: int = 2) -> list[str]:
+        """The last n words before a place; last: where the place before it stops."""
+        k = bisect.bisect_left(self.starts, start)
+        own = []
+        if k and self.stops[k - 1] >= start:  # it stands in this word, or at its end
+            k -= 1
+            own = [_brief(self.text[max(self.starts[k], last):start].lower())] if last < start else []
+        return [*(self.word(i) for i in range(max(0, k - n + len(own)), k)), *own]
+
+    def after(self, stop: int, following: int) -> str:
+        """The next word behind a place; following: where the place behind it starts."""
+        k = bisect.bisect_right(self.stops, stop)
+        if k == len(self.stops):
+            return ""
+        rest = _brief(self.text[stop:min(self.stops[k], max(following, stop))].lower()) if self.starts[k] < stop else self.word(k)
+        return rest.rstrip(".,;:!?")
+
+    def contexts(self, start: int, stop: int, last: int, following: int) -> list[str]:
+        """The two words before, with the shape and (where there are two) for any shape; the word before with the
+        shape; the word on either side with the shape."""
+        form, before = shape(self.text[start:stop]), self.before(start, last)
+        previous = before[-1] if before else ""
+        shaped = [f"b2|{' '.join(before)}|{form}", f"b1|{previous}|{form}", f"ba|{previous}|{self.after(stop, following)}|{form}"]
+        return [*shaped, f"l2|{' '.join(before)}"] if len(before) > 1 else shaped
+
+
+def seen(text: str) -> Iterator[tuple[int, int, str | None, list[str]]]:
+    """instances() with their contexts."""
+    found = instances(text)
+    where = Places(text) if found else None
+    found.sort(key=lambda s: s[:2])
+    for k, (start, stop, kind) in enumerate(found):
+        last = found[k - 1][1] if k else 0
+        following = found[k + 1][0] if k + 1 < len(found) else len(text)
+        yield start, stop, kind, where.contexts(start, stop, last, following)
 
 
 def instances(text: str) -> list[tuple[int, int, str | None]]:
@@ -110,13 +153,15 @@ def instances(text: str) -> list[tuple[int, int, str | None]]:
     out: list[tuple[int, int, str | None]] = list(base)
     k, reach = 0, 0
     for m in TOKEN.finditer(text):
-        start, stop = m.start(), m.end()
+        if not MARK.search(text, *m.span()):
+            continue
+        start, stop = m.span()
         while stop > start and text[stop - 1] in ".:-/(":
             stop -= 1
         while k < len(base) and base[k][0] < stop:
             reach = max(reach, base[k][1])
             k += 1
-        if stop - start >= 4 and reach <= start:
+        if stop - start >= SHORTEST and reach <= start:
             out.append((start, stop, None))
     return out
 
@@ -130,33 +175,37 @@ def edges(docs: DataFrame) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                for start, stop, kind in instances(text or ""):
-                    rows += [(c, text[start:stop], kind) for c in _contexts(text, start, stop)]
+            for text in (t.as_py() or "" for t in batch.column("text")):
+                for start, stop, kind, contexts in seen(text):
+                    said = _brief(text[start:stop])
+                    rows += [(c, said, kind) for c in contexts]
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["context", "instance", "kind"])
 
-    seen = docs.select("text").mapInArrow(collect, "context string, instance string, kind string")
-    return seen.groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("n"))
+    met = docs.select("text").mapInArrow(collect, "context string, instance string, kind string")
+    return met.groupBy("context", "instance", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def patterns(graph: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, reliable: float = RELIABLE) -> DataFrame:
     """EDGE -> (context, kind, confidence): the reliable contexts."""
     # distinct instances count, not their repetitions: a copied text is no further evidence
     links = staged(graph.select("context", "instance", "kind"), "graph")
-    trust = links.withColumn("trust", F.col("kind").isNotNull().cast("double"))
-    best = None
-    for _ in range(rounds):
-        best = trust.groupBy("context").agg((F.sum("trust") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"))
-        unknown = (links.filter("kind IS NULL").join(best, "context").groupBy("instance")
-                   .agg(F.max("confidence").alias("belief")))
-        trust = links.join(unknown, "instance", "left").withColumn(
-            "trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
-    kinds = links.filter("kind IS NOT NULL").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("seeds"))
     first = Window.partitionBy("context").orderBy(F.desc("seeds"), "kind")  # four kinds at most
-    kinds = kinds.withColumn("place", F.row_number().over(first)).filter(
-        (F.col("place") == 1) & (F.col("seeds") >= min_seeds)).drop("place", "seeds")
-    return best.filter(F.col("confidence") >= reliable).join(kinds, "context")
+    known = links.withColumn("trust", F.col("kind").isNotNull().cast("double"))  # kind: a seed's or a discovered one
+    for _ in range(rounds):
+        best = known.groupBy("context").agg((F.sum("trust") / (F.count(F.lit(1)) + PRIOR)).alias("confidence"))
+        kinds = known.filter("kind IS NOT NULL").groupBy("context", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+        kinds = kinds.withColumn("place", F.row_number().over(first)).filter(
+            (F.col("place") == 1) & (F.col("seeds") >= min_seeds)).drop("place", "seeds")
+        scored = staged(best.join(kinds, "context", "left"), "contexts")
+        sure = scored.filter((F.col("confidence") >= reliable) & F.col("kind").isNotNull())
+        belief = F.max(F.when((F.col("confidence") >= reliable) & F.col("found").isNotNull(), F.struct("confidence", "found"))).alias("best")
+        unknown = (links.filter("kind IS NULL").join(scored.withColumnRenamed("kind", "found"), "context").groupBy("instance")
+                   .agg(F.max("confidence").alias("belief"), belief))
+        known = links.join(unknown, "instance", "left").select(
+            "context", "instance", F.coalesce("kind", F.col("best.found")).alias("kind"),
+            F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("trust"))
+    return sure
 
 
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint>>"
@@ -169,12 +218,12 @@ def located(docs: DataFrame) -> DataFrame:
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key")), strict=True):
-                text = text or ""
+            for doc, text, key in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("text_key").to_pylist(), strict=True):
+                text = text.as_py() or ""
                 rows.append((doc, key, [dict(zip(("kind", "start", "stop"), s, strict=True)) for s in base_spans(text)], None, None, None))
-                for start, stop, kind in instances(text):
+                for start, stop, kind, contexts in seen(text):
                     if kind is None:
-                        rows += [(doc, key, None, start, stop, c) for c in _contexts(text, start, stop)]
+                        rows += [(doc, key, None, start, stop, c) for c in contexts]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
             types = [pa.int64(), pa.int64(), pa.list_(span), pa.int64(), pa.int64(), pa.string()]
