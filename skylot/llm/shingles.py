@@ -58,11 +58,11 @@ CHUNK = 1 << 19
 #: Ids that are broadcast at most, 8 bytes each, to pick texts where they lie; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Texts, pairs of texts and pairs of sketches in an Arrow batch: texts may be very long.
-SET_ROWS, PAIR_ROWS, SKETCH_ROWS = 1000, 100, 2000
+SET_ROWS, PAIR_ROWS, SKETCH_ROWS = 1000, 100, 500
 #: Classes of a block that are compared with as many in one piece.
 SPLIT = 1000
 #: Word hashes that a Python worker keeps at most.
-KEPT = 200_000
+KEPT = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -293,7 +293,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, n: int = N, per
     """Enough links (a, b) between representatives of classes to connect all that is connected.
     found: SET, written; classes: as classes_of() gives them, written."""
     texts = keyed(docs)
-    members = staged(shared_blocks(found), "members")
+    members = staged(shared_blocks(found), "members", SET_ROWS)
     sketches = found.filter("sketch IS NOT NULL").select("class", "sketch").groupBy("class").agg(F.first("sketch").alias("sketch"))
     fit = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
 

@@ -60,7 +60,7 @@ LEXICON, _UNKNOWN, _COUNTED = 20_000, 20.0, 100_000
 #: A word is common if it stands in COMMON_DOCS documents and in COMMON_SHARE of all; its doubled letters are its own.
 COMMON_DOCS, COMMON_SHARE = 20, 0.002
 #: Tokens up to this length are kept in a task's tables, so many at most; longer ones are decoded anew.
-CACHED, KEPT = 64, 100_000
+CACHED, KEPT = 64, 60_000
 
 _SIGNS = re.escape("".join(READINGS))
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~«»„“”‚‘’…–—¿¡"
@@ -120,7 +120,7 @@ def counted(docs: DataFrame) -> DataFrame:
     base SYMBOLS, and how many documents have each word. The empty word stands in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent(trigrams: np.ndarray, words: list[str | None], n: list[int]) -> pa.RecordBatch:
+        def sent(trigrams: list, words: list[str | None], n: list[int]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(trigrams, pa.int32()), pa.array(words, pa.string()), pa.array(n, pa.int64())], ["trigram", "word", "n"])
 
         cube, total, word = np.zeros(SYMBOLS**3, np.int64), Counter(), Kept(_word)
@@ -141,6 +141,16 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "trigram int, word string, n long").groupBy("trigram", "word").agg(F.sum("n").alias("n"))
 
 
+def _summed(sets: Iterator[set[str]], name: str) -> Iterator[pa.RecordBatch]:
+    """How many sets have each string, in parts of bounded size: rows (name, n)."""
+    total: Counter = Counter()
+    for found in itertools.chain(sets, [None]):
+        total.update(found or ())
+        if found is None or len(total) > _COUNTED:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], [name, "n"])
+            total.clear()
+
+
 def lexicon(counts: DataFrame) -> tuple[dict[str, int], int]:
     """At most LEXICON words, the most frequent ones, with the number of documents that have each, and the
     number of all. Words of one frequency come all or none, so that only words taken reach the driver.
@@ -309,8 +319,10 @@ class Finder:
         return found
 
     def _said(self, token: str) -> tuple[str, ...]:
-        if self.heads is not None and token.isalpha() and token[0] not in self.firsts:  # most tokens
-            return (token,) if token[:4] in self.heads else ()
+        if self.heads is not None:  # most tokens are mere words without a doubled letter that matters
+            plain = _word(token)
+            if plain and (plain[0] not in self.firsts or not _TWICE.search(plain)) and (plain is token or not _SIGN.search(token)):
+                return (plain,) if plain[:4] in self.heads else ()
         return tuple(w for w in self._readings(token) if self.heads is None or w[:4] in self.heads)
 
     def _doubled(self, word: str) -> bool:
@@ -414,25 +426,22 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # of an id's rows one, so that no more than `sample` are fitted on
     rows = staged(texts.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("row.*"), "labelled")
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def in_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(Reader(counts, known, n_docs))
-        for batch in batches:
-            all_, toxic = Counter(), Counter()
-            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                there = features(finder.words(text.as_py() or ""))
-                all_.update(there)
-                if label:
-                    toxic.update(there)
-            keys = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()),
-                                              pa.array([all_[k] for k in keys], pa.int64())], ["feature", "toxic", "n"])
-
-    seen = rows.mapInArrow(tally, "feature string, toxic long, n long").groupBy("feature").agg(
-        F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    best = seen.filter((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("n")))
-    share = F.col("toxic") / F.col("n")
-    # the words of `sample` texts bound what is collected
-    number = {r["feature"]: i for i, r in enumerate(best.orderBy((share * share * F.col("toxic")).desc(), "feature").select("feature").collect())}
+        yield from _summed((features(finder.words(t.as_py() or "")) for batch in batches for t in batch.column("text")), "feature")
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = Kept(_word)
+        yield from _summed(({word[w] for w in set((t.as_py() or "").lower().split())} for batch in batches for t in batch.column("text")), "feature")
+
+    # toxic rows name the candidates; those whose word alone stands in too many rows can't be features
+    toxic = rows.filter("toxic = 1").mapInArrow(in_toxic, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("toxic"))
+    often = rows.select("text").mapInArrow(plain, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    own = F.array("feature", *(F.when(F.length("feature") > n, F.concat(F.substring("feature", 1, n), F.lit("*"))) for n in (4, *BEGINNINGS)))
+    often = often.select(F.explode(F.array_compact(own)).alias("feature"), "n").groupBy("feature").agg(F.max("n").alias("n"))
+    left = toxic.filter(F.col("toxic") >= MIN_DOCS).join(often, "feature", "left").filter(F.col("toxic") >= MIN_SHARE * F.coalesce("n", F.lit(0)))
+    number = {r["feature"]: i for i, r in enumerate(left.select("feature").orderBy("feature").collect())}  # words of `sample` texts at most
     chosen = Model(counts, known, n_docs, dict.fromkeys(number, 0.0))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,9 +450,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                      for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["there", "toxic"])
 
-    table = rows.mapInArrow(placed, "there array<int>, toxic int").collect()  # at most `sample` rows
-    weight = fit(sorted((list(r["there"]), r["toxic"]) for r in table), len(number))
-    return Model(counts, known, n_docs, {f: float(weight[i]) for f, i in number.items()})
+    table = [(r["there"], r["toxic"]) for r in rows.mapInArrow(placed, "there array<int>, toxic int").collect()]  # at most `sample` rows
+    n, n_toxic = Counter(f for there, _ in table for f in there), Counter(f for there, label in table if label for f in there)
+    kept = {f: i for i, f in enumerate(f for f in range(len(number)) if n_toxic[f] >= max(MIN_DOCS, MIN_SHARE * n[f]))}
+    weight = fit(sorted(([kept[f] for f in there if f in kept], label) for there, label in table), len(kept))
+    return Model(counts, known, n_docs, {f: float(weight[kept[i]]) for f, i in number.items() if i in kept})
 
 
 SCORED = "doc_id long, score double"
