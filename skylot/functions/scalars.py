@@ -34,11 +34,15 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-def noise_db(distance: Column, height: Column, source_db: float = 75.0, absorption: float = 0.005) -> Column:
-    """What is left of a flight's noise at a distance; higher flights lose less to the ground."""
-    d = F.greatest(distance, F.lit(1.0))
+def noise_db(distance: Column, height: Column, source_db: float = 75.0, absorption: float = 0.3) -> Column:
+    """What is left of a flight's noise at a distance, spread, absorbed by the air and by the ground (higher flights lose
+    less to it), and less by a step of the height; at no distance all of it."""
+    d = distance
+    spread = F.when(d > 1, 18 * F.log10(F.greatest(d, F.lit(1.0)))).otherwise(0.0)
     ground = F.lit(absorption) * d * F.greatest(F.lit(0.0), 1 - height / 150)
-    return F.greatest(F.lit(0.0), F.lit(source_db) - 18 * F.log10(d) - 0.001 * d - ground)
+    step = F.when(height >= 120, 8).when(height >= 90, 6).when(height >= 60, 4).when(height >= 30, 2).otherwise(0)
+    left = F.greatest(F.lit(0.0), F.lit(source_db) - spread - 0.001 * d - ground - step)
+    return F.when(d <= 0, F.lit(source_db)).otherwise(left)
 
 
 def enu(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:

@@ -101,10 +101,66 @@ def spearman(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pairwise_accuracy(rows: DataFrame, keys: list[str], strict: bool) -> DataFrame:
-    """Share of a window's pairs with different true priorities that the prediction orders alike. A
-    predicted tie is wrong if strict, else it counts as the pair's listed order says."""
-    a, b = (rows.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in ("demand_id", "true_priority", "pred_priority"))) for s in "ab")
-    pairs = a.join(b, keys).filter("demand_id_a < demand_id_b AND true_priority_a <> true_priority_b")
-    up, guessed = F.col("true_priority_a") < F.col("true_priority_b"), F.col("pred_priority_a") < F.col("pred_priority_b")
-    right = (up == guessed) & ((F.col("pred_priority_a") != F.col("pred_priority_b")) if strict else F.lit(True))
-    return pairs.groupBy(*keys).agg(F.count_if(right).alias("correct"), F.count(F.lit(1)).alias("total")).withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+    """Share of a window's pairs with different true priorities that the prediction orders alike. A predicted tie is
+    wrong if strict, else right where the first listed of the two has the larger true value. Pairs are counted from
+    cells of (true, predicted), those of tied predictions from running counts: no pair is made."""
+    cells = rows.groupBy(*keys, "true_priority", "pred_priority").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (cells.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in ("true_priority", "pred_priority", "n"))) for s in "ab")
+    n, apart = F.col("n_a") * F.col("n_b"), F.col("pred_priority_a") < F.col("pred_priority_b")
+    pairs = a.join(b, keys).filter("true_priority_a < true_priority_b").groupBy(*keys).agg(F.sum(F.when(apart, n).otherwise(0)).alias("correct"), F.sum(n).alias("total"))
+    if not strict:
+        before = Window.partitionBy(*keys, "pred_priority").orderBy("demand_id").rowsBetween(Window.unboundedPreceding, -1)
+        larger = sum((F.when(F.col("true_priority") < t, F.coalesce(F.count_if(F.col("true_priority") == t).over(before), F.lit(0))).otherwise(0) for t in (3, 4)),
+                     F.when(F.col("true_priority") < 2, F.coalesce(F.count_if(F.col("true_priority") == 2).over(before), F.lit(0))).otherwise(0))
+        tied = rows.withColumn("larger", larger).groupBy(*keys).agg(F.sum("larger").alias("tied"))
+        pairs = pairs.join(tied, keys).withColumn("correct", F.col("correct") + F.col("tied")).drop("tied")
+    return pairs.withColumn("accuracy", ratio(F.col("correct"), F.col("total")))
+
+
+def verdicts(rows: DataFrame, key: str, base: str, signs: dict[str, int]) -> DataFrame:
+    """How many measures of each row are better and worse than the base row's (sign -1: better downwards), and which
+    of the two is better: without a measure on the other side, or by two more."""
+    plain = rows.filter(F.col(key) == base).select(*(F.col(m).alias(f"{m}_0") for m in signs))
+    deltas = F.array(*((F.col(m) - F.col(f"{m}_0")) * w for m, w in signs.items()))
+    counts = rows.filter(F.col(key) != base).crossJoin(F.broadcast(plain)).select(key, F.array_compact(deltas).alias("deltas"))  # plain is one row
+    better, worse = (F.size(F.filter("deltas", f)).cast("long") for f in (lambda x: x >= 1e-9, lambda x: x <= -1e-9))
+    counts = counts.select(key, better.alias("n_better"), worse.alias("n_worse"), F.size("deltas").alias("n"))
+    b, w = F.col("n_better"), F.col("n_worse")
+    overall = (F.when(F.col("n") == 0, "inconclusive").when((b > 0) & (w == 0), "post_better").when((w > 0) & (b == 0), "pre_better")
+               .when(b >= w + 2, "post_better").when(w >= b + 2, "pre_better").otherwise("mixed"))
+    return counts.select(key, "n_better", "n_worse", overall.alias("overall"))
+
+
+#: Fixed values of the reward: the importance of priorities 1 to 4, and the parts' weights.
+IMPORTANCE = (4.0, 3.0, 2.0, 1.0)
+REWARD = {"json": 0.05, "balanced": 0.25, "exact": 0.25, "near": 0.05, "pairwise": 0.10, "topk": 0.05, "urgent_f1": 0.10, "p1_recall": 0.10, "distribution": 0.05}
+
+
+def ranking_reward(rows: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
+    """(keys, demand_id, true_priority, pred_priority) -> (keys, reward). A demand without prediction has a null one.
+    Parts are sums over the cells of (true, predicted); pairs are pairs of cells."""
+    t, p, n = F.col("t"), F.col("p"), F.col("n")
+    placed = rows.withColumns({"tr": F.row_number().over(Window.partitionBy(*keys).orderBy("true_priority", "demand_id")),
+                               "pr": F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("pred_priority", F.lit(99)), "demand_id"))})
+    target = (F.col("tr") <= top) & (F.col("true_priority") <= 2)
+    placed = placed.withColumn("k", F.count_if(target).over(Window.partitionBy(*keys)))
+    tops = placed.groupBy(*keys).agg(ratio(F.count_if(target & (F.col("pr") <= F.col("k"))), F.max("k")).alias("topk"))
+
+    cells = rows.groupBy(*keys, F.col("true_priority").alias("t"), F.col("pred_priority").alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    w = F.element_at(F.array(*map(F.lit, IMPORTANCE)), t) * n
+    total = lambda test, x: F.sum(F.when(test, x).otherwise(0.0))
+    tp, fp, fn = total((t <= 2) & (p <= 2), w), total((t > 2) & (p <= 2), w), total((t <= 2) & ~F.coalesce(p <= 2, F.lit(False)), w)
+    far = sum((F.abs(ratio(total(t == i, n), F.sum(n)) - ratio(total(p == i, n), total(p.isNotNull(), n))) for i in (2, 3, 4)),
+              F.abs(ratio(total(t == 1, n), F.sum(n)) - ratio(total(p == 1, n), total(p.isNotNull(), n))))
+    sums = cells.groupBy(*keys).agg(
+        (total(p.isNotNull(), n) > 0).cast("double").alias("json"), ratio(total(t == p, w), F.sum(w)).alias("exact"),
+        ratio(total(p.isNotNull(), w * (1 - F.abs(t - p) / 3)), F.sum(w)).alias("near"), F.coalesce(ratio(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("urgent_f1"),
+        ratio(total((t == 1) & (p == 1), n), total(t == 1, n)).alias("p1_recall"), F.coalesce(1 - far / 2, F.lit(0.0)).alias("distribution"))
+    balanced = cells.groupBy(*keys, "t").agg(ratio(total(t == p, n), F.sum(n)).alias("recall")).groupBy(*keys).agg(F.avg("recall").alias("balanced"))
+    a, b = (cells.select(*keys, *(F.col(c).alias(f"{c}_{s}") for c in "tpn")) for s in "ab")
+    weight = (F.col("t_b") - F.col("t_a") + (F.col("t_a") <= 2).cast("int") + (F.col("t_b") <= 2).cast("int") / 2) * F.col("n_a") * F.col("n_b")
+    pairs = a.join(b, keys).filter("t_a < t_b").groupBy(*keys).agg(ratio(total(F.col("p_a") < F.col("p_b"), weight), F.sum(weight)).alias("pairwise"))
+    parts = sums.join(balanced, keys).join(tops, keys).join(pairs, keys, "left")
+    over = sum((F.coalesce(F.col(c) * x, F.lit(0.0)) for c, x in REWARD.items()), F.lit(0.0))
+    under = sum((F.when(F.col(c).isNotNull(), x).otherwise(0.0) for c, x in REWARD.items()), F.lit(0.0))
+    return parts.select(*keys, ratio(over, under).alias("reward"))

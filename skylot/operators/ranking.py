@@ -39,3 +39,22 @@ def preferences(rows: DataFrame, keys: list[str]) -> DataFrame:
     high = rows.select(*keys, F.col("demand_id").alias("higher_id"), F.col("priority").alias("_p"))
     low = rows.select(*keys, F.col("demand_id").alias("lower_id"), F.col("priority").alias("_q"))
     return high.join(low, keys).filter("_p < _q").select(*keys, "higher_id", "lower_id", (F.col("_q") - F.col("_p")).alias("gap"))
+
+
+def globally_ranked(rows: DataFrame, coarse: Column, by: tuple[str, ...], name: str = "place") -> DataFrame:
+    """Rows with their number, from 1, in the order by over all rows. coarse: a value that never falls along that
+    order. Each of its values is ranked apart; what goes through one task is a row a value."""
+    marked = rows.withColumn("_coarse", coarse)
+    before = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n")).select("_coarse", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return marked.withColumn("_at", F.row_number().over(window(["_coarse"], by))).join(starts, "_coarse").withColumn(
+        name, (F.col("_start") + F.col("_at")).cast("long")).drop("_coarse", "_at", "_start")
+
+
+def merged(rows: DataFrame, keys: list[str], rule: str, model: str) -> DataFrame:
+    """rows with merged, blended and window_rank: the rule's priority where it is 1, at most 1 away from the model's or
+    the only one, else the model's; ranked by a blend of both."""
+    r, m = F.col(rule), F.col(model)
+    keep = m.isNull() | (r == 1) | (F.abs(r - m) <= 1)
+    blend = (5 - r) * 20 + F.coalesce((5 - m) * 8, F.lit(0))
+    return ranked(rows.withColumns({"merged": F.when(keep, r).otherwise(m), "blended": blend}), keys, ("-blended", "merged", "demand_id"))

@@ -209,13 +209,15 @@ def near_tie_pairs(spark, d):
     return rows.join(other, "label").filter((F.col("demand_id") < F.col("b")) & (F.col("priority") != F.col("priority_b")) & (gap <= 6)).select("label", F.col("demand_id").alias("a"), "b", gap.alias("gap"))
 
 
-@query("merge_policy", with_demand("""SELECT demand_id, priority AS rule_priority, k % 4 + 1 AS llm_priority,
-  CASE WHEN priority = 1 OR abs(priority - (k % 4 + 1)) >= 2 THEN priority ELSE k % 4 + 1 END AS merged FROM v_demand"""))
+@query("merge_policy", with_demand("""SELECT label, demand_id, rule_priority, llm_priority, merged, blended, CAST(row_number() OVER (PARTITION BY label ORDER BY blended DESC, merged, demand_id) AS BIGINT) AS window_rank FROM (
+  SELECT label, demand_id, priority AS rule_priority, m AS llm_priority, CASE WHEN m IS NULL OR priority = 1 OR abs(priority - m) <= 1 THEN priority ELSE m END AS merged,
+  (5 - priority) * 20 + coalesce((5 - m) * 8, 0) AS blended FROM (SELECT *, CASE WHEN k % 5 < 4 THEN k % 4 + 1 END AS m FROM v_demand))"""))
 def merge_policy(spark, d):
-    """Rule and model priorities: the rule's 1 stays, and so does the rule where they are far apart."""
-    model = F.col("k") % 4 + 1
-    keep = (F.col("priority") == 1) | (F.abs(F.col("priority") - model) >= 2)
-    return lens.demands(spark, d).select("demand_id", F.col("priority").alias("rule_priority"), model.alias("llm_priority"), F.when(keep, F.col("priority")).otherwise(model).alias("merged"))
+    """Rule and model priorities: the rule's stays if it is 1, if the two are at most 1 apart or if the model has none;
+    else the model's counts. The window is ranked anew by a score blended from both."""
+    rows = lens.demands(spark, d).withColumn("m", F.when(F.col("k") % 5 < 4, F.col("k") % 4 + 1))
+    return ranking.merged(rows, ["label"], "priority", "m").select(
+        "label", "demand_id", F.col("priority").alias("rule_priority"), F.col("m").alias("llm_priority"), "merged", "blended", F.col("window_rank").cast("long").alias("window_rank"))
 
 
 @query("interval_active_window", with_demand("""SELECT demand_id, (hour(ts) * 60 + minute(ts)) // 90 AS active FROM v_demand"""))
@@ -227,10 +229,10 @@ def interval_active_window(spark, d):
     return rows.join(F.broadcast(schedule), (F.col("m") >= F.col("start")) & (F.col("m") < F.col("stop"))).select("demand_id", "active")  # 16 rows
 
 
-@query("time_of_day", with_demand("SELECT CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS bucket, count(*) AS n FROM v_demand GROUP BY 1"))
+@query("time_of_day", with_demand("SELECT CASE WHEN hour(ts) < 6 THEN 'overnight' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS bucket, count(*) AS n FROM v_demand GROUP BY 1"))
 def time_of_day(spark, d):
     h = F.hour("ts")
-    bucket = F.when(h < 6, "night").when(h < 12, "morning").when(h < 18, "afternoon").otherwise("evening")
+    bucket = F.when(h < 6, "overnight").when(h < 12, "morning").when(h < 18, "afternoon").otherwise("evening")
     return lens.demands(spark, d).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -101,13 +101,24 @@ def impact_comparison(spark, d):
         "method", "reference", q6(F.col("r") - F.col("r0")).alias("on_time_gain"), q6(ratio(F.col("l0") - F.col("l"), F.col("l0"))).alias("latency_improvement"))
 
 
-@query("verdict", with_fact("""SELECT method, count(*) FILTER (after > before) AS n_better, count(*) FILTER (after < before) AS n_worse,
-  CASE WHEN count(*) FILTER (after > before) > count(*) FILTER (after < before) THEN 'improved' WHEN count(*) FILTER (after > before) < count(*) FILTER (after < before) THEN 'regressed' ELSE 'mixed' END AS overall
-  FROM (SELECT method, true_priority, avg(latency) FILTER (NOT served) AS after, avg(latency) FILTER (served) AS before FROM v_fact GROUP BY method, true_priority) GROUP BY method"""))
+_MEASURES = """SELECT method, avg(CASE WHEN true_priority = pred_priority THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy,
+  count(*) FILTER (true_priority = 1 AND pred_priority = 1) / nullif(count(*) FILTER (true_priority = 1), 0)::DOUBLE AS p1_recall,
+  count(*) FILTER (true_priority <= 2 AND pred_priority <= 2) / nullif(count(*) FILTER (true_priority <= 2), 0)::DOUBLE AS urgent_recall,
+  avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END)::DOUBLE AS on_time, avg(latency) AS latency FROM v_fact GROUP BY method"""
+_SIGNS = {"accuracy": 1, "p1_recall": 1, "urgent_recall": 1, "on_time": 1, "latency": -1}
+
+
+@query("verdict", with_fact(f"""SELECT method, n_better, n_worse, CASE WHEN n_better + n_worse + n_same = 0 THEN 'inconclusive' WHEN n_better > 0 AND n_worse = 0 THEN 'post_better'
+  WHEN n_worse > 0 AND n_better = 0 THEN 'pre_better' WHEN n_better >= n_worse + 2 THEN 'post_better' WHEN n_worse >= n_better + 2 THEN 'pre_better' ELSE 'mixed' END AS overall
+  FROM (SELECT method, count(*) FILTER (delta >= 1e-9) AS n_better, count(*) FILTER (delta <= -1e-9) AS n_worse, count(*) FILTER (abs(delta) < 1e-9) AS n_same FROM (
+  SELECT a.method, unnest([{', '.join(f"({w}) * (a.{m} - b.{m})" for m, w in _SIGNS.items())}]) AS delta FROM ({_MEASURES}) a JOIN ({_MEASURES}) b ON b.method = 'N' AND a.method <> 'N') GROUP BY method)"""))
 def verdict(spark, d):
-    tiers = facts(spark, d).groupBy("method", "true_priority").agg(F.avg(F.when(~F.col("served"), F.col("latency"))).alias("after"), F.avg(F.when(F.col("served"), F.col("latency"))).alias("before"))
-    better, worse = F.count_if(F.col("after") > F.col("before")), F.count_if(F.col("after") < F.col("before"))
-    return tiers.groupBy("method").agg(better.alias("n_better"), worse.alias("n_worse"), F.when(better > worse, "improved").when(better < worse, "regressed").otherwise("mixed").alias("overall"))
+    """Is a method better than the reference one? By how many measures got better and worse, latency better downwards."""
+    t, p = F.col("true_priority"), F.col("pred_priority")
+    rows = facts(spark, d).groupBy("method").agg(
+        F.avg((t == p).cast("double")).alias("accuracy"), ratio(F.count_if((t == 1) & (p == 1)), F.count_if(t == 1)).alias("p1_recall"),
+        ratio(F.count_if((t <= 2) & (p <= 2)), F.count_if(t <= 2)).alias("urgent_recall"), F.avg(F.col("on_time").cast("double")).alias("on_time"), F.avg("latency").alias("latency"))
+    return metrics.verdicts(rows, "method", "N", _SIGNS)
 
 
 _GRID = "SELECT g.method, t AS true_priority, p AS pred_priority, coalesce(n, 0) AS n FROM (SELECT DISTINCT method FROM v_fact) g CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS t) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS p) LEFT JOIN (SELECT method, true_priority, pred_priority, count(*) AS n FROM v_fact GROUP BY ALL) c ON c.method = g.method AND true_priority = t AND pred_priority = p"
@@ -175,11 +186,11 @@ def kendall_b(spark, d):
     return metrics.kendall_b(cells, ["method"]).select("method", q6(F.col("tau")).alias("tau"))
 
 
-_DEMANDS = "SELECT month, demand_id, max(true_priority) AS true_priority, min(pred_priority) AS pred_priority FROM v_fact WHERE month < '1995-03' GROUP BY month, demand_id"
+_DEMANDS = "SELECT month, demand_id, max(true_priority) AS true_priority, min(pred_priority) AS pred_priority FROM v_fact GROUP BY month, demand_id"
 
 
 def _window_rows(spark, d):
-    return facts(spark, d).filter("month < '1995-03'").groupBy("month", "demand_id").agg(F.max("true_priority").alias("true_priority"), F.min("pred_priority").alias("pred_priority"))
+    return facts(spark, d).groupBy("month", "demand_id").agg(F.max("true_priority").alias("true_priority"), F.min("pred_priority").alias("pred_priority"))
 
 
 def _pairwise(name, strict):
@@ -199,10 +210,11 @@ _pairwise("pairwise_acc_listed", False)
   SELECT demand_id, true_priority, row_number() OVER (ORDER BY pred_priority, demand_id) AS place, count(*) FILTER (true_priority = 1) OVER () AS k FROM ({_DEMANDS})) WHERE place <= k GROUP BY k"""))
 def topk_hit(spark, d):
     """Of as many predictions as there are urgent demands, how many are: a global top-k."""
-    rows = _window_rows(spark, d)
-    k = rows.filter("true_priority = 1").count()
-    top = rows.orderBy("pred_priority", "demand_id").limit(k)
-    return top.agg(F.lit(k).cast("long").alias("k"), F.count_if(F.col("true_priority") == 1).alias("hits"), q6(F.count_if(F.col("true_priority") == 1) / F.lit(float(k))).alias("rate"))
+    rows = ranking.globally_ranked(_window_rows(spark, d), F.struct("pred_priority", F.floor(F.col("demand_id") / 4096)), ("pred_priority", "demand_id"))
+    k = rows.agg(F.count_if(F.col("true_priority") == 1).alias("k"))
+    hits = F.count_if(F.col("true_priority") == 1)
+    top = rows.crossJoin(F.broadcast(k)).filter("place <= k")  # k is one row
+    return top.groupBy("k").agg(hits.alias("hits"), q6(ratio(hits, F.col("k"))).alias("rate"))
 
 
 @query("timing_summary", with_fact(f"SELECT method, count(*) AS n, {q('avg(latency)')} AS mean, {q('stddev_samp(latency)')} AS sd, min(latency) AS low, max(latency) AS high, {q('quantile_cont(latency, 0.5)')} AS p50, {q('quantile_cont(latency, 0.9)')} AS p90 FROM v_fact GROUP BY method"))
@@ -222,11 +234,33 @@ def case_study_top(spark, d):
     return rows.orderBy(F.desc("errors"), F.desc("worst"), "demand_id").limit(20)
 
 
-@query("leaderboard", with_fact(f"SELECT CAST(row_number() OVER (ORDER BY composite DESC, carrier) AS BIGINT) AS place, carrier, composite FROM (SELECT carrier, {q('avg(CASE WHEN on_time THEN 1.0 ELSE 0.0 END) + avg(CASE WHEN served THEN 1.0 ELSE 0.0 END) / 2')} AS composite FROM v_fact GROUP BY carrier)"))
+_PARTS = ("p1_recall", "topk", "urgent_f1", "macro_f1", "accuracy")
+_COMPOSITE = "100 * {} + 10 * {} + {} + 0.1 * {} + 0.01 * {}"
+_LABEL_F1 = " + ".join(f"coalesce(2.0::DOUBLE * count(*) FILTER (t = {i} AND p = {i}) / nullif(count(*) FILTER (t = {i}) + count(*) FILTER (p = {i}), 0), 0)" for i in (1, 2, 3, 4))
+
+
+@query("leaderboard", with_fact(f"""SELECT CAST(row_number() OVER (ORDER BY {', '.join(f'{c} DESC' for c in _PARTS)}, carrier) AS BIGINT) AS place, carrier, {', '.join(_PARTS)}, {q(_COMPOSITE.format(*_PARTS))} AS composite FROM (
+  SELECT carrier, {q('coalesce(count(*) FILTER (t = 1 AND p = 1) / nullif(count(*) FILTER (t = 1), 0)::DOUBLE, 0)')} AS p1_recall,
+  {q('coalesce(count(*) FILTER (t <= 2 AND r <= k) / nullif(max(k), 0)::DOUBLE, 0)')} AS topk,
+  {q('coalesce(2.0::DOUBLE * count(*) FILTER (t <= 2 AND p <= 2) / nullif(count(*) FILTER (t <= 2) + count(*) FILTER (p <= 2), 0), 0)')} AS urgent_f1,
+  {q(f'({_LABEL_F1}) / 4')} AS macro_f1, {q('avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END)')} AS accuracy
+  FROM (SELECT carrier, true_priority AS t, pred_priority AS p, row_number() OVER (PARTITION BY carrier ORDER BY pred_priority, demand_id) AS r,
+  count(*) FILTER (true_priority <= 2) OVER (PARTITION BY carrier) AS k FROM v_fact) GROUP BY carrier)"""))
 def leaderboard(spark, d):
-    score = F.avg(F.col("on_time").cast("double")) + F.avg(F.col("served").cast("double")) / 2
-    rows = facts(spark, d).groupBy("carrier").agg(q6(score).alias("composite"))
-    return rows.select(F.row_number().over(Window.orderBy(F.desc("composite"), "carrier")).cast("long").alias("place"), "carrier", "composite")
+    """Carriers by recall of priority 1, share of urgent demands among as many first predictions, urgent F1, macro F1 and
+    accuracy, in this order; the composite weighs them 100, 10, 1, 0.1 and 0.01."""
+    rows = facts(spark, d).select("carrier", "demand_id", F.col("true_priority").alias("t"), F.col("pred_priority").alias("p"))
+    own = Window.partitionBy("carrier")
+    rows = rows.withColumns({"r": F.row_number().over(own.orderBy("p", "demand_id")), "k": F.count_if(F.col("t") <= 2).over(own)})
+    t, p = F.col("t"), F.col("p")
+    f1 = lambda a, b: F.coalesce(ratio(2 * F.count_if(a & b), F.count_if(a) + F.count_if(b)), F.lit(0.0))
+    macro = sum((f1(t == i, p == i) for i in (2, 3, 4)), f1(t == 1, p == 1)) / 4
+    parts = rows.groupBy("carrier").agg(
+        q6(F.coalesce(ratio(F.count_if((t == 1) & (p == 1)), F.count_if(t == 1)), F.lit(0.0))).alias("p1_recall"),
+        q6(F.coalesce(ratio(F.count_if((t <= 2) & (F.col("r") <= F.col("k"))), F.max("k")), F.lit(0.0))).alias("topk"),
+        q6(f1(t <= 2, p <= 2)).alias("urgent_f1"), q6(macro).alias("macro_f1"), q6(F.avg((t == p).cast("double"))).alias("accuracy"))
+    ranked = ranking.globally_ranked(parts, -F.floor(F.col("p1_recall") * 1000), (*(f"-{c}" for c in _PARTS), "carrier"))
+    return ranked.select("place", "carrier", *_PARTS, q6(F.expr(_COMPOSITE.format(*_PARTS))).alias("composite"))
 
 
 @query("relative_trend", with_fact(f"SELECT month, {q('v / first_value(v) OVER (ORDER BY month)')} AS rel, {q('v - lag(v) OVER (ORDER BY month)')} AS step FROM (SELECT month, avg(latency) AS v FROM v_fact GROUP BY month)"))
@@ -235,14 +269,28 @@ def relative_trend(spark, d):
     return months.select("month", q6(ratio(F.col("v"), F.first("v").over(w))).alias("rel"), q6(F.col("v") - F.lag("v").over(w)).alias("step"))
 
 
-@query("ranking_reward", with_fact(f"""SELECT month, {q('0.4 * exact + 0.3 * near + 0.3 * coalesce(recall, exact)')} AS reward FROM (SELECT month, avg(CASE WHEN true_priority = pred_priority THEN 1.0 ELSE 0.0 END) AS exact,
-  avg(1 - abs(true_priority - pred_priority) / 3.0::DOUBLE) AS near, count(*) FILTER (true_priority = 1 AND pred_priority = 1) / nullif(count(*) FILTER (true_priority = 1), 0)::DOUBLE AS recall FROM v_fact GROUP BY month)"""))
+_IMPORTANCE = "CASE t WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} ELSE {} END".format(*metrics.IMPORTANCE)
+_PAIR = "(b.t - a.t + CASE WHEN a.t <= 2 THEN 1 ELSE 0 END + CASE WHEN b.t <= 2 THEN 0.5 ELSE 0 END) * a.n * b.n"
+
+
+@query("ranking_reward", f"""WITH {with_fact('')[5:]}, r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY true_priority, demand_id) AS tr, row_number() OVER (PARTITION BY month ORDER BY pred_priority, demand_id) AS pr FROM ({_DEMANDS})),
+k AS (SELECT month, count(*) FILTER (tr <= 3 AND true_priority <= 2) AS k FROM r GROUP BY month),
+top AS (SELECT r.month, count(*) FILTER (tr <= 3 AND true_priority <= 2 AND pr <= k) / nullif(max(k), 0)::DOUBLE AS topk FROM r JOIN k ON r.month = k.month GROUP BY r.month),
+c AS (SELECT month, true_priority AS t, pred_priority AS p, count(*)::DOUBLE AS n FROM r GROUP BY ALL),
+w AS (SELECT *, ({_IMPORTANCE})::DOUBLE AS w FROM c),
+s AS (SELECT month, sum(w * n) FILTER (t = p) / sum(w * n) AS exact, sum(w * n * (1 - abs(t - p) / 3.0)) / sum(w * n) AS near,
+  sum(w * n) FILTER (t <= 2 AND p <= 2) AS tp, sum(w * n) FILTER (t > 2 AND p <= 2) AS fp, sum(w * n) FILTER (t <= 2 AND p > 2) AS fn,
+  sum(n) FILTER (t = 1 AND p = 1) AS p1, sum(n) FILTER (t = 1) AS n1,
+  1 - ({' + '.join(f"abs(coalesce(sum(n) FILTER (t = {i}), 0) - coalesce(sum(n) FILTER (p = {i}), 0))" for i in (1, 2, 3, 4))}) / sum(n) / 2 AS dist FROM w GROUP BY month),
+bal AS (SELECT month, avg(recall) AS balanced FROM (SELECT month, t, coalesce(sum(n) FILTER (t = p), 0) / sum(n) AS recall FROM c GROUP BY month, t) GROUP BY month),
+pw AS (SELECT a.month, coalesce(sum({_PAIR}) FILTER (a.p < b.p), 0) / sum({_PAIR}) AS pairwise FROM c a JOIN c b ON a.month = b.month AND a.t < b.t GROUP BY a.month)
+SELECT s.month, {q('''(0.05 + 0.25 * balanced + 0.25 * coalesce(exact, 0) + 0.05 * near + coalesce(0.1 * pairwise, 0) + coalesce(0.05 * topk, 0)
+  + 0.1 * coalesce(2 * tp / nullif(2 * tp + coalesce(fp, 0) + coalesce(fn, 0), 0), 0) + CASE WHEN n1 > 0 THEN 0.1 * coalesce(p1, 0) / n1 ELSE 0 END + 0.05 * dist)
+  / (0.75 + CASE WHEN pairwise IS NULL THEN 0 ELSE 0.1 END + CASE WHEN topk IS NULL THEN 0 ELSE 0.05 END + CASE WHEN n1 > 0 THEN 0.1 ELSE 0 END)''')} AS reward
+  FROM s JOIN bal ON s.month = bal.month JOIN top ON s.month = top.month LEFT JOIN pw ON s.month = pw.month""")
 def ranking_reward(spark, d):
-    """Exactness, nearness and recall of priority 1 per window; a missing part's weight goes to exactness."""
-    t, p = F.col("true_priority"), F.col("pred_priority")
-    exact, near = F.avg((t == p).cast("double")), F.avg(1 - F.abs(t - p) / 3)
-    recall = F.coalesce(ratio(F.count_if((t == 1) & (p == 1)), F.count_if(t == 1)), exact)
-    return facts(spark, d).groupBy("month").agg(q6(0.4 * exact + 0.3 * near + 0.3 * recall).alias("reward"))
+    """A window's predictions by nine weighted parts; what a window lacks is left out of the weights."""
+    return metrics.ranking_reward(_window_rows(spark, d), ["month"]).withColumn("reward", q6(F.col("reward")))
 
 
 @query("s1_group_rates", with_fact(f"SELECT method, " + ", ".join(q(f"avg(CASE WHEN served THEN 1.0 ELSE 0.0 END) FILTER (true_priority = {p})") + f" AS p{p}_rate" for p in (1, 2, 3, 4)) + " FROM v_fact GROUP BY method"))

@@ -43,12 +43,12 @@ def parallel_coords(spark, d):
     return _out(pareto.normalized(candidates(spark, d), OBJECTIVES))
 
 
-@query("representative_point", with_candidate(f"SELECT solution_id, {q('score')} AS score FROM (SELECT solution_id, sqrt({' + '.join(f'{o} * {o}' for o in OBJECTIVES)}) AS score FROM (SELECT solution_id, {_SCALED} FROM ({_FRONT}))) ORDER BY score, solution_id LIMIT 1"))
+@query("representative_point", with_candidate(f"SELECT solution_id, {q('score')} AS score FROM (SELECT solution_id, {' + '.join(OBJECTIVES)} AS score FROM (SELECT solution_id, {_SCALED} FROM ({_FRONT}))) ORDER BY score, CAST(solution_id AS VARCHAR) LIMIT 1"))
 def representative_point(spark, d):
-    """The front's plan nearest to the ideal point."""
+    """The front's plan with the least sum of its scaled objectives; of equal ones the first id, read as text."""
     scaled = pareto.normalized(pareto.frontier(candidates(spark, d), OBJECTIVES), OBJECTIVES)
-    score = F.sqrt(sum((F.col(o) * F.col(o) for o in OBJECTIVES[1:]), F.col(OBJECTIVES[0]) * F.col(OBJECTIVES[0])))
-    return scaled.select("solution_id", score.alias("s")).orderBy("s", "solution_id").limit(1).select("solution_id", q6(F.col("s")).alias("score"))
+    score = sum((F.col(o) for o in OBJECTIVES[1:]), F.col(OBJECTIVES[0]))
+    return scaled.select("solution_id", q6(score).alias("s")).orderBy("s", F.col("solution_id").cast("string")).limit(1).select("solution_id", q6(F.col("s")).alias("score"))
 
 
 @query("dominated_by_main", with_candidate(f"SELECT a.solution_id FROM v_candidate a JOIN v_candidate b ON b.solution_id = (SELECT arg_min(solution_id, (distance, solution_id)) FROM v_candidate) AND {_NO_WORSE} AND ({_BETTER})"))
@@ -75,4 +75,15 @@ def weight_profiles(spark, d):
 
 @query("objective_ranks", with_candidate("SELECT solution_id, CAST(rank() OVER (ORDER BY distance) AS BIGINT) AS by_distance, CAST(dense_rank() OVER (ORDER BY drones) AS BIGINT) AS by_drones FROM v_candidate"))
 def objective_ranks(spark, d):
-    return candidates(spark, d).select("solution_id", F.rank().over(Window.orderBy("distance")).cast("long").alias("by_distance"), F.dense_rank().over(Window.orderBy("drones")).cast("long").alias("by_drones"))
+    rows = candidates(spark, d)
+    # ranks of distinct values: how many rows, and how many values, are below
+    def below(column: str, n: str, name: str):
+        values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+        coarse = F.floor(F.col(column) / 1000)
+        start = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("_c").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        marked = values.withColumns({"_c": coarse, "_w": F.expr(n)})
+        starts = marked.groupBy("_c").agg(F.sum("_w").alias("_all")).select("_c", F.coalesce(F.sum("_all").over(start), F.lit(0)).alias("_start"))
+        return marked.withColumn("_b", F.coalesce(F.sum("_w").over(within), F.lit(0))).join(starts, "_c").select(
+            column, (F.col("_start") + F.col("_b") + 1).cast("long").alias(name))
+    return rows.join(below("distance", "_n", "by_distance"), "distance").join(below("drones", "1", "by_drones"), "drones").select("solution_id", "by_distance", "by_drones")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skylot.functions.scalars import enu, grid_cell, haversine_m, noise_db, q6
+from skylot.operators import ranking
 from skylot.plans.twins import q6 as q
 from skylot.plans.twins import with_site
 from skylot.registry import query
@@ -24,31 +25,32 @@ def _cm(metres):
 
 @query("nearest_station", with_site(f"SELECT site_id, arg_min(station_id, ({_CM}, station_id)) AS station_id, min({_CM}) AS cm FROM v_site s CROSS JOIN v_station t GROUP BY site_id"))
 def nearest_station(spark, d):
-    """Each site's nearest station. Stations go by broadcast only while their measured number is small;
-    beyond that, rings of grid cells are searched."""
-    s, t = sites(spark, d), stations(spark, d).withColumnsRenamed({"lon": "lon_t", "lat": "lat_t"})
-    if t.count() <= 20_000:
-        cm = _cm(haversine_m(F.col("lon_t"), F.col("lat_t"), F.col("lon"), F.col("lat")))
-        pairs = s.join(F.broadcast(t)).select("site_id", "station_id", cm.alias("cm"))
-        return pairs.groupBy("site_id").agg(F.min_by("station_id", F.struct("cm", "station_id")).alias("station_id"), F.min("cm").alias("cm"))
-    return _by_rings(s, t)
-
-
-def _by_rings(s, t, size: float = CELL / 111_000):
-    """Equality joins on cells of growing size; a site is done when its best lies within the cells' reach."""
-    found = None
+    """Each site's nearest station, by rings of grid cells that grow until the nearest one lies within their reach."""
+    return nearest(sites(spark, d), stations(spark, d).withColumnsRenamed({"lon": "lon_t", "lat": "lat_t"}))
+
+
+def nearest(s, t, size: float = CELL / 111_000):
+    """(site_id, lon, lat) and (station_id, lon_t, lat_t) -> (site_id, station_id, cm). Every ring is an equality join on
+    cells of four times the size; a site is done when its best is nearer than the 3 x 3 cells reach at its latitude.
+    The last ring's cells are as large as all places' span, so that it settles what is left."""
+    cm = _cm(haversine_m(F.col("lon_t"), F.col("lat_t"), F.col("lon"), F.col("lat")))
+    best = lambda near: near.groupBy("site_id").agg(F.min_by("station_id", F.struct("cm", "station_id")).alias("station_id"), F.min("cm").alias("cm"))
+    every = s.select("lon", "lat").union(t.select("lon_t", "lat_t"))
+    span = every.agg(F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat"))).first()[0] or 0.0
+    found, left = None, s
+    around = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
     while True:
-        shifted = t.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-        shifted = shifted.select("station_id", "lon_t", "lat_t", (F.floor(F.col("lon_t") / size) + F.col("dx")).alias("cx"), (F.floor(F.col("lat_t") / size) + F.col("dy")).alias("cy"))
-        cells = s.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
-        cm = _cm(haversine_m(F.col("lon_t"), F.col("lat_t"), F.col("lon"), F.col("lat")))
-        near = cells.join(shifted, ["cx", "cy"]).select("site_id", "station_id", cm.alias("cm"))
-        best = near.groupBy("site_id").agg(F.min_by("station_id", F.struct("cm", "station_id")).alias("station_id"), F.min("cm").alias("cm"))
-        done = best.filter(F.col("cm") < _cm(F.lit(size * 111_000 * 0.9)))
+        spread = t.select("*", F.inline(around)).select("station_id", "lon_t", "lat_t", (F.floor(F.col("lon_t") / size) + F.col("dx")).alias("cx"), (F.floor(F.col("lat_t") / size) + F.col("dy")).alias("cy"))
+        cells = left.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
+        near = cells.join(spread, ["cx", "cy"])
+        if size <= span:
+            reach = F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("lat")) + 2 * size))) * size * 110_000  # metres that a cell is wide at least
+            near = near.filter(cm <= _cm(reach))
+        done = best(near.select("site_id", "station_id", cm.alias("cm")))
         found = done if found is None else found.unionByName(done)
-        s = s.join(done, "site_id", "left_anti")
-        if size > 4 or s.isEmpty():
-            return found if s.isEmpty() else found.unionByName(best.join(done, "site_id", "left_anti"))
+        if size > span:
+            return found
+        left = left.join(done, "site_id", "left_anti")
         size *= 4
 
 
@@ -77,31 +79,36 @@ def enu_projection(spark, d):
     return sites(spark, d).select("site_id", F.floor(east * 1000 + 0.5).alias("east_mm"), F.floor(north * 1000 + 0.5).alias("north_mm"))
 
 
-_NOISE = "greatest(0.0, 75.0 - 18 * log10(greatest(d, 1.0)) - 0.001 * greatest(d, 1.0) - 0.005 * greatest(d, 1.0) * greatest(0.0, 1 - 60.0 / 150))"
+_NOISE = "CASE WHEN d <= 0 THEN 75.0 ELSE greatest(0.0, 75.0 - CASE WHEN d > 1 THEN 18 * log10(greatest(d, 1.0)) ELSE 0 END - 0.001 * d - 0.3 * d * greatest(0.0, 1 - h / 150.0) - CASE WHEN h >= 120 THEN 8 WHEN h >= 90 THEN 6 WHEN h >= 60 THEN 4 WHEN h >= 30 THEN 2 ELSE 0 END) END"
 
 
-@query("noise_level", with_site(f"SELECT site_id, CAST(FLOOR({_NOISE} * 1e4 + 5e-1) AS BIGINT) AS level FROM (SELECT site_id, CAST(site_id % 3000 AS DOUBLE) AS d FROM v_site)"))
+@query("noise_level", with_site(f"SELECT site_id, CAST(FLOOR({_NOISE} * 1e4 + 5e-1) AS BIGINT) AS level FROM (SELECT site_id, CAST(site_id % 300 AS DOUBLE) AS d, CAST(site_id % 160 AS DOUBLE) AS h FROM v_site)"))
 def noise_level(spark, d):
-    level = noise_db((F.col("site_id") % 3000).cast("double"), F.lit(60.0))
+    level = noise_db((F.col("site_id") % 300).cast("double"), (F.col("site_id") % 160).cast("double"))
     return sites(spark, d).select("site_id", F.floor(level * 1e4 + 0.5).alias("level"))
 
 
-_PAIRS = f"SELECT t.station_id AS i, s.station_id AS j, {_CM} AS cm FROM v_station t JOIN v_station s ON t.station_id < s.station_id AND t.station_id % 10 = s.station_id % 10"
+FLIGHT = 10_000.0
+_PAIRS = f"SELECT t.station_id AS i, s.station_id AS j, {_CM} AS cm FROM v_station t JOIN v_station s ON t.station_id < s.station_id AND {_CM} <= {int(FLIGHT * 100)}"
 
 
 @query("unordered_pairs", with_site(_PAIRS))
 def unordered_pairs(spark, d):
-    """Distances between the stations of a group, each pair once."""
-    t = stations(spark, d).withColumn("g", F.col("station_id") % 10)
-    s = t.withColumnsRenamed({"station_id": "j", "lon": "lon_s", "lat": "lat_s"})
+    """Distances between stations within a flight's reach of each other, each pair once: an equality join on grid cells.
+    Pairs beyond it aren't made: their number is the square of the stations'."""
+    degrees = FLIGHT / 111_000 / 0.9
+    t = stations(spark, d).withColumns({"cx": F.floor(F.col("lon") / degrees), "cy": F.floor(F.col("lat") / degrees)})
+    around = F.array(*(F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    s = stations(spark, d).withColumnsRenamed({"station_id": "j", "lon": "lon_s", "lat": "lat_s"}).select("*", F.inline(around))
+    s = s.withColumns({"cx": F.floor(F.col("lon_s") / degrees) + F.col("dx"), "cy": F.floor(F.col("lat_s") / degrees) + F.col("dy")})
     cm = _cm(haversine_m(F.col("lon"), F.col("lat"), F.col("lon_s"), F.col("lat_s")))
-    return t.join(s, "g").filter("station_id < j").select(F.col("station_id").alias("i"), "j", cm.alias("cm"))
+    return t.join(s, ["cx", "cy"]).filter((F.col("station_id") < F.col("j")) & (cm <= FLIGHT * 100)).select(F.col("station_id").alias("i"), "j", cm.alias("cm"))
 
 
 @query("dense_cells", with_site("SELECT CAST(FLOOR(lon * 20) AS BIGINT) AS ix, CAST(FLOOR(lat * 20) AS BIGINT) AS iy, CAST(row_number() OVER (ORDER BY count(*) DESC, FLOOR(lon * 20), FLOOR(lat * 20)) AS BIGINT) AS place, count(*) AS n FROM v_site GROUP BY FLOOR(lon * 20), FLOOR(lat * 20)"))
 def dense_cells(spark, d):
     cells = sites(spark, d).groupBy(F.floor(F.col("lon") * 20).alias("ix"), F.floor(F.col("lat") * 20).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
-    return cells.select("ix", "iy", F.row_number().over(Window.orderBy(F.desc("n"), "ix", "iy")).cast("long").alias("place"), "n")
+    return ranking.globally_ranked(cells, F.struct(-F.col("n"), F.floor(F.col("ix") / 8)), ("-n", "ix", "iy")).select("ix", "iy", "place", "n")
 
 
 @query("fleet_round_robin", with_site("SELECT station_id, count(*) AS drones FROM (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS r, count(*) OVER () AS n FROM v_station) JOIN range(250) f(i) ON f.i % n = r GROUP BY station_id"))
@@ -109,7 +116,8 @@ def fleet_round_robin(spark, d):
     """A fleet of 250 dealt to the stations in turn."""
     t = stations(spark, d)
     n = t.count()
-    placed = t.select("station_id", (F.row_number().over(Window.orderBy("station_id")) - 1).cast("long").alias("r"))
+    first = t.orderBy("station_id").limit(250)  # no more of them get a drone
+    placed = first.select("station_id", (F.row_number().over(Window.orderBy("station_id")) - 1).cast("long").alias("r"))
     fleet = spark.range(250).select((F.col("id") % n).alias("r"))
     return fleet.join(placed, "r").groupBy("station_id").agg(F.count(F.lit(1)).alias("drones"))
 
