@@ -164,3 +164,16 @@ def ranking_reward(rows: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
     over = sum((F.coalesce(F.col(c) * x, F.lit(0.0)) for c, x in REWARD.items()), F.lit(0.0))
     under = sum((F.when(F.col(c).isNotNull(), x).otherwise(0.0) for c, x in REWARD.items()), F.lit(0.0))
     return parts.select(*keys, ratio(over, under).alias("reward"))
+
+
+def set_f1(said: Column, truth: Column) -> Column:
+    """F1 of two sets; null without a truth, 0 without a prediction or anything in common."""
+    both = F.size(F.array_intersect(said, truth))
+    f1 = F.coalesce(ratio(2 * both, F.size(F.array_distinct(said)) + F.size(F.array_distinct(truth))), F.lit(0.0))
+    return F.when(F.size(truth) > 0, f1)
+
+
+def weighted_mean(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The mean of the parts that aren't null, by their weights."""
+    over = sum((F.coalesce(parts[c] * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    return ratio(over, sum((F.when(parts[c].isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0)))

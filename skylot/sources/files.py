@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -72,3 +74,116 @@ def markdown(rows: DataFrame, limit: int = 200) -> str:
     """A report table as Markdown, of its first rows."""
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(limit).collect())])
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    """Windows of demands as rows (time_window, place, demand fields)."""
+    return rows.select("time_window", F.posexplode("demands").alias("place", "d")).select("time_window", "place", "d.*")
+
+
+def latest_run(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
+    """The records of the run folders that a pattern names, of the last folder by name."""
+    rows = spark.read.schema(schema).option("multiLine", "true").json(pattern).withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    last = rows.agg(F.max("run").alias("run"))
+    return rows.join(F.broadcast(last), "run", "left_semi")  # last is one row
+
+
+STATION = "station_name string, longitude double, latitude double, city string, platform string, service_period string"
+BUILDING = "feature_id long, land_use_type string, building_height_m double, longitude double, latitude double"
+LAND_USE = {"healthcare": ("healthcare", "hospital", "clinic"), "residential": ("residential",)}
+
+
+def csv_table(spark: SparkSession, path: str, ddl: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """A CSV file's columns of a schema, under their names or aliases. A column that is missing, or a number that can't be
+    read, fails: numbers are cast strictly."""
+    rows = spark.read.option("header", "true").csv(path).withColumnsRenamed(aliases or {})
+    wanted = StructType.fromDDL(ddl)
+    missing = [f.name for f in wanted.fields if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    return rows.select(*(F.trim(f.name).cast(f.dataType).alias(f.name) for f in wanted.fields))
+
+
+def stations(spark: SparkSession, paths: dict[str, str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """Stations of several sheets, a CSV file each, with the sheet's name and the service period's dates."""
+    rows = None
+    for sheet, path in paths.items():
+        own = csv_table(spark, path, STATION, aliases).withColumn("source_sheet", F.lit(sheet))
+        rows = own if rows is None else rows.unionByName(own)
+    halves = F.split(F.coalesce("service_period", F.lit("")), "-", 2)
+    starts, ends = F.trim(F.get(halves, 0)), F.trim(F.coalesce(F.get(halves, 1), F.lit("")))
+    return rows.select("*", service_date(starts).alias("service_start_date"), service_date(ends).alias("service_end_date"),
+                       F.contains(starts, F.lit("？")).alias("start_estimated"), F.contains(ends, F.lit("？")).alias("end_estimated"))
+
+
+def buildings(spark: SparkSession, path: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Buildings with translated column names; Chinese characters that are left in a land use fail."""
+    rows = csv_table(spark, path, BUILDING, aliases)
+    left = F.col("land_use_type").rlike("[\\u4e00-\\u9fff]")
+    return rows.withColumn("land_use_type", F.when(left, F.raise_error(F.concat(F.lit("not translated: "), "land_use_type"))).otherwise(F.col("land_use_type")))
+
+
+def land_use(rows: DataFrame, part: str) -> DataFrame:
+    """The buildings of a part of LAND_USE, or all of them."""
+    return rows if part == "all" else rows.filter(F.lower("land_use_type").isin(*LAND_USE[part]))
+
+
+def service_date(token: Column) -> Column:
+    """A spreadsheet's day number or a dated text as an ISO date; empty for what is neither."""
+    dated = "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"
+    part = lambda i: F.regexp_extract(token, dated, i)
+    day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(token.try_cast("double")).cast("int")).cast("string")
+    text = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
+    return F.when(token.rlike("^[0-9]+([.][0-9]+)?$"), day).when(part(1) != "", text).otherwise("")
+
+
+def with_json(rows: DataFrame, said: str, name: str) -> DataFrame:
+    """rows with the JSON text in a column said, without code fences: as it is, from its first bracket to its last, or either
+    without trailing commas; null if none of them is JSON."""
+    from skylot.functions.records import SLICED
+
+    rows = rows.withColumn("_slice", F.expr(SLICED.format(x=said)))
+    forms = [F.col(said), F.col("_slice"), *(F.regexp_replace(c, r",\s*([}\]])", "$1") for c in (said, "_slice"))]
+    return rows.withColumn(name, F.coalesce(*(F.when(F.try_parse_json(f).isNotNull(), f) for f in forms))).drop("_slice")
+
+
+def numbered(lines: DataFrame, log: str, order: str) -> DataFrame:
+    """lines with line_no, from 1 in each log."""
+    return lines.withColumn("line_no", F.row_number().over(Window.partitionBy(log).orderBy(order)))
+
+
+def log_scalars(lines: DataFrame) -> DataFrame:
+    """(log, line_no, value) -> (log, key, step, value): the numbers of a training log's lines, by series; a line without a
+    step counts by its number; series of one value are left out."""
+    step = F.coalesce(F.nullif(F.regexp_extract("value", "step[:=]([0-9]+)", 1), F.lit("")).try_cast("int"), F.col("line_no"))
+    found = F.arrays_zip(F.regexp_extract_all("value", F.lit("([A-Za-z_]+)[:=] ?([0-9.]+)"), F.lit(1)).alias("key"), F.regexp_extract_all("value", F.lit("([A-Za-z_]+)[:=] ?([0-9.]+)"), F.lit(2)).alias("number"))
+    rows = lines.select("log", step.alias("step"), F.explode(found).alias("f")).select("log", F.lower("f.key").alias("key"), "step", F.col("f.number").try_cast("double").alias("value")).filter("value IS NOT NULL")
+    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("log", "key"))).filter("_n >= 2").drop("_n")
+
+
+def cache_counters(lines: DataFrame) -> DataFrame:
+    """(log, value) -> hits, misses and hit rate in per cent of each log's path cache."""
+    hit, miss = F.count_if(F.contains("value", F.lit("[Path Cache] (disk)"))), F.count_if(F.col("value").rlike("\\[Path Cache [0-9]+\\] computing"))
+    return lines.groupBy("log").agg(hit.alias("hits"), miss.alias("misses")).withColumn(
+        "hit_rate", F.when(F.col("hits") + F.col("misses") > 0, 100.0 * F.col("hits") / (F.col("hits") + F.col("misses"))))
+
+
+def step_timings(lines: DataFrame, first: int, second: int) -> DataFrame:
+    """(log, value) -> (log, seconds): from the last mark of a step to that of another."""
+    at = F.unix_timestamp(F.nullif(F.regexp_extract("value", "^([0-9-]+ [0-9:]+)", 1), F.lit("")))
+    step = F.regexp_extract("value", "Step ([0-9]+)", 1)
+    mark = lambda n: F.max(F.when(step == str(n), at))
+    return lines.groupBy("log").agg((mark(second) - mark(first)).cast("long").alias("seconds"))
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
+def write_parquet(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
+
+
+def json_report(rows: DataFrame, limit: int = 1000) -> str:
+    """A small report as one indented JSON list, of at most limit rows: reports are aggregates."""
+    return json.dumps([json.loads(line) for line in rows.limit(limit).select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0]], ensure_ascii=False, indent=2)
