@@ -9,14 +9,15 @@ bucket, estimates and bounds throw out what can't be near; the rest is recompute
 precision, and only that makes a link. Links found are never below the threshold; a pair is counted
 in the first table whose key it shares, so no list of pairs is made.
 
-Spark side: keys are counted narrow (id, key) before vectors move, buckets of one are dropped, and
-buckets of more than CHUNK vectors are dealt in pairs of chunks, so a label or bucket with a third of
-all rows is many tasks. The number of bits follows the largest label, and with it the number of tables.
+Spark side: rows of one label with equal vectors are a class, which is compared once and counts as many as
+it has rows. Keys are counted narrow (id, key) before vectors move, buckets of one are dropped, and
+buckets of more than CHUNK classes are dealt in pairs of chunks, so a label or bucket with a third of
+all rows is many tasks. Each label has the bits, and with them the tables, that its own number of classes needs.
 
 Cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null label
-or vec_id link with nothing; vectors of different lengths don't either; n_links of a vec_id that rows
-repeat counts the links of all its rows; ties don't matter; an empty table gives an empty one;
-further columns are ignored.
+or vec_id link with nothing; vectors of different lengths don't either; rows that repeat a vec_id are vectors
+of their own: each links with all others near it, those of its own id too, and has its own component; ties
+don't matter; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylot.llm.common import components, staged
@@ -36,6 +37,8 @@ THRESHOLD, RECALL = 0.93, 0.999
 BUCKET, CHUNK = 192, 1024
 #: Rotations in a code, and standard errors in a bound.
 ROTATIONS, DEVIATIONS, SEED = 4, 4.0, 29
+#: Labels whose sizes are broadcast at most; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 @functools.lru_cache(64)
@@ -46,7 +49,7 @@ def rotation(dimension: int, number: int, seed: int = SEED) -> np.ndarray:
 
 
 def layout(most: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Bits of a key and number of tables, for the largest label's number of vectors."""
+    """Bits of a key and number of tables, for a label's number of vectors."""
     bits = max(2, math.ceil(math.log2(max(1, most) / BUCKET)))
     hit = (1 - math.acos(threshold) / math.pi) ** bits  # two signs agree with 1 - angle / pi
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
@@ -73,19 +76,18 @@ def unit_rows(vectors: list[np.ndarray]) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding) of what can link."""
+def is_valid() -> Column:
+    """Whether a row (vec_id, label, embedding) can link."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.select("vec_id", "label", "embedding").filter(
-        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(
-        fine & F.exists("embedding", lambda x: x != 0))
+    there = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()
+    return F.coalesce(there & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
 def _neighbours(threshold: float, rotations: int, deviations: float):
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
+        ids, weight = table["class"].to_numpy(), table["n"].to_numpy()
         unit = unit_rows([np.asarray(v, np.float64) for v in table["embedding"].to_pylist()])
-        bands = np.array(table["bands"].to_pylist(), np.int64)
+        bands = keys(unit, table["bits"][0].as_py(), table["tables"][0].as_py())
         part = table["part"].to_numpy()
         at, low, high = key[2].as_py(), key[4].as_py(), key[5].as_py()
         dimension = unit.shape[1]
@@ -100,12 +102,12 @@ def _neighbours(threshold: float, rotations: int, deviations: float):
         n = np.zeros(len(ids), np.int64)
         for i in range(len(ids)):
             j = np.flatnonzero(maybe[i, i + 1:]) + i + 1
-            j = j[(ids[j] != ids[i]) & ((part[j] != part[i]) | (low == high))]
+            j = j[(part[j] != part[i]) | (low == high)]
             j = j[unit[j] @ unit[i] >= threshold]
             near[i, j] = near[j, i] = True
             first = j[~(bands[j, :at] == bands[i, :at]).any(1)] if at else j
-            n[i] += len(first)
-            n[first] += 1
+            n[i] += weight[first].sum()
+            n[first] += weight[i]
         root = np.arange(len(ids))
         for i in np.flatnonzero(near.any(1)):
             if root[i] == i and not near[i, :i].any():  # walk its component
@@ -116,7 +118,7 @@ def _neighbours(threshold: float, rotations: int, deviations: float):
                     seen[front] = True
                 root[seen] = np.flatnonzero(seen)[np.argmin(ids[seen])]
         there = near.any(1)
-        return pa.table({"vec_id": ids[there], "n": n[there], "root": ids[root[there]]})
+        return pa.table({"class": ids[there], "n": n[there], "root": ids[root[there]]})
 
     return compare
 
@@ -124,36 +126,48 @@ def _neighbours(threshold: float, rotations: int, deviations: float):
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rotations: int = ROTATIONS,
            deviations: float = DEVIATIONS) -> DataFrame:
     """(vec_id, label, embedding) -> (vec_id, n_links, component_id, kept), one row a vector."""
-    rows = valid(vectors)
-    most = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = layout(most, threshold, recall)
+    own = F.monotonically_increasing_id()
+    rows = staged(vectors.select("vec_id", "label", "embedding").select(
+        F.col("vec_id").cast("long"), F.when(is_valid(), F.col("label").cast("string")).alias("label"),
+        F.when(is_valid(), F.col("embedding").cast("array<double>")).alias("embedding")), "rows")
+    same = ["label", "digest", "proof"]
+    keyed = rows.select("vec_id", "label", "embedding", F.xxhash64("embedding").alias("digest"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("proof"))
+    classes = staged(keyed.filter("label IS NOT NULL").groupBy(*same).agg(
+        F.min("vec_id").alias("low_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")).withColumn("class", own), "classes")
+    sizes = staged(classes.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes
 
     def banded(batches):
         for batch in batches:
-            embedded = batch.column("embedding").to_pylist()
+            embedded, sizes_ = batch.column("embedding").to_pylist(), batch.column("size").to_pylist()
+            plans = [(len(v), *layout(n, threshold, recall)) for v, n in zip(embedded, sizes_, strict=True)]
             found = [None] * len(embedded)
-            for size in {len(v) for v in embedded}:
-                own = [i for i, v in enumerate(embedded) if len(v) == size]
-                for i, k in zip(own, keys(unit_rows([embedded[i] for i in own]), bits, tables), strict=True):
+            for plan in set(plans):
+                own_ = [i for i, p in enumerate(plans) if p == plan]
+                for i, k in zip(own_, keys(unit_rows([embedded[i] for i in own_]), *plan[1:]), strict=True):
                     found[i] = k
-            yield batch.append_column("bands", pa.array(found, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), batch.column("label"), *(pa.array([p[i] for p in plans], pa.int32()) for i in range(3)), pa.array(found, pa.list_(pa.int64()))],
+                ["class", "label", "dimension", "bits", "tables", "bands"])
 
-    with_bands = staged(rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
-                        .mapInArrow(banded, "vec_id long, label string, embedding array<double>, bands array<long>"), "bands")
-    narrow = with_bands.select("vec_id", "label", F.size("embedding").alias("dimension"), F.posexplode("bands").alias("at", "band"))
+    with_bands = staged(classes.join(few, "label").select("class", "label", "embedding", "size").mapInArrow(
+        banded, "class long, label string, dimension int, bits int, tables int, bands array<long>"), "bands")
+    narrow = with_bands.select("class", "label", "dimension", "bits", "tables", F.posexplode("bands").alias("at", "band"))
     bucket = ["label", "dimension", "at", "band"]
-    crowded = narrow.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    placed = narrow.join(crowded, bucket).withColumn("part", F.pmod(F.hash("vec_id"), chunks)).withColumn(
+    crowded = narrow.groupBy(*bucket).agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    chunks = F.ceil(F.col("crowd") / CHUNK).cast("int")
+    placed = narrow.join(crowded, bucket).withColumn("part", F.pmod(F.hash("class"), chunks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    placed = placed.select("vec_id", *bucket, "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    wide = placed.join(with_bands.select("vec_id", "label", "embedding", "bands", F.size("embedding").alias("dimension")), ["vec_id", "label", "dimension"])
+    placed = placed.select("class", "bits", "tables", *bucket, "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    wide = placed.join(classes.select("class", "n", "embedding"), "class")
     compared = staged(wide.groupBy(*bucket, "low", "high").applyInArrow(
-        _neighbours(threshold, rotations, deviations), "vec_id long, n long, root long"), "compared")
-    counts = compared.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    connected = components(compared.select("vec_id", "root"))
-    known = counts.join(connected.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return vectors.select("vec_id").join(known, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+        _neighbours(threshold, rotations, deviations), "class long, n long, root long"), "compared")
+    links = compared.groupBy("class").agg(F.sum("n").alias("links"))
+    connected = components(compared.select("class", "root")).withColumnRenamed("id", "class")
+    known = staged(classes.select("class", *same, "n", "low_id").join(links, "class", "left").join(connected, "class", "left").select(
+        *same, "low_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component")), "known")
+    least = known.groupBy("component").agg(F.min("low_id").alias("component_id"))
+    result = keyed.drop("embedding").join(known.join(least, "component").drop("component", "low_id"), same, "left")
+    component = F.coalesce("component_id", "vec_id")
+    return result.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+                         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -42,6 +42,22 @@ def test_odd_vectors(spark):
     assert vectors.linked(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    a, b, c = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [-3.0, 1.0, 0.5]
+    rows = [(1, a, 0), (1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (1, c, 0), (4, c, 0), (5, c, 1)]
+    df = spark.createDataFrame([(i, v, g, "b", 1) for i, v, g in rows], SCHEMA)
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.linked(df).collect())
+    assert found == [(1, 1, 1, True), (1, 4, 1, True), (1, 4, 1, True), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (4, 1, 1, False), (5, 0, 5, True)]
+
+
+def test_a_third_of_equal_vectors_is_compared_once(spark):
+    draw = np.random.default_rng(7)
+    other = [(i, draw.standard_normal(8).tolist(), 0) for i in range(1000, 2000)]
+    rows = [(i, [1.0] * 8, 0) for i in range(500)] + other
+    found = check(spark, rows)
+    assert all(found[i] == (499, 0) or found[i][0] > 499 for i in range(500)) and found == brute(rows)
+
+
 def test_recall_in_a_label_of_many_vectors(spark):
     """Random directions with near copies about the threshold: buckets, chunks and tables are at work."""
     draw = np.random.default_rng(1)
