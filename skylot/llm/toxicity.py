@@ -40,6 +40,7 @@ from skylot.llm.common import staged
 SAMPLE, MIN_DOCS, MIN_SHARE = 20_000, 5, 0.5
 #: Letters of a word's beginnings beside the first four, and words of a family that are told apart.
 BEGINNINGS, FAMILY = (5, 7), 4
+_STARTS = (4, *BEGINNINGS)
 THRESHOLD = 0.7
 #: Log odds of a text without any feature.
 BIAS = -2.0
@@ -129,7 +130,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 low = (text.as_py() or "").lower()
                 kinds = _CLASS[np.frombuffer(f"  {low}  ".encode("latin-1", "replace"), np.uint8)]
                 cube += np.bincount((kinds[:-2] * SYMBOLS + kinds[1:-1]) * SYMBOLS + kinds[2:], minlength=SYMBOLS**3)
-                there = set(map(word.__getitem__, set(low.split())))
+                there = {token if token.isalpha() else word[token] for token in set(low.split())}
                 there.add("")
                 total.update(there)
                 if len(total) > _COUNTED:
@@ -177,6 +178,7 @@ class Reader:
         back_off /= back_off.sum(1, keepdims=True)
         smooth = cube + 5.0 * back_off[None, :, :]
         self.cost = (-np.log(smooth / smooth.sum(2, keepdims=True))).tolist()
+
     def read(self, token: str) -> str:
         """The likeliest words behind a token of letters, signs and separators, whatever its length."""
         return " ".join(self.readings(token)[0])
@@ -277,16 +279,35 @@ def skeleton(letters: str) -> str:
     return _REPEATS.sub(r"\1", letters.replace("i", "l"))
 
 
-def may_begin(token: str, skeletons: frozenset[str] | None) -> bool:
-    """Whether a word in a reading of token may begin as one of skeletons, each of at most four letters."""
-    if skeletons is None:
-        return True
-    starts = (0,) if token.isalpha() else (0, *(m.end() for m in _PARTED.finditer(token)))
-    for at in starts:
-        said = skeleton(token[at:])
-        if said[:4] in skeletons or said[:3] in skeletons or said[:2] in skeletons or said[:1] in skeletons:
+class Names:
+    """The words, and the beginnings of words, that features are about."""
+
+    def __init__(self, named: Iterator[str]):
+        named = set(named)
+        self.words = frozenset(f for f in named if "*" not in f)
+        self.starts = frozenset(f.partition("*")[0] for f in named if "*" in f)
+        self.heads = frozenset(f[:4] for f in self.words | self.starts)
+        self.skeletons = frozenset(map(skeleton, self.words | self.starts))
+        self.lengths = sorted({len(s) for s in self.skeletons})
+        firsts = {s[:1] for s in self.skeletons}
+        #: First letters of words whose skeletons may matter.
+        self.firsts = frozenset(firsts | {"i"} if "l" in firsts else firsts)
+
+    def __contains__(self, word: str) -> bool:
+        """Whether any feature is about a word."""
+        if word[:4] not in self.heads:
+            return False
+        if word in self.words:
             return True
-    return False
+        for n in _STARTS:  # a plain loop, for this is asked of each word of each text
+            if word[:n] in self.starts:
+                return True
+        return False
+
+    def may_begin(self, token: str) -> bool:
+        """Whether a word in a reading of token may be one of the words or begin as they do: then its skeleton begins so."""
+        starts = (0,) if token.isalpha() else (0, *(m.end() for m in _PARTED.finditer(token)))
+        return any(said[:n] in self.skeletons for said in (skeleton(token[at:]) for at in starts) for n in self.lengths)
 
 
 def spaced(text: str) -> Iterator[re.Match]:
@@ -296,39 +317,40 @@ def spaced(text: str) -> Iterator[re.Match]:
 
 
 class Finder:
-    """Finds the words of texts, with what disguised ones stand for. heads: the first letters of the words that
-    matter; others are passed over, and a token whose readings can't begin so isn't decoded."""
+    """Finds the words of texts, with what disguised ones stand for. names: what features are about; other words
+    are passed over, and a token whose readings can't be about them isn't decoded."""
 
-    def __init__(self, reader: Reader, heads: frozenset[str] | None = None):
-        self.reader, self.heads = reader, heads
-        self.skeletons = None if heads is None else frozenset(map(skeleton, heads))
-        firsts = {s[:1] for s in self.skeletons or ()}
-        #: First letters of words whose skeletons may matter.
-        self.firsts = None if heads is None else frozenset(firsts | {"i"} if "l" in firsts else firsts)
+    def __init__(self, reader: Reader, names: Names | None = None):
+        self.reader, self.names = reader, names
         self.said = Kept(self._said)
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text, lower case."""
-        text = text.lower()
+        text, names = text.lower(), self.names
         found: set[str] = set()
-        for said in map(self.said.__getitem__, set(text.split())):
-            if said:
+        for token in set(text.split()):
+            if token.isalpha() and not _TWICE.search(token):  # stands for itself
+                if names is None or token[:4] in names.heads and token in names:
+                    found.add(token)
+            elif said := self.said[token]:
                 found.update(said)
         for m in spaced(text):
             found.update(spaced_out(m[0], self.reader))
         return found
 
     def _said(self, token: str) -> tuple[str, ...]:
-        if self.heads is not None:  # most tokens are mere words without a doubled letter that matters
-            plain = _word(token)
-            if plain and (plain[0] not in self.firsts or not _TWICE.search(plain)) and (plain is token or not _SIGN.search(token)):
-                return (plain,) if plain[:4] in self.heads else ()
-        return tuple(w for w in self._readings(token) if self.heads is None or w[:4] in self.heads)
+        names = self.names
+        if names is None:
+            return tuple(self._readings(token))
+        plain = _word(token)  # most tokens are mere words without a doubled letter that matters; signs behind them end sentences
+        if plain and (plain[0] not in names.firsts or not _TWICE.search(plain)) and (plain is token or not _SIGN.search(token.rstrip(_ENDS))):
+            return (plain,) if plain in names else ()
+        return tuple(w for w in self._readings(token) if w in names)
 
     def _doubled(self, word: str) -> bool:
         """Whether a word's doubled letters may be a disguise that matters."""
-        return ((self.firsts is None or word[0] in self.firsts) and _TWICE.search(word) is not None
-                and word not in self.reader.common and may_begin(word, self.skeletons))
+        return ((self.names is None or word[0] in self.names.firsts) and _TWICE.search(word) is not None
+                and word not in self.reader.common and (self.names is None or self.names.may_begin(word)))
 
     def _readings(self, token: str) -> set[str]:
         reader, found = self.reader, set()
@@ -344,23 +366,20 @@ class Finder:
             core = token.strip("\"'.,;:?-_*~#%&<>[]{}«»„“”")
             ended = core.lstrip("(").rstrip(_ENDS)
             for part in {core, ended, *_JOINTS.split(ended)}:  # also the parts of a compound by themselves
-                if _SIGN.search(part) and (part != core or core == ended or _BEFORE.search(core)) and may_begin(part, self.skeletons):
+                if _SIGN.search(part) and (part != core or core == ended or _BEFORE.search(core)) and (
+                        self.names is None or self.names.may_begin(part)):
                     found.update(*reader.readings(part))
         return found
 
 
-def features(found: set[str], heads: frozenset[str] | None = None) -> set[str]:
+def features(found: set[str]) -> set[str]:
     """Words, their beginnings, and beginnings that two, three and more distinct words share: one word of a
-    family may be chance where several aren't. heads: the first four letters of what matters, to pass
-    over others."""
+    family may be chance where several aren't."""
     out, families = set(), Counter()
     for w in found:
-        head = w[:4]
-        if heads is not None and head not in heads:
-            continue
         out.add(w)
         if len(w) > 4:
-            out.add(head + "*")
+            out.add(w[:4] + "*")
         for n in BEGINNINGS:
             if len(w) > n:
                 out.add(w[:n] + "*")
@@ -392,17 +411,16 @@ class Model:
 
     def __init__(self, counts: np.ndarray, known: dict[str, int], docs: int, weights: dict[str, float]):
         self.counts, self.known, self.docs, self.weights = counts, known, docs, weights
-        self.heads = frozenset(f.partition("*")[0][:4] for f in weights)
 
     @functools.cached_property
     def finder(self) -> Finder:
-        return Finder(Reader(self.counts, self.known, self.docs), self.heads)
+        return Finder(Reader(self.counts, self.known, self.docs), Names(self.weights))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "finder"}
 
     def score(self, text: str) -> float:
-        there = features(self.finder.words(text), self.heads)
+        there = features(self.finder.words(text))
         # in one order, so that equal texts have equal sums
         z = BIAS + math.fsum(self.weights[f] for f in there if f in self.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -426,7 +444,6 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # of an id's rows one, so that no more than `sample` are fitted on
     rows = staged(texts.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("row.*"), "labelled")
 
-
     def in_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(Reader(counts, known, n_docs))
         yield from _summed((features(finder.words(t.as_py() or "")) for batch in batches for t in batch.column("text")), "feature")
@@ -446,7 +463,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = [sorted(number[f] for f in features(chosen.finder.words(t.as_py() or ""), chosen.heads) if f in number)
+            there = [sorted(number[f] for f in features(chosen.finder.words(t.as_py() or "")) if f in number)
                      for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.list_(pa.int32())), batch.column("toxic").cast(pa.int32())], ["there", "toxic"])
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -68,10 +69,25 @@ def test_every_form_of_disguise_reaches_the_reader(spark):
                         "stuupid": "stupid", "iddiot": "idiot", "stuuupid-head": "stupid", "iddiot/moron": "idiot", "my-idio7": "idiot",
                         "1D10T!": "idiot"}.items():
         assert meant in toxicity.Finder(read).words(f"such {said} there"), said
-        assert meant in toxicity.Finder(read, frozenset({meant[:4]})).words(said), said  # what is passed over can't matter
+        assert meant in toxicity.Finder(read, toxicity.Names([meant])).words(said), said  # what is passed over can't matter
     assert toxicity.Finder(read).words("see good all! idiot!") == {"see", "good", "all", "idiot"}
 
 
+def test_passing_over_words_changes_no_score(spark):
+    texts = ["you are a stupid idiot and the moron is here", "a worthless and disgusting ass"] * 20 + ["see all that is good"] * 60
+    counts = reader(spark).counts
+    known, n = toxicity.lexicon(words_of(spark, texts))
+    weights = {"stupid": 1.0, "idio*": 2.0, "worth*2": 0.5, "disgust*": 1.5, "ass": 0.25, "moro*": 0.75, "all": 0.1}
+    model, every = toxicity.Model(counts, known, n, weights), toxicity.Finder(toxicity.Reader(counts, known, n))
+    rng = random.Random(3)
+    for _ in range(300):
+        words = rng.choices([w for t in texts[:2] for w in t.split()] + ["worthy", "worthwhile", "asset", "all!", "(good)", "!see", "idiom"], k=6)
+        noisy = ["".join(rng.choice([c, c, c, c + c, {"i": "1", "s": "$", "o": "0", "t": "7"}.get(c, c), c + "-"]) for c in w) + rng.choice(["", "", "!", ",", "."]) for w in words]
+        text = " ".join(noisy)
+        z = toxicity.BIAS + sum(weights.get(f, 0.0) for f in toxicity.features(every.words(text)))
+        assert abs(model.score(text) - 1 / (1 + toxicity.math.exp(-z))) < 1e-12, text
+
+
 def test_viterbi_finds_the_cheapest_of_all_readings(spark):
     """Against enumeration: every way to read or drop each character of short tokens."""
     read = reader(spark)
