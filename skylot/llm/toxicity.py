@@ -289,6 +289,8 @@ class Names:
         self.heads = frozenset(f[:4] for f in self.words | self.starts)
         self.skeletons = frozenset(map(skeleton, self.words | self.starts))
         self.lengths = sorted({len(s) for s in self.skeletons})
+        self.begun = frozenset(s[:4] for s in self.skeletons if len(s) > 3)
+        self.short = frozenset(s for s in self.skeletons if len(s) < 4)
         firsts = {s[:1] for s in self.skeletons}
         #: First letters of words whose skeletons may matter.
         self.firsts = frozenset(firsts | {"i"} if "l" in firsts else firsts)
@@ -307,7 +309,13 @@ class Names:
     def may_begin(self, token: str) -> bool:
         """Whether a word in a reading of token may be one of the words or begin as they do: then its skeleton begins so."""
         starts = (0,) if token.isalpha() else (0, *(m.end() for m in _PARTED.finditer(token)))
-        return any(said[:n] in self.skeletons for said in (skeleton(token[at:]) for at in starts) for n in self.lengths)
+        for at in starts:
+            said = skeleton(token[at:])
+            if said[:4] in self.begun or self.short and (said[:3] in self.short or said[:2] in self.short or said[:1] in self.short):
+                for n in self.lengths:
+                    if said[:n] in self.skeletons:
+                        return True
+        return False
 
 
 def spaced(text: str) -> Iterator[re.Match]:
@@ -326,10 +334,10 @@ class Finder:
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text, lower case."""
-        text, names = text.lower(), self.names
+        text, names, twice = text.lower(), self.names, _TWICE.search
         found: set[str] = set()
         for token in set(text.split()):
-            if token.isalpha() and not _TWICE.search(token):  # stands for itself
+            if token.isalpha() and (not twice(token) or token in self.reader.common):  # stands for itself
                 if names is None or token[:4] in names.heads and token in names:
                     found.add(token)
             elif said := self.said[token]:
@@ -343,7 +351,7 @@ class Finder:
         if names is None:
             return tuple(self._readings(token))
         plain = _word(token)  # most tokens are mere words without a doubled letter that matters; signs behind them end sentences
-        if plain and (plain[0] not in names.firsts or not _TWICE.search(plain)) and (plain is token or not _SIGN.search(token.rstrip(_ENDS))):
+        if plain and not self._doubled(plain) and (plain is token or not _SIGN.search(token.rstrip(_ENDS))):
             return (plain,) if plain in names else ()
         return tuple(w for w in self._readings(token) if w in names)
 
