@@ -83,7 +83,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of map-reduce component search: each hangs every
     neighbour on the smallest one. Minima are aggregated before the shuffle and joined back, so a
-    hub's neighbours never meet in one task. Every round is staged."""
+    hub's neighbours never meet in one task. Every round is staged; one aggregation tells whether it was the last."""
     def hung(pairs: DataFrame, both_ways: bool) -> DataFrame:
         """pairs (u, v), u > v. Large star: the larger neighbours of u go to its smallest one (or u);
         small star: the smaller ones and u itself do."""
@@ -97,13 +97,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     pairs = staged(edges.toDF("a", "b").filter("a <> b")
                    .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
     while True:
         pairs = staged(hung(hung(pairs, True), False), "star")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        # ended when all are stars: what hangs does so on one id, and nothing hangs on it
+        ends = pairs.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(pairs.select("v", F.lit(0)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n")).filter("up > 0 AND n > 1").isEmpty():
             break
-        seen = now
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 

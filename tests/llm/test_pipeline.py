@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version, and the queries that SQL can express."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,16 @@ def test_components_and_ranks(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     ranked = globally_ranked(spark.range(500).selectExpr("id * 37 % 500 AS x"), [F.col("x")], "place")
     assert all(r["x"] == r["place"] for r in ranked.collect())
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(5)
+    chain = rng.sample(range(80), 80)
+    for edges in (list(zip(chain, chain[1:])), [(99, i) for i in range(40)], [(rng.randrange(100), rng.randrange(100)) for _ in range(70)], [(1, 1)]):
+        least = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in least:  # as often as a chain is long
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        rows = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert len(rows) == len(least) and dict(rows) == least
