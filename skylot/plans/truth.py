@@ -101,33 +101,6 @@ def rank_contiguity(spark, d):
     return predictions(lens.demands(spark, d)).groupBy("label").agg(F.coalesce(fine, F.lit(False)).alias("contiguous"), n.alias("n"))
 
 
-@query("surface_contradictions", with_demand("""SELECT a.label, a.demand_id AS loud, b.demand_id AS quiet, a.i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, demand_id) AS i FROM v_demand) a
-  JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, demand_id) AS i FROM v_demand) b ON a.label = b.label AND a.i = b.i WHERE a.i <= 3 AND a.demand_id <> b.demand_id AND a.priority < b.priority""", 60))
-def surface_contradictions(spark, d):
-    """The i-th highest need of a window with its i-th lowest."""
-    rows = lens.demands(spark, d, 60)
-    high = ranking.ranked(rows, ["label"], ("-score", "demand_id"), "i").filter("i <= 3").select("label", "i", F.col("demand_id").alias("loud"), F.col("priority").alias("p"))
-    low = ranking.ranked(rows, ["label"], ("score", "demand_id"), "i").filter("i <= 3").select("label", "i", F.col("demand_id").alias("quiet"), F.col("priority").alias("r"))
-    return high.join(low, ["label", "i"]).filter((F.col("loud") != F.col("quiet")) & (F.col("p") < F.col("r"))).select("label", "loud", "quiet", "i")
-
-
-@query("adjacent_near_ties", with_demand("""SELECT label, demand_id AS a, b, gap FROM (SELECT label, demand_id, priority, i, lead(demand_id) OVER w AS b, lead(priority) OVER w AS other, score - lead(score) OVER w AS gap FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, priority, demand_id) AS i FROM v_demand) WINDOW w AS (PARTITION BY label ORDER BY i)) WHERE i % 2 = 1 AND gap <= 6 AND priority <> other""", 60))
-def adjacent_near_ties(spark, d):
-    """Neighbours in a window's ranking, two by two, that lie close together but differ in priority."""
-    rows = ranking.ranked(lens.demands(spark, d, 60), ["label"], ranking.RANK_RULE, "i")
-    w = Window.partitionBy("label").orderBy("i")
-    rows = rows.withColumns({"b": F.lead("demand_id").over(w), "other": F.lead("priority").over(w), "gap": F.col("score") - F.lead("score").over(w)})
-    return rows.filter((F.col("i") % 2 == 1) & (F.col("gap") <= 6) & (F.col("priority") != F.col("other"))).select("label", F.col("demand_id").alias("a"), "b", "gap")
-
-
-@query("hard_mix", with_demand("SELECT label, demand_id, i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY priority, score DESC, demand_id) AS i, count(*) OVER (PARTITION BY label) AS n FROM v_demand) WHERE n >= 4 AND (i <= 2 OR i >= n - 1)", 60))
-def hard_mix(spark, d):
-    """The first two and the last two of a window's ranking, where it has four."""
-    rows = ranking.ranked(lens.demands(spark, d, 60), ["label"], ranking.RANK_LABEL, "i").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
-    return rows.filter((F.col("n") >= 4) & ((F.col("i") <= 2) | (F.col("i") >= F.col("n") - 1))).select("label", "demand_id", F.col("i").cast("long").alias("i"))
-
-
 @query("demand_cards", with_demand("SELECT label, demand_id, i FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY priority, CASE WHEN cargo IN ('food', 'otc_drug') THEN 1 ELSE 0 END, CASE WHEN destination = 'residential_area' THEN 0 ELSE 1 END, demand_id) AS i FROM v_demand) WHERE i <= 5", 60))
 def demand_cards(spark, d):
     """A window's five first cards: by priority, medical goods, quiet places, id."""
