@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from skylot.plans import corpus, demand, extraction, facts, flights, fronts, mined, records, routing, space, streams, truth  # noqa: F401
+from skylot.plans import audits, corpus, demand, extraction, facts, flights, fronts, mined, records, routing, space, streams, truth  # noqa: F401
 
 FLAGSHIP = "window_rank"

@@ -41,7 +41,7 @@ def _first(text: str, table: dict[str, str], other: str) -> str:
 
 
 NORMAL = r"trim(lower(regexp_replace(conversation, '[ \n\t\r]+', ' '{all})))"
-FIRST_ROLE = r"lower(trim(regexp_extract(conversation, '(?:^|\n)[ \t]*\[[0-9][0-9]:[0-9][0-9]\]\s*([^:]+):', 1)))"
+FIRST_ROLE = r"lower(trim(regexp_extract(conversation, '(?:^|[\n\r])[ \t]*\[[0-9][0-9]:[0-9][0-9]\][ \t]*([^:\n\r]+):', 1)))"
 _MINUTES = [r"(?:eta|arrival(?:\s+within)?|within|under|in)\s*(?:about\s*)?(?:<=\s*)?([0-9]{1,3})\s*min", r"([0-9]{1,3})\s*minutes?"]
 DEADLINE = "greatest(5, least(240, coalesce(" + ", ".join(f"try_cast(nullif(regexp_extract(said, '{p}', 1), '') AS INT)" for p in _MINUTES) + ", coalesce(nullif(default_deadline, 0), 90))))"
 

@@ -114,69 +114,6 @@ def greedy_matching(spark, d):
     return greedy_matches(said, truth, ["label"], ["cargo", "tier"], "quantity", "demand_id", 0.0)
 
 
-#: Factors that a dialogue has to mention (name: whether it has to, words of which one is enough).
-_MUST = {"deadline_minutes": ("deadline IS NOT NULL AND tier IN ('life_support', 'critical')", "concat(CAST(deadline AS STRING), ' min')", "concat('within ', CAST(deadline AS STRING))"),
-         "requester_role": ("tier IN ('life_support', 'critical')", f"lower({_SPEAKER})", "role"), "scenario_context": ("true", "text", "text"),
-         "special_handling": ("handling IS NOT NULL", "'insulated'", "'brackets'")}
-_MAY = {"population_vulnerability": ("children OR elderly", "'child'", "'elderly'"), "receiver_ready": ("ready", "'sign for it'", "'standing by'")}
-_NEED = {n: f"CASE WHEN {w} THEN 1 ELSE 0 END" for n, (w, _, _) in (_MUST | _MAY).items()}
-_SEEN = {n: f"CASE WHEN ({w}) AND (contains(said, {a}) OR contains(said, {b})) THEN 1 ELSE 0 END" for n, (w, a, b) in (_MUST | _MAY).items()}
-_REQUIRED, _MATCHED = " + ".join(f"need_{n}" for n in _MUST), " + ".join(f"seen_{n}" for n in _MUST)
-_OPTIONAL, _BESIDE = " + ".join(f"need_{n}" for n in _MAY), " + ".join(f"seen_{n}" for n in _MAY)
-_SCORE = f"least(1.0, (({_MATCHED}) + ({_BESIDE}) * 0.5) / greatest(({_REQUIRED}) + greatest({_OPTIONAL}, 1) * 0.5, 1.0))"
-_AUDITED = f"(SELECT *, {', '.join(f'{e} AS need_{n}' for n, e in _NEED.items())}, {', '.join(f'{e} AS seen_{n}' for n, e in _SEEN.items())} FROM {_READ})"
-#: The demand as it would look if only what is seen were known.
-_MASK = {"deadline": "CASE WHEN seen_deadline_minutes = 1 THEN deadline ELSE greatest(120, coalesce(nullif(deadline, 0), 120)) END", "hard": "seen_deadline_minutes = 1 AND hard",
-         "role": "CASE WHEN seen_requester_role = 1 THEN role WHEN tier = 'consumer' THEN 'consumer' ELSE 'community_health_worker' END",
-         "text": "CASE WHEN seen_scenario_context = 1 THEN text ELSE 'Routine supply request' END", "handling": "CASE WHEN seen_special_handling = 1 THEN handling END",
-         "children": "seen_population_vulnerability = 1 AND children", "elderly": "seen_population_vulnerability = 1 AND elderly", "vulnerable": "seen_population_vulnerability = 1 AND vulnerable"}
-
-
-def audited(spark, d):
-    rows = read(spark, d)
-    rows = rows.withColumns({f"need_{n}": F.expr(e) for n, e in _NEED.items()} | {f"seen_{n}": F.expr(e) for n, e in _SEEN.items()})
-    return rows.withColumns({"observability": F.expr(_SCORE), "missing": F.concat_ws(",", *(F.when((F.col(f"need_{n}") == 1) & (F.col(f"seen_{n}") == 0), n) for n in _MUST))})
-
-
-_MISSING = "concat_ws(',', " + ", ".join(f"CASE WHEN need_{n} = 1 AND seen_{n} = 0 THEN '{n}' END" for n in _MUST) + ")"
-
-
-@query("dialogue_audit", with_demand(f"SELECT demand_id, {q(_SCORE)} AS observability, {_MISSING} AS missing FROM {_AUDITED}"))
-def dialogue_audit(spark, d):
-    """Does a dialogue mention the factors of its priority? Optional ones count half."""
-    return audited(spark, d).select("demand_id", q6(F.col("observability")).alias("observability"), "missing")
-
-
-
-@query("masked_priority", with_demand(f"SELECT demand_id, {', '.join(f'{e} AS m_{c}' for c, e in _MASK.items())} FROM {_AUDITED}"))
-def masked_priority(spark, d):
-    """A demand without what its dialogue doesn't show: defaults in place of unobserved factors."""
-    return audited(spark, d).select("demand_id", *(F.expr(e).alias(f"m_{c}") for c, e in _MASK.items()))
-
-
-@query("audit_verdicts")
-def audit_verdicts(spark, d):
-    """An audit is passed if nothing is missing and the masked demand, scored anew, has the priority of the whole one."""
-    rows = audited(spark, d).withColumn("whole", F.col("priority"))
-    again = lens.scored(rows.withColumns({c: F.expr(e) for c, e in _MASK.items()}))
-    return again.select("demand_id", F.col("priority").alias("observable_priority"), "whole", ((F.col("missing") == "") & (F.col("priority") == F.col("whole"))).alias("passed"))
-
-
-@query("missing_factor_rates", with_demand(" UNION ALL ".join(
-    f"SELECT '{n}' AS factor, sum(need_{n} - seen_{n})::BIGINT AS missing, sum(need_{n})::BIGINT AS needed, {q(f'sum(need_{n} - seen_{n}) / nullif(sum(need_{n}), 0)::DOUBLE')} AS rate FROM {_AUDITED} HAVING sum(need_{n} - seen_{n}) > 0" for n in _MUST)))
-def missing_factor_rates(spark, d):
-    """How often each required factor is missing where it is needed; factors never missing don't appear."""
-    pairs = F.inline(F.array(*(F.struct(F.lit(n).alias("factor"), F.col(f"need_{n}").alias("need"), F.col(f"seen_{n}").alias("seen")) for n in _MUST)))
-    long = audited(spark, d).select(pairs).groupBy("factor").agg(F.sum(F.col("need") - F.col("seen")).alias("missing"), F.sum("need").alias("needed"))
-    return long.filter("missing > 0").select("factor", "missing", "needed", q6(ratio(F.col("missing"), F.col("needed"))).alias("rate"))
-
-
-@query("must_mention_factors", with_demand(f"SELECT demand_id, {'concat_ws(' + repr(',') + ', ' + ', '.join(f'CASE WHEN {w} THEN {n!r} END' for n, (w, _, _) in _MUST.items()) + ')'} AS must, {'concat_ws(' + repr(',') + ', ' + ', '.join(f'CASE WHEN {w} THEN {n!r} END' for n, (w, _, _) in _MAY.items()) + ')'} AS may FROM v_demand"))
-def must_mention_factors(spark, d):
-    names = lambda table: F.concat_ws(",", *(F.when(F.expr(w), n) for n, (w, _, _) in table.items()))
-    return lens.demands(spark, d).select("demand_id", names(_MUST).alias("must"), names(_MAY).alias("may"))
-
-
 _ID = "coalesce(nullif(trim(event_id), ''), nullif(trim(dialogue_id), ''), {fallback})"
 
 
@@ -189,18 +126,6 @@ def canonical_ids(spark, d):
     return rows.select("demand_id", F.expr(_ID.format(fallback="concat('REQ', lpad(CAST(r AS STRING), 3, '0'))")).alias("canonical"))
 
 
-@query("prefer_nonempty", with_demand(f"""SELECT demand_id, coalesce(nullif(trim(m_role), ''), x_role) AS role, coalesce(m_deadline, x_deadline) AS deadline, CASE WHEN m_handling IS NULL OR m_handling = '' THEN x_handling
-  WHEN x_handling = '' OR contains(m_handling, x_handling) THEN m_handling WHEN contains(x_handling, m_handling) THEN x_handling ELSE m_handling || ', ' || x_handling END AS handling FROM (
-  SELECT *, CASE WHEN k % 4 = 1 THEN ' ' WHEN k % 4 = 2 THEN role END AS m_role, CASE WHEN k % 3 = 0 THEN deadline END AS m_deadline, CASE WHEN k % 5 = 0 THEN handling ELSE '' END AS m_handling FROM {_READ})"""))
-def prefer_nonempty(spark, d):
-    """A model's record over the rules': its value where it has one, lists joined without repeats."""
-    rows = read(spark, d).withColumns({"m_role": F.expr("CASE WHEN k % 4 = 1 THEN ' ' WHEN k % 4 = 2 THEN role END"), "m_deadline": F.expr("CASE WHEN k % 3 = 0 THEN deadline END"),
-                                       "m_handling": F.expr("CASE WHEN k % 5 = 0 THEN handling ELSE '' END")})
-    listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ", "), lambda x: x != "")
-    return rows.select("demand_id", F.coalesce(F.nullif(F.trim("m_role"), F.lit("")), "x_role").alias("role"), F.coalesce("m_deadline", "x_deadline").alias("deadline"),
-                       F.array_join(F.array_distinct(F.concat(listed("m_handling"), listed("x_handling"))), ", ").alias("handling"))
-
-
 @query("positional_join", with_demand("""SELECT a.demand_id, coalesce(b.v, c.v) AS extracted FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY demand_id) AS r FROM v_demand) a
   LEFT JOIN (SELECT demand_id, score AS v FROM v_demand WHERE k % 3 <> 0) b ON a.demand_id = b.demand_id
   LEFT JOIN (SELECT label, score AS v, row_number() OVER (PARTITION BY label ORDER BY demand_id DESC) AS r FROM v_demand WHERE k % 2 = 0) c ON a.label = c.label AND a.r = c.r""", 60))

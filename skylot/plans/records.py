@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skylot.functions import records
@@ -122,43 +118,6 @@ def model_rows(spark, d):
                        F.coalesce(F.col("row.window_rank").try_cast("int"), F.col("i") + 1).alias("window_rank"))
 
 
-def sanitized(record: Column) -> Column:
-    """JSON texts without the keys that give answers away, at any depth; null and broken texts stay null."""
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        def walk(v):
-            if isinstance(v, dict):
-                return {k: walk(x) for k, x in v.items() if k not in records.LEAKS}
-            return [walk(x) for x in v] if isinstance(v, list) else v
-
-        def one(text):
-            try:
-                return None if text is None else json.dumps(walk(json.loads(text)), ensure_ascii=False)
-            except ValueError:
-                return None
-
-        return texts.map(one)
-
-    return clean(record)
-
-
-@query("leak_sanitizer", with_demand("""SELECT demand_id, '{"id": ' || demand_id || ', "cargo": {"type": "' || cargo || '", "more": [{"note": "a"}, {}]}}' AS record FROM v_demand"""))
-def leak_sanitizer(spark, d):
-    """Ranking inputs without their labels, whatever depth those stand at."""
-    text = F.format_string('{"id": %d, "cargo": {"type": "%s", "demand_tier": "%s", "more": [{"note": "a", "urgency": 1}, {"labels": {"latent_priority": %d}}]}, "latent_priority": %d}', "demand_id", "cargo", "tier", "priority", "priority")
-    return lens.demands(spark, d).select("demand_id", sanitized(text).alias("record"))
-
-
-_CONSTRAINTS = {"noise_avoidance": ("contains(text, 'child')", "concat('Fly high near ', destination)"), "speed_override": ("handling = 'cold_chain'", "concat('Fly straight for ', cargo)")}
-
-
-@query("supplementary_constraints", with_demand(" UNION ".join(f"SELECT label, '{n}' AS kind, {e} AS description FROM v_demand WHERE {w}" for n, (w, e) in _CONSTRAINTS.items()), 60))
-def supplementary_constraints(spark, d):
-    """A window's flight constraints, equal ones once."""
-    made = F.array_compact(F.array(*(F.expr(f"CASE WHEN {w} THEN struct('{n}' AS kind, {e} AS description) END") for n, (w, e) in _CONSTRAINTS.items())))
-    return lens.demands(spark, d, 60).select("label", F.inline(made)).distinct()
-
-
 _LINE = "CASE k % 4 WHEN 0 THEN concat('step:', CAST(slot AS STRING), ' loss: ', CAST(k AS STRING), '.5 acc=0.', CAST(k AS STRING)) WHEN 1 THEN concat('loss: ', CAST(k AS STRING), '.25') WHEN 2 THEN '[Path Cache] (disk)' ELSE '[Path Cache 3] computing' END"
 
 

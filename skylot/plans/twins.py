@@ -32,9 +32,9 @@ def label(ts: str, width: int) -> str:
     return f"substr(CAST({ts} AS VARCHAR), 1, 10) || 'T' || {clock(start)} || '-' || {clock(stop)}"
 
 
-def demand(width: int = 5) -> str:
+def score() -> str:
     d = "coalesce(deadline, 0)"
-    score = f"""CASE tier WHEN 'life_support' THEN 100 WHEN 'critical' THEN 72 WHEN 'regular' THEN 42 ELSE 12 END
+    return f"""CASE tier WHEN 'life_support' THEN 100 WHEN 'critical' THEN 72 WHEN 'regular' THEN 42 ELSE 12 END
     + CASE WHEN {d} > 0 AND {d} <= 15 THEN 30 WHEN {d} > 0 AND {d} <= 30 THEN 20 WHEN {d} > 0 AND {d} <= 60 THEN 10 ELSE 0 END
     + CASE WHEN hard THEN 6 ELSE 0 END
     + CASE WHEN {_in('cargo', rules.LIFE_CARGO)} THEN 24 WHEN {_in('cargo', rules.CRITICAL_CARGO)} THEN 14 ELSE 0 END
@@ -44,7 +44,17 @@ def demand(width: int = 5) -> str:
     + CASE WHEN {_has(('ready', 'standing by', 'handoff'))} THEN 4 ELSE 0 END
     + CASE WHEN {_in('handling', ('cold_chain', 'shock_protection'))} THEN 4 ELSE 0 END
     + CASE WHEN {_in('destination', ('hospital', 'clinic'))} AND {_in('tier', ('life_support', 'critical'))} THEN 4 ELSE 0 END"""
+
+
+def priority() -> str:
     by_score = "CASE WHEN score >= 125 THEN 1 WHEN score >= 82 THEN 2 WHEN score >= 42 THEN 3 ELSE 4 END"
+    return f"""CASE WHEN tier = 'life_support' THEN 1 WHEN tier = 'critical' THEN 2
+      WHEN tier = 'regular' AND (contains(text, 'post-exposure') OR coalesce(deadline, 0) <= 30) THEN least({by_score}, 2)
+      WHEN tier = 'regular' THEN greatest({by_score}, 3)
+      WHEN cargo = 'otc_drug' AND {_has(('fever', 'child', 'pediatric', 'elderly'))} THEN least({by_score}, 3) ELSE 4 END"""
+
+
+def demand(width: int = 5) -> str:
     return f"""v_event AS (
   SELECT event_id AS demand_id, ts, user_id, event_type, value AS weight_kg, CAST(props->>'$.k' AS INT) AS k FROM events),
 v_field AS (
@@ -56,13 +66,10 @@ v_field AS (
     k % 11 = 0 AS children, k % 13 = 0 AS elderly, k % 7 = 0 AS vulnerable,
     CASE k % 3 WHEN 0 THEN 'cold_chain' WHEN 1 THEN 'shock_protection' END AS handling, k % 2 = 0 AS ready FROM v_event),
 v_hard AS (SELECT *, coalesce(deadline <= 30, false) OR tier IN ('life_support', 'critical') AS hard FROM v_field),
-v_score AS (SELECT *, {score} AS score FROM v_hard),
+v_score AS (SELECT *, {score()} AS score FROM v_hard),
 v_demand AS (
   SELECT *, score + CASE WHEN ready THEN 6 ELSE 0 END + 2 AS solver_score,
-    CASE WHEN tier = 'life_support' THEN 1 WHEN tier = 'critical' THEN 2
-      WHEN tier = 'regular' AND (contains(text, 'post-exposure') OR coalesce(deadline, 0) <= 30) THEN least({by_score}, 2)
-      WHEN tier = 'regular' THEN greatest({by_score}, 3)
-      WHEN cargo = 'otc_drug' AND {_has(('fever', 'child', 'pediatric', 'elderly'))} THEN least({by_score}, 3) ELSE 4 END AS priority
+    {priority()} AS priority
   FROM v_score)"""
 
 
