@@ -11,7 +11,7 @@ from skylot.functions import extraction
 from skylot.functions.scalars import noise_db
 from skylot.operators import matching, metrics, ranking
 from skylot.plans import space
-from skylot.sources import files
+from skylot.sources import files, sinks
 
 
 def reward(spark, rows):
@@ -102,22 +102,6 @@ def test_tolerant_json_of_known_answers(spark):
     assert [r["body"] and json.loads(r["body"]) for r in rows] == [{"a": 1}, [1, 2], {"a": [1]}, None, None, None]
 
 
-def test_stations_and_buildings_of_csv_files(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("name,longitude,latitude,city,platform,service_period\nOne,113.5,22.5,X,P,44000-2023年1月2日？\n")
-    (tmp_path / "b.csv").write_text("name,longitude,latitude,city,platform,service_period\nTwo,113.6,22.6,Y,P,\n")
-    one, two = files.stations(spark, {"A": str(tmp_path / "a.csv"), "B": str(tmp_path / "b.csv")}, {"name": "station_name"}).orderBy("station_name").collect()
-    assert (one["source_sheet"], one["service_start_date"], one["service_end_date"], one["end_estimated"]) == ("A", "2020-06-18", "2023-01-02", True)
-    assert (two["source_sheet"], two["service_start_date"], two["start_estimated"]) == ("B", "", False)
-    (tmp_path / "c.csv").write_text("id,land_use_type,building_height_m,longitude,latitude\n1,hospital,30.5,113,22\n2,residential,9,113,22\n3,office,9,113,22\n")
-    rows = files.buildings(spark, str(tmp_path / "c.csv"), {"id": "feature_id"})
-    assert [files.land_use(rows, p).count() for p in ("healthcare", "residential", "all")] == [1, 1, 3]
-    with pytest.raises(ValueError, match="feature_id"):
-        files.buildings(spark, str(tmp_path / "c.csv"))
-    (tmp_path / "d.csv").write_text("feature_id,land_use_type,building_height_m,longitude,latitude\n1,住宅,x,113,22\n")
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT|not translated"):
-        files.buildings(spark, str(tmp_path / "d.csv")).collect()
-
-
 def test_records_survive_a_round_trip(spark, tmp_path):
     schema = StructType.fromDDL("time_window string, demands array<struct<demand_id:string,priority:int>>")
     rows = spark.createDataFrame([("w1", [("a", 1), ("b", 2)]), ("w2", [])], schema)
@@ -125,14 +109,13 @@ def test_records_survive_a_round_trip(spark, tmp_path):
     assert sorted(map(tuple, files.windows(files.json_lines(spark, str(tmp_path / "j"), schema)).collect())) == [("w1", 0, "a", 1), ("w1", 1, "b", 2)]
     files.write_parquet(rows, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
-    assert json.loads(files.json_report(rows.select("time_window").orderBy("time_window"))) == [{"time_window": "w1"}, {"time_window": "w2"}]
+    assert json.loads(sinks.json_report(rows.select("time_window").orderBy("time_window"))) == [{"time_window": "w1"}, {"time_window": "w2"}]
     for run, value in (("run_1", 1), ("run_2", 2)):
         (tmp_path / "runs" / run).mkdir(parents=True)
         (tmp_path / "runs" / run / "summary.json").write_text(json.dumps({"v": value}))
     assert files.latest_run(spark, str(tmp_path / "runs" / "*" / "summary.json"), StructType.fromDDL("v int")).first()["v"] == 2
-    files.csv_report(rows.select("time_window"), str(tmp_path / "c"))
-    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 2
-    assert files.split_json(rows, str(tmp_path / "s"), "time_window").count() == 2
+    sinks.csv_report(spark.createDataFrame([("a,b", None), ("ü", 2)], "x string, y int").orderBy("x"), str(tmp_path / "c.csv"))
+    assert (tmp_path / "c.csv").read_bytes().decode("utf-8-sig").splitlines() == ["x,y", '"a,b",', "ü,2"]
 
 
 def test_weight_files_and_per_demand_results(spark, tmp_path):
