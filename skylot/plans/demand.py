@@ -188,19 +188,6 @@ def subtype_split(spark, d):
     return counts.crossJoin(F.broadcast(total)).select("subset", "n", (F.col("n").cast("double") / F.col("all")).alias("ratio"))  # total: one row
 
 
-@query("counterfactual_variants", with_demand("""SELECT demand_id, variant, new_score FROM (
-  SELECT demand_id, unnest(['no_children', 'no_elderly', 'no_handling', 'no_vulnerable']) AS variant, unnest([children, elderly, handling IS NOT NULL, vulnerable]) AS applies,
-  unnest([score - 10, score - 8, score - 4, score - 6]) AS new_score FROM v_demand) WHERE applies"""))
-def counterfactual_variants(spark, d):
-    """Single-factor edits of each demand, guarded, and re-scored by the rules."""
-    rows = lens.demands(spark, d)
-    edits = {"no_children": ("children", F.lit(False)), "no_elderly": ("elderly", F.lit(False)), "no_handling": ("handling", F.lit(None).cast("string")), "no_vulnerable": ("vulnerable", F.lit(False))}
-    holds = {"no_handling": F.col("handling").isNotNull()} | {k: F.col(c) for k, (c, _) in edits.items() if k != "no_handling"}
-    spread = rows.withColumn("variant", F.explode(F.array_compact(F.array(*(F.when(h, k) for k, h in holds.items())))))
-    edited = spread.withColumns({c: F.when(F.col("variant") == k, v).otherwise(F.col(c)) for k, (c, v) in edits.items()})
-    return lens.scored(edited).select("demand_id", "variant", F.col("score").alias("new_score"))
-
-
 @query("near_tie_pairs", with_demand("SELECT a.label, a.demand_id AS a, b.demand_id AS b, abs(a.score - b.score) AS gap FROM v_demand a JOIN v_demand b ON a.label = b.label AND a.demand_id < b.demand_id AND a.priority <> b.priority AND abs(a.score - b.score) <= 6", 60))
 def near_tie_pairs(spark, d):
     rows = lens.demands(spark, d, 60).select("label", "demand_id", "score", "priority")
