@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from skylot.plans import audits, corpus, demand, evaluation, extraction, facts, flights, fronts, mined, quality, records, routing, space, streams, truth  # noqa: F401
+from skylot.plans import audits, corpus, demand, evaluation, extraction, facts, flights, fronts, mined, quality, records, space, streams, truth  # noqa: F401
 
 FLAGSHIP = "window_rank"

@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylot.sources.staging import staged
+
+#: Fronts that a task merges; rows of fronts that one task may merge even if they don't shrink.
+FAN_IN, ROWS = 16, 100_000
+
 
 def dominates(objectives: tuple[str, ...], a: str, b: str) -> Column:
     """a is nowhere worse and somewhere better than b; a null objective neither wins nor loses."""
@@ -36,15 +41,23 @@ def _local(objectives: tuple[str, ...]):
 
 
 def frontier(rows: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
-    """Rows that none dominates. Each partition keeps its own front first, which is exact because
-    dominance is transitive; what is left is compared once. Rows with a null objective stay aside: they
-    are never dominated."""
+    """Rows that none dominates, which is exact in any order because dominance is transitive. Each partition keeps its own front,
+    and fronts are merged by FAN_IN, each in a task of its own, as long as that leaves fewer rows. Fronts that don't shrink any
+    more are compared with each other once, as blocks. Rows with a null objective stay aside: they are never dominated."""
     whole = F.lit(True)
     for o in objectives:
         whole = whole & F.col(o).isNotNull()
-    fronts = rows.filter(whole).mapInPandas(_local(objectives), rows.schema)
-    kept = fronts.alias("x").join(fronts.alias("y"), dominates(objectives, "y", "x"), "left_anti")
-    return kept.unionByName(rows.filter(~whole))
+    keep = _local(objectives)
+    fronts = staged(rows.filter(whole).mapInPandas(keep, rows.schema), "front")
+    parts, size = fronts.rdd.getNumPartitions(), fronts.count()
+    while parts > 1 and size:
+        parts = -(-parts // FAN_IN)
+        merged = staged(fronts.coalesce(parts).mapInPandas(keep, rows.schema), "front")
+        fronts, before, size = merged, size, merged.count()
+        if size > ROWS and 2 * size > before and parts > 1:
+            fronts = fronts.alias("x").join(fronts.alias("y"), dominates(objectives, "y", "x"), "left_anti")
+            break
+    return fronts.unionByName(rows.filter(~whole))
 
 
 def normalized(rows: DataFrame, objectives: tuple[str, ...]) -> DataFrame:

@@ -11,6 +11,7 @@ from skylot.plans.twins import q6 as q
 from skylot.plans.twins import with_site
 from skylot.registry import query
 from skylot.sources.lens import sites, stations
+from skylot.sources.staging import staged
 
 _M = ("2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, sin(radians({1} - {3}) / 2) * sin(radians({1} - {3}) / 2) + cos(radians({3})) * cos(radians({1})) * sin(radians({0} - {2}) / 2) * sin(radians({0} - {2}) / 2))))")
 _DIST = _M.format("s.lon", "s.lat", "t.lon", "t.lat")
@@ -46,11 +47,11 @@ def nearest(s, t, size: float = CELL / 111_000):
         if size <= span:
             reach = F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("lat")) + 2 * size))) * size * 110_000  # metres that a cell is wide at least
             near = near.filter(cm <= _cm(reach))
-        done = best(near.select("site_id", "station_id", cm.alias("cm")))
+        done = staged(best(near.select("site_id", "station_id", cm.alias("cm"))), "done")
         found = done if found is None else found.unionByName(done)
         if size > span:
             return found
-        left = left.join(done, "site_id", "left_anti")
+        left = staged(left.join(done, "site_id", "left_anti"), "left")  # a ring reads what the one before left, not its plan
         size *= 4
 
 

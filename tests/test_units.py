@@ -2,14 +2,14 @@
 
 import json
 import random
-from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skylot.functions.scalars import window_label
-from skylot.operators import pareto, routing
+from skylot.operators import pareto
+from skylot.plans import space
 from skylot.plans.streams import stream_window_counts
 from skylot.sources import files, lens, sinks
 from skylot.streaming import windows
@@ -43,25 +43,6 @@ def test_frontier_against_all_pairs(spark):
     assert sorted(r["i"] for r in rows.collect()) == [p[0] for p in points if not dominated(p)]
 
 
-def test_routes_serve_once_and_local_search_never_lengthens(spark):
-    draw = random.Random(7)
-    rows = [(f"w{i % 9}", i, 1 + i % 4, float(draw.randrange(1, 30)), float(draw.randrange(-900, 900)), float(draw.randrange(-900, 900))) for i in range(90)]
-    df = spark.createDataFrame(rows, "label string, demand_id long, priority int, weight_kg double, x double, y double")
-    for polish in (False, True):
-        legs = routing.assigned(df, polish=polish).collect()
-        assert len({r["demand_id"] for r in legs}) == len(legs)
-        weight = {r[1]: r[3] for r in rows}
-        for key in {(r["label"], r["drone"]) for r in legs}:
-            own = sorted((r for r in legs if (r["label"], r["drone"]) == key), key=lambda r: r["seq"])
-            assert sum(weight[r["demand_id"]] for r in own) <= 60 and [r["seq"] for r in own] == list(range(len(own)))
-            assert all(a["arrival_s"] <= b["arrival_s"] for a, b in pairwise(own))
-    points = [(r[4], r[5]) for r in rows[:9]]
-    order = list(range(9))
-    better = routing.improved(points, order)
-    assert sorted(better) == order and routing.route_length(points, better) <= routing.route_length(points, order)
-    assert routing.assigned(df.limit(0)).count() == 0
-
-
 def test_stream_gives_the_batch_counts(spark, tmp_path):
     stream = windows.tumbling(windows.event_stream(spark, SF), late="0 seconds")
     got = windows.to_table(stream, "tumbled", "complete", str(tmp_path / "a"))
@@ -93,3 +74,19 @@ def test_readers(spark, tmp_path):
     for report in (sinks.markdown, sinks.json_report):
         with pytest.raises(ValueError):
             report(spark.range(4), limit=3)
+
+
+def test_rings_of_cells_do_not_grow_the_plan(spark):
+    """Places round the world need many rings; each reads what the one before left."""
+    draw = random.Random(1)
+    s = spark.createDataFrame([(i, draw.uniform(-170, 170), draw.uniform(-70, 70)) for i in range(60)], "site_id int, lon double, lat double")
+    t = spark.createDataFrame([(i, draw.uniform(-170, 170), draw.uniform(-70, 70)) for i in range(8)], "station_id int, lon_t double, lat_t double")
+    found = space.nearest(s, t)
+    assert found.count() == 60 and len(found.inputFiles()) < 200 and found._jdf.queryExecution().toString().count("Relation") < 80
+
+
+def test_fronts_that_do_not_shrink(spark):
+    """All on one front, over many partitions, and few rows a task."""
+    rows = [(i, float(i), float(400 - i)) for i in range(400)] + [(500, 200.0, 201.0)]
+    found = pareto.frontier(spark.createDataFrame(rows, "i int, a double, b double").repartition(40), ("a", "b"))
+    assert sorted(r["i"] for r in found.collect()) == list(range(400))
