@@ -12,6 +12,10 @@ if the band's end is near, in the next; d follows the largest partner of each. B
 element are common in unrelated texts; both kinds, else the empty ones, are left out where k - d exceeds
 their number: of the blocks that a linked pair shares, one is then left that neither set leaves out.
 
+Of these equal blocks a pair is sure to share one among the d + 1 that are rarest in each of both sets, by how many classes
+have a block over the whole corpus. Only those are keys: what many texts have in common, such as a passage, brings no
+pairs unless it is most of a set.
+
 The join never makes all pairs of a group. First every shared block links its members to one pivot,
 the member with the most shared blocks; these pairs are verified and the links contracted. Only pairs
 that share a block across the components so found are then compared. Before any pair is verified, the
@@ -45,6 +49,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skylot.llm.common import LOWER, UPPER, components, staged
 
@@ -119,14 +124,20 @@ def n_blocks(b: int, percent: int = PERCENT) -> int:
     return math.ceil((most_differing(2 * (border(b + 1) - 1), percent) + 1) * (1 + SPARE))
 
 
-def block_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The keys of a set's blocks in every band in which it has to meet its partners."""
+#: A key's low bits: its band modulo 4 (a set looks in two bands at most) and its level, by what the block holds.
+LEVELS, LOW_BITS = 3, 4
+
+
+def blocks(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, list[int]]:
+    """(keys of a set's blocks, limits): keys in every band in which it has to meet its partners, and for each band five numbers:
+    the band modulo 4, the most blocks that a partner's can differ in, and how many keys each level has. Levels: 0, blocks
+    of two elements or more; 1, of one; 2, empty ones."""
     size = len(hashes)
     largest = 100 * size // percent
     differ = most_differing(size + largest, percent)
     if not size or not differ:  # only an equal set can link
-        return np.empty(0, np.uint64)
-    keys = []
+        return np.empty(0, np.uint64), []
+    keys, limits = [], []
     for b in range(band(size), band(largest) + 1):
         k = n_blocks(b, percent)
         differ = most_differing(size + min(largest, border(b + 1) - 1), percent)
@@ -136,8 +147,15 @@ def block_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         held = np.bincount(block, minlength=k)
         few = next((few for few in (1, 0) if (held <= few).sum() < k - differ), -1)
         name = mixed_bits(np.arange(k, dtype=np.uint64) + np.uint64(b << 40))
-        keys.append(mixed_bits(parity ^ name)[held > few])
-    return np.concatenate(keys)
+        level = 2 - np.minimum(held, 2)
+        low = (level * 4 + b % 4).astype(np.uint64)
+        keys.append(((mixed_bits(parity ^ name) >> np.uint64(LOW_BITS) << np.uint64(LOW_BITS)) | low)[held > few])
+        limits += [b % 4, differ, *np.bincount(level[held > few], minlength=LEVELS).tolist()]
+    return np.concatenate(keys), limits
+
+
+def block_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return blocks(hashes, percent)[0]
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -159,7 +177,7 @@ def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-SET = "doc_id long, text_key long, n_shingles long, class long, proof long, keys array<long>, sketch binary"
+SET = "doc_id long, text_key long, n_shingles long, class long, proof long, keys array<long>, limits array<int>, sketch binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -169,7 +187,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text) -> SET. text_key tells texts of one doc_id apart; class and proof are two digests of
-    the set; keys and sketch are given with the first row of a class in a partition, else null."""
+    the set; keys, limits and sketch are given with the first row of a class in a partition, else null."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -181,12 +199,13 @@ def sets(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
                 proof = int(xxhash.xxh64_intdigest(h.tobytes(), seed=1)) >> 1
                 new = own not in seen and len(h) > 0
                 seen.add(own)
-                rows.append((len(h), own, proof, block_keys(h, percent).view(np.int64) if new else None, sketch(h) if new else None))
-            size, own, proof, keys, sketches = list(zip(*rows, strict=True)) or [()] * 5
+                keys, limits = blocks(h, percent) if new else (None, None)
+                rows.append((len(h), own, proof, keys.view(np.int64) if new else None, limits, sketch(h) if new else None))
+            size, own, proof, keys, limits, sketches = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), batch.column("text_key"), pa.array(size, pa.int64()), pa.array(own, pa.int64()),
-                 pa.array(proof, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "text_key", "n_shingles", "class", "proof", "keys", "sketch"])
+                 pa.array(proof, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(limits, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "class", "proof", "keys", "limits", "sketch"])
 
     return keyed(docs).mapInArrow(digest, SET)
 
@@ -259,6 +278,24 @@ def shared_blocks(found: DataFrame) -> DataFrame:
     return dealt.groupBy("range").applyInArrow(meet, "key long, class long").distinct()
 
 
+def rarest(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, class) of shared_blocks(), written -> those among the d + 1 first blocks of a set in one order of all blocks: by level,
+    then by how many classes have them, then by key. A linked pair differs in d of a set's blocks at most, so the first
+    block in that order that both have is among the d + 1 first of each (prefix filter). Blocks that no other class has come
+    first in their level and are known by their number alone; sets with more than d of them meet nobody."""
+    counts = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    low = F.col("key").bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+    rows = shared.join(counts, "key").withColumns({"band": (low % 4).cast("int"), "level": F.floor(low / 4).cast("int")})
+    own = Window.partitionBy("class", "band", "level")
+    rows = rows.withColumns({"nth": F.row_number().over(own.orderBy("n", "key")), "shared": F.count(F.lit(1)).over(own)})
+    each = F.sequence(F.lit(0), F.floor(F.size("limits") / 5).cast("int") - 1)
+    limits = found.filter("size(limits) > 0").select("class", F.explode(F.transform(each, lambda i: F.slice("limits", i * 5 + 1, 5))).alias("l"))
+    limits = limits.groupBy("class", F.get("l", 0).alias("band")).agg(F.first("l").alias("l"))
+    before = sum((F.when(F.col("level") > i, F.get("l", i + 2)).otherwise(0) for i in range(LEVELS)), F.lit(0))
+    place = before + F.get("l", F.col("level") + 2) - F.col("shared") + F.col("nth")
+    return rows.join(limits, ["class", "band"]).filter(place <= F.get("l", 1) + 1).select("key", "class")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) among pairs (a, text_a, b, text_b) of doc_ids and text_keys, counted on the sets of
     texts (doc_id, text, text_key). pairs: written."""
@@ -293,7 +330,7 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, n: int = N, per
     """Enough links (a, b) between representatives of classes to connect all that is connected.
     found: SET, written; classes: as classes_of() gives them, written."""
     texts = keyed(docs)
-    members = staged(shared_blocks(found), "members", SET_ROWS)
+    members = staged(rarest(staged(shared_blocks(found), "shared", SET_ROWS), found), "members")
     sketches = found.filter("sketch IS NOT NULL").select("class", "sketch").groupBy("class").agg(F.first("sketch").alias("sketch"))
     fit = F.expr(f"100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
 

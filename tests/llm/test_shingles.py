@@ -133,3 +133,48 @@ def test_sketches_bound_the_symmetric_difference():
     a = shingles.shingles(" ".join(map(str, range(300))))
     b = shingles.shingles(" ".join(map(str, range(20, 330))))
     assert 0 < shingles.apart([shingles.sketch(a)], [shingles.sketch(b)])[0] <= len(np.setxor1d(a, b))
+
+
+def prefixes(spark, texts, percent=85):
+    """Pairs that meet in a key of the rarest blocks, as places of texts, and in all shared blocks."""
+    found = shingles.sets(frame(spark, texts), 4, percent).cache()
+    of = {r["class"]: r["doc_id"] - 1 for r in found.collect()}
+    shared = shingles.shared_blocks(found).cache()
+    meet = []
+    for rows in (shingles.rarest(shared, found), shared):
+        by = {}
+        for r in rows.collect():
+            by.setdefault(r["key"], set()).add(of[r["class"]])
+        meet.append(sum(len(v) * (len(v) - 1) // 2 for v in by.values()))
+        pairs = {(a, b) for v in by.values() for a in v for b in v if a < b}
+        meet.append(pairs)
+    return meet
+
+
+def test_linked_pairs_meet_in_their_rarest_blocks(spark):
+    draw, texts = random.Random(12), []
+    for _ in range(10):
+        text = [f"w{draw.randrange(3000)}" for _ in range(draw.randint(5, 200))]
+        for _ in range(7):
+            text = list(text)
+            for _ in range(draw.randint(0, len(text) // 30)):
+                text[draw.randrange(len(text))] = f"w{draw.randrange(3000)}"
+            texts.append(" ".join([*text, *(f"z{draw.randrange(99)}" for _ in range(draw.randint(0, 3)))]))
+    texts = list(dict.fromkeys(texts))
+    for percent in (85, 80):
+        _, few, _, every = prefixes(spark, texts, percent)
+        sets = [sets_of(t, 4) for t in texts]
+        linked = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert linked and linked <= few <= every
+
+
+def test_a_shared_passage_brings_pairs_in_proportion(spark):
+    """60 % in common (similarity 0.43): nothing links, and twice the texts bring about twice the pairs, not four times."""
+    draw, counts = random.Random(6), {}
+    passage = [f"p{i}" for i in range(120)]
+    for n in (150, 300):
+        texts = [" ".join([*passage, *(f"o{draw.randrange(10**7)}" for _ in range(80))]) for _ in range(n)]
+        few, _, every, _ = prefixes(spark, texts)
+        counts[n] = few
+        assert every > 20 * n and few <= every / 20
+    assert counts[300] <= 2.5 * counts[150] + 100
