@@ -27,7 +27,8 @@ Spark side: texts with equal sets are one class from the start; block keys are e
 and partition, and go through one shuffle as arrays, by ranges of the key. A chunk of keys sends its
 smallest and largest class of a key there, whatever the number between them, so that a common block
 cannot fill a range; only blocks that two classes share are kept. Pairs are narrow rows until they are
-distinct; a block with more than SPLIT classes is dealt in pairs of parts. Every stage between joins is
+distinct; a block with more than CROWD classes is compared where it lies, by sketches alone, in pieces of SPLIT classes
+against as many, so that what shares most of a text without being linked makes no rows of pairs. Every stage between joins is
 written to the shared folder.
 
 Cases: null, empty and blank texts have no set and link with nothing (component: their own doc_id);
@@ -64,8 +65,8 @@ CHUNK = 1 << 19
 BROADCAST_IDS = 4_000_000
 #: Texts, pairs of texts and pairs of sketches in an Arrow batch: texts may be very long.
 SET_ROWS, PAIR_ROWS, SKETCH_ROWS = 1000, 100, 500
-#: Classes of a block that are compared with as many in one piece.
-SPLIT = 1000
+#: Classes of a block that are compared with as many in one piece; up to CROWD of a block meet in a join.
+SPLIT, CROWD = 1000, 40
 #: Word hashes that a Python worker keeps at most.
 KEPT = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -326,6 +327,36 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int = N, percent: int = PERC
     return both.mapInArrow(count, "a long, b long")
 
 
+def _near(percent: int):
+    """Of a crowded block's classes, left and right ones of a piece, the pairs across components whose sizes and sketches allow
+    a link. What only shares a passage is told apart here, where it lies, and isn't sent on as pairs."""
+
+    def near(piece: pa.Table) -> pa.Table:
+        left = piece["left"].to_numpy()
+        own, size, part = (piece[c].to_numpy() for c in ("class", "size", "component"))
+        sketches = piece["sketch"].to_pylist()
+        by_length: dict[tuple[bool, int], list[int]] = {}
+        for i, (is_left, value) in enumerate(zip(left.tolist(), sketches, strict=True)):
+            by_length.setdefault((is_left, len(value)), []).append(i)
+        words = {k: np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1) for k, at in by_length.items()}
+        found = []
+        for (is_left, a), ours in by_length.items():
+            for (is_right, b), theirs in by_length.items():
+                if not is_left or is_right:
+                    continue
+                n, theirs = min(a, b) // 8, np.array(theirs)
+                mine, other = (np.bitwise_xor.reduce(words[k].reshape(len(words[k]), -1, n), axis=1) for k in ((True, a), (False, b)))
+                for row, i in enumerate(ours):
+                    fit = (part[theirs] > part[i]) & (100 * np.minimum(size[theirs], size[i]) >= percent * np.maximum(size[theirs], size[i]))
+                    far = np.bitwise_count(mine[row] ^ other[fit]).sum(1)
+                    some = theirs[fit][far * (100 + percent) <= (100 - percent) * (size[i] + size[theirs[fit]])]
+                    found.append(np.stack([np.minimum(own[i], own[some]), np.maximum(own[i], own[some])]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"x": pa.array(pairs[0], pa.int64()), "y": pa.array(pairs[1], pa.int64())})
+
+    return near
+
+
 def links(docs: DataFrame, found: DataFrame, classes: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """Enough links (a, b) between representatives of classes to connect all that is connected.
     found: SET, written; classes: as classes_of() gives them, written."""
@@ -369,13 +400,18 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, n: int = N, per
     placed = members.join(of_class, "class")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
     parts = F.ceil(F.col("n") / SPLIT).cast("int")
-    rest = staged(placed.join(mixed.select("key", parts.alias("parts")), "key").select(
-        "key", "class", "size", "component", "parts", F.pmod(F.hash("class"), "parts").alias("part")), "rest")
+    rest = staged(placed.join(mixed.select("key", "n", parts.alias("parts")), "key").select(
+        "key", "class", "size", "component", "n", "parts", F.pmod(F.hash("class"), "parts").alias("part")), "rest")
+    few, many = rest.filter(F.col("n") <= CROWD), rest.filter(F.col("n") > CROWD)
+    side = lambda c: few.select("key", *(F.col(k).alias(f"{k}_{c}") for k in ("class", "size", "component")))
+    meet = side("x").join(side("y"), "key").filter((F.col("component_x") < F.col("component_y")) & fit)
+    pairs = meet.select(F.least("class_x", "class_y").alias("x"), F.greatest("class_x", "class_y").alias("y"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    x = rest.select("key", F.col("part").alias("p"), every.alias("q"), *(F.col(c).alias(f"{c}_x") for c in ("class", "size", "component")))
-    y = rest.select("key", every.alias("p"), F.col("part").alias("q"), *(F.col(c).alias(f"{c}_y") for c in ("class", "size", "component")))
-    meet = x.join(y, ["key", "p", "q"]).filter((F.col("component_x") < F.col("component_y")) & fit)
-    pairs = meet.select(F.least("class_x", "class_y").alias("x"), F.greatest("class_x", "class_y").alias("y")).distinct()
+    crowd = many.join(sketches, "class")
+    x = crowd.withColumns({"p": F.col("part"), "q": every, "left": F.lit(True)})
+    y = crowd.withColumns({"p": every, "q": F.col("part"), "left": F.lit(False)})
+    near_pairs = x.unionByName(y).select("key", "p", "q", "left", "class", "size", "component", "sketch").groupBy("key", "p", "q").applyInArrow(_near(percent), "x long, y long")
+    pairs = pairs.unionByName(near_pairs).distinct()
     return first.union(connected(staged(pairs.join(star, ["x", "y"], "left_anti"), "candidates")))
 
 

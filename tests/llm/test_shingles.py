@@ -178,3 +178,20 @@ def test_a_shared_passage_brings_pairs_in_proportion(spark):
         counts[n] = few
         assert every > 20 * n and few <= every / 20
     assert counts[300] <= 2.5 * counts[150] + 100
+
+
+def test_crowded_blocks_keep_links_and_make_no_other_pairs(spark, monkeypatch):
+    """Many texts share most of a passage (similarity 0.7 to 0.85, so no link), among them pairs that do link; small pieces."""
+    monkeypatch.setattr(shingles, "CROWD", 3)
+    monkeypatch.setattr(shingles, "SPLIT", 16)
+    draw = random.Random(21)
+    passage = [f"p{i}" for i in range(150)]
+    texts = []
+    for k in range(110):
+        own = [f"o{draw.randrange(10**7)}" for _ in range(draw.randint(16, 30))]
+        texts.append(" ".join(passage + own))
+        if k % 10 == 0:
+            own[draw.randrange(len(own))] = "changed"
+            texts.append(" ".join(passage[2:] + own))
+    rows = list(enumerate(texts, 1))
+    assert got(shingles.joined(frame(spark, texts))) == brute(rows)
