@@ -9,7 +9,7 @@ from skylot.functions.scalars import q6
 from skylot.plans.twins import q6 as q
 from skylot.plans.twins import with_demand
 from skylot.registry import query
-from skylot.sources import files, lens
+from skylot.sources import files, lens, places
 
 
 def _twin(name, columns: dict[str, str], width=5, source="v_demand"):
@@ -79,7 +79,7 @@ def service_periods(spark, d):
     text = F.expr(_PERIOD)
     parts = F.split(text, "-", 2)
     rows = lens.demands(spark, d).select("demand_id", F.trim(F.get(parts, 0)).alias("a"), F.trim(F.coalesce(F.get(parts, 1), F.lit(""))).alias("b"))
-    return rows.select("demand_id", files.service_date(F.col("a")).alias("starts"), files.service_date(F.col("b")).alias("ends"), F.contains("a", F.lit("？")).alias("start_estimated"), F.contains("b", F.lit("？")).alias("end_estimated"))
+    return rows.select("demand_id", places.service_date(F.col("a")).alias("starts"), places.service_date(F.col("b")).alias("ends"), F.contains("a", F.lit("？")).alias("start_estimated"), F.contains("b", F.lit("？")).alias("end_estimated"))
 
 
 _ROWS = "concat('{\"', CASE WHEN k % 2 = 0 THEN 'demand_configs' ELSE 'priority_labels' END, '\": [{\"demand_id\": \"D', CAST(demand_id AS STRING), '\", \"priority\": ', CAST(k % 6 AS STRING), '}, {\"demand_id\": \" E \", \"priority\": \"x\", \"window_rank\": 7}]}')"

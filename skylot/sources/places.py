@@ -58,21 +58,26 @@ def station_name(name: Column) -> Column:
     return F.btrim(text, F.lit(" -"))
 
 
-def service_period(said: Column) -> Column:
-    """The dates of a period 'start-end', each a spreadsheet's day or a date that may be marked as estimated; what is neither
-    fails. An empty period, or one without an end, has empty dates."""
-    halves = F.split(F.trim(F.coalesce(said, F.lit(""))), "-", 2)
+_DATED = r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日(？)?$"
+
 
-    def date(token: Column) -> tuple[Column, Column]:
-        token = F.trim(F.coalesce(token, F.lit("")))
-        dated = r"^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日(？)?$"
-        part = lambda i: F.regexp_extract(token, dated, i)
-        day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(token.try_cast("double")).cast("int")).cast("string")
-        written = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
-        wrong = F.raise_error(F.concat(F.lit("not a date of service: "), token)).cast("string")
-        return (F.when(token == "", "").when(token.rlike(r"^[0-9]+([.][0-9]+)?$"), day).when(token.rlike(dated), written).otherwise(wrong), part(4) != "")
+def service_date(token: Column) -> Column:
+    """A spreadsheet's day number, or a dated text that may be marked as estimated, as an ISO date; empty for what is neither."""
+    part = lambda i: F.regexp_extract(token, _DATED, i)
+    day = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(token.try_cast("double")).cast("int")).cast("string")
+    written = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
+    return F.when(token.rlike(r"^[0-9]+([.][0-9]+)?$"), day).when(token.rlike(_DATED), written).otherwise("")
 
-    (starts, early), (ends, late) = date(F.get(halves, 0)), date(F.get(halves, 1))
+
+def service_period(said: Column) -> Column:
+    """The dates of a period 'start-end'; what is no date of service fails. An empty period, or one without an end, has
+    empty dates."""
+    halves = F.split(F.trim(F.coalesce(said, F.lit(""))), "-", 2)
+    tokens = [F.trim(F.coalesce(F.get(halves, i), F.lit(""))) for i in (0, 1)]
+    dates = [service_date(t) for t in tokens]
+    wrong = [F.raise_error(F.concat(F.lit("not a date of service: "), t)).cast("string") for t in tokens]
+    starts, ends = (F.when((d == "") & (t != ""), w).otherwise(d) for t, d, w in zip(tokens, dates, wrong, strict=True))
+    early, late = (F.regexp_extract(t, _DATED, 4) != "" for t in tokens)
     return F.struct(starts.alias("service_start_date"), ends.alias("service_end_date"), early.alias("service_start_date_is_estimated"), late.alias("service_end_date_is_estimated"))
 
 
