@@ -58,7 +58,7 @@ def test_run_and_empty_documents(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rows = queries.QUERIES[name](spark, SF)
     columns = sorted(rows.columns)
