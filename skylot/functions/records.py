@@ -5,11 +5,6 @@ from __future__ import annotations
 #: Fixed values of the rules.
 TIER = {1: "life_support", 2: "critical", 3: "regular", 4: "consumer"}
 DEADLINE = {1: 15, 2: 30, 3: 60, 4: 120}
-MATERIALS = {"medical": {1: ("aed", "blood_product", "cardiac_drug", "thrombolytic"), 2: ("ventilator", "icu_drug"), 3: ("vaccine", "medicine", "protective_suit"), 4: ("medicine", "vaccine")},
-             "commercial": {1: ("medicine", "protective_suit", "disinfectant"), 2: ("medicine", "mask", "disinfectant"), 3: ("food", "mask", "daily_supply"), 4: ("food", "daily_supply", "otc_drug")}}
-DESTINATIONS = {1: ("hospital", "public_space"), 2: ("hospital", "clinic"), 3: ("clinic", "community_health_center", "residential_area"), 4: ("residential_area", "office", "community_locker")}
-REQUESTERS = {1: ("emergency_doctor", "paramedic", "triage_nurse"), 2: ("icu_nurse", "clinical_pharmacist", "ward_coordinator"),
-              3: ("community_health_worker", "clinic_manager", "pharmacy_staff"), 4: ("consumer", "family_caregiver", "office_administrator")}
 LABELS = {"aed": "AED defibrillator", "blood_product": "blood product", "cardiac_drug": "cardiac emergency drug", "thrombolytic": "thrombolytic agent", "ventilator": "ventilator",
           "icu_drug": "ICU medication", "vaccine": "vaccine", "medicine": "medication", "protective_suit": "protective suit", "mask": "face mask",
           "disinfectant": "disinfectant solution", "food": "food/meal", "otc_drug": "OTC medication", "daily_supply": "daily supplies"}
