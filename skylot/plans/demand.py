@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skylot.functions import rules
 from skylot.functions.scalars import q6
 from skylot.operators import ranking
 from skylot.operators.ranking import RANK_LABEL, RANK_RULE
@@ -237,3 +238,15 @@ def window_documents(spark, d):
     items = F.sort_array(F.collect_list(F.struct("demand_id", "priority")))
     body = F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["demand_id"].cast("string"), s["priority"].cast("string"))), ",")
     return lens.demands(spark, d, 60).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.md5(body.cast("binary")).alias("body"))
+
+
+_SAID = {"said_tier": "CASE k % 4 WHEN 0 THEN tier WHEN 1 THEN 'vip' END", "cargo_tier": "CASE k % 3 WHEN 0 THEN 'critical' WHEN 1 THEN '' END",
+         "urgency": "CASE k % 5 WHEN 0 THEN 'extreme' WHEN 1 THEN 'urgent' WHEN 2 THEN 'express' WHEN 3 THEN 'whenever' END", "said_priority": "CASE k % 6 WHEN 0 THEN '0' WHEN 1 THEN '9' WHEN 2 THEN 'high' WHEN 3 THEN CAST(priority AS STRING) WHEN 4 THEN ' 2 ' END"}
+
+
+@query("tier_fallbacks", with_demand(f"""SELECT demand_id, CASE WHEN {_SAID['said_tier']} IN ('life_support', 'critical', 'regular', 'consumer') THEN tier WHEN k % 3 = 0 THEN 'critical' WHEN k % 5 = 0 THEN 'life_support' WHEN k % 5 = 1 THEN 'critical' ELSE 'regular' END AS tier,
+  CASE k % 6 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 3 THEN priority WHEN 4 THEN 2 ELSE 4 END AS priority FROM v_demand"""))
+def tier_fallbacks(spark, d):
+    """The first that names a tier: the demand, its cargo, its urgency, else regular; and its priority as a whole number from 1 to 4."""
+    rows = lens.demands(spark, d).withColumns({c: F.expr(e) for c, e in _SAID.items()})
+    return rows.select("demand_id", rules.resolved_tier(F.col("said_tier"), F.col("cargo_tier"), F.col("urgency")).alias("tier"), rules.normalized_priority(F.col("said_priority")).alias("priority"))
