@@ -1,8 +1,9 @@
 """Hierarchical multi-length packing of tokenized documents into fixed windows.
 
 Documents are tokenized where they are read, in Arrow batches, and cut only where they exceed a
-window: what goes on is a narrow row a piece (document, start, length, checksum). Pieces are dealt to
-blocks by a hash; in a block each piece is routed to the smallest context size (tier) that holds it.
+window: what goes on is a narrow row a piece (document, start, length, checksum). Equal pieces are counted,
+before the shuffle too, and go on as rows of at most COPIES of them, so that repeated rows spread like others.
+Pieces are dealt to blocks by a hash; in a block each is routed to the smallest context size (tier) that holds it.
 From the longest tier down, each tier's longest piece opens a context of the tier's own size, and the
 gap is filled with the longest pieces that still fit, from that tier and the shorter ones. A context is
 padded once, by a gap that no piece left in the block fits into. Contexts are laid side by side in windows of
@@ -10,7 +11,7 @@ padded once, by a gap that no piece left in the block fits into. Contexts are la
 dealt in turn, by the attention that their contexts cost, to groups of steps, so that the groups cost alike.
 
 Cases: a null text is empty, and an empty one still has its end token; pieces of repeated rows are
-packed one by one; very long documents are cut into full windows and a rest; an empty table gives an
+packed one by one, in as many blocks as their number asks for; very long documents are cut into full windows and a rest; an empty table gives an
 empty one; further columns are ignored.
 """
 
@@ -33,6 +34,8 @@ from skylot.llm.common import staged
 
 WINDOW, TIERS, END = 4096, (256, 512, 1024, 2048, 4096), 2
 BLOCK, STEPS = 4096, 8
+#: Equal pieces that a row stands for at most: a small part of a block.
+COPIES = 256
 #: Words that a Python worker keeps at most, but for one batch; then it starts anew.
 CACHE = 800_000
 #: Rows tokenized at once.
@@ -188,15 +191,30 @@ def tiled(sizes: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return found
 
 
-def fill(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[int]]:
-    """Windows as lists of places in lengths."""
-    found = contexts(lengths, tiers)
+def side_by_side(found: list[tuple[int, list[int]]], window: int = WINDOW) -> list[list[int]]:
+    """Contexts -> windows as lists of places."""
     windows: dict[int, list[int]] = {}
     for (number, _), (_, places) in zip(tiled([size for size, _ in found], window), found, strict=True):
         windows.setdefault(number, []).extend(places)
     return list(windows.values())
 
 
+def fill(lengths: np.ndarray, window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[list[int]]:
+    """Windows as lists of places in lengths."""
+    return side_by_side(contexts(lengths, tiers), window)
+
+
+def dealt(found: DataFrame) -> DataFrame:
+    """PIECE -> PIECE, copies, block, blocks: equal pieces as rows of at most COPIES, dealt by a hash to blocks of about
+    BLOCK pieces, whatever the partitioning."""
+    blocks = max(1, math.ceil(found.count() / BLOCK))
+    names = [f.split()[0] for f in PIECE.split(", ")]
+    parts = found.groupBy(names).agg(F.count(F.lit(1)).alias("n")).select(
+        *names, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    return parts.select(*names, F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES).cast("int").alias("copies"),
+                        F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "part"), F.lit(blocks)).alias("block"), F.lit(blocks).cast("long").alias("blocks"))
+
+
 PACKED = PIECE + ", sequence_id long, offset long, tier int, step_group long, context int, context_start int, context_offset int"
 
 
@@ -205,15 +223,16 @@ def packed(found: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIER
     that it was packed into, which is longer where it fills a gap. A piece stands in its window at
     context_start + context_offset; offset counts the ids before it in the window without padding.
     step_group: windows to be trained side by side; in a block every group of `steps` windows gets
-    windows of long and of short contexts alike."""
+    windows of long and of short contexts alike. The nth window of block b of B has the id n * B + b."""
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
+        block, blocks = int(rows["block"].iloc[0]), int(rows["blocks"].iloc[0])
+        rows = rows.loc[rows.index.repeat(rows["copies"])].sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)
         lengths = rows["length"].to_numpy()
         found = contexts(lengths, tiers)
         sizes = np.array([size for size, _ in found])
         in_window, context_start = np.array(tiled(sizes.tolist(), window)).T
-        windows = fill(lengths, window, tiers)
+        windows = side_by_side(found, window)
         attention = np.bincount(in_window, sizes.astype(float) ** 2)  # each context attends to itself
         used = np.array([lengths[w].sum() for w in windows])
         groups = math.ceil(len(windows) / steps)
@@ -227,19 +246,16 @@ def packed(found: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIER
         ends = np.cumsum(lengths[order])
         offset = ends - lengths[order] - np.repeat(np.concatenate([[0], np.cumsum(used)[:-1]]), size)
         out = rows.iloc[order].copy()
-        base = int(rows["block"].iloc[0]) << 20
-        out["sequence_id"], out["offset"] = base + number, offset
+        out["sequence_id"], out["offset"] = number * blocks + block, offset
         out["tier"] = np.array(tiers, np.int32)[np.searchsorted(tiers, lengths[order])]
-        out["step_group"] = base + group[number]
+        out["step_group"] = group[number] * blocks + block
         of = np.repeat(np.arange(len(found)), [len(places) for _, places in found])
         full = np.array([lengths[places].sum() for _, places in found])
         out["context"], out["context_start"] = sizes[of].astype(np.int32), context_start[of].astype(np.int32)
         out["context_offset"] = (ends - lengths[order] - (np.cumsum(full) - full)[of]).astype(np.int32)
-        return out.drop(columns="block")
+        return out.drop(columns=["copies", "block", "blocks"])
 
-    blocks = max(1, math.ceil(found.count() / BLOCK))
-    dealt = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(pack, PACKED)
+    return dealt(found).groupBy("block").applyInPandas(pack, PACKED)
 
 
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:

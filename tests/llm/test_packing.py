@@ -84,6 +84,25 @@ def test_step_groups_cost_alike(spark):
     assert max(cost.values()) - min(cost.values()) <= packing.WINDOW
 
 
+def test_equal_rows_spread_over_blocks(spark):
+    copies = 100_000
+    found = spark.range(copies).selectExpr("CAST(NULL AS long) doc_id", "0L start", "1L length", "7L ids_crc32", "1L doc_tokens")
+    found = found.union(spark.range(3000).selectExpr("id", "0L", "id + 1", "id", "id + 1"))
+    parts = packing.dealt(found)
+    sizes = {r["block"]: r["n"] for r in parts.groupBy("block").agg({"copies": "sum"}).toDF("block", "n").collect()}
+    assert sum(sizes.values()) == copies + 3000 and len(sizes) == 26 and max(sizes.values()) < 4 * packing.BLOCK
+    rows = packing.packed(found).collect()
+    assert len(rows) == copies + 3000 and sum(r["doc_id"] is None for r in rows) == copies
+    windows, groups = defaultdict(list), defaultdict(set)
+    for r in rows:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+        groups[r["step_group"]].add(r["sequence_id"])
+    assert {s % 26 for s in windows} == set(sizes) and max(map(len, groups.values())) <= packing.STEPS
+    for parts in windows.values():
+        parts.sort()
+        assert [at for at, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= packing.WINDOW
+
+
 def test_odd_rows(spark):
     rows = packing.pack(odd(spark, "one two"), vocabulary()).collect()
     assert sorted((r["doc_id"] or 0, r["length"]) for r in rows) == [(0, 3), (1, 3), (1, 3), (2, 1), (3, 1), (4, 1)]
