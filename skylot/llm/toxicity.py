@@ -5,8 +5,8 @@
 2. Tokens that look disguised (digits or signs among letters or behind them, letters doubled in what isn't a
    common word of the corpus, letters set apart), and the parts of compounds, become lattices: each character offers the letters it may stand for, a separator or a
    repeated letter may vanish. Viterbi finds the likeliest reading under channel and language model,
-   for tokens and runs of any length. Runs of letters set apart are also parted into the LEXICON most
-   frequent words of the corpus, for separators of one width don't show where words end.
+   for tokens and runs of any length. Runs of letters set apart, by separators of any width, are also parted
+   into the words that LEXICON of all documents have, for separators of one width don't show where words end.
 3. A logistic model over words and word beginnings of the restored text gives the score. Its features
    and weights come from at most SAMPLE labelled rows, taken by hash order among the rows that aren't
    held out; everything else covers all documents. Labels, language, source and id are never features.
@@ -55,9 +55,10 @@ SEPARATORS = " .-_*~'"
 #: Costs in the channel: a sign read as a letter, a repeated letter or a separator that vanishes, one
 #: that parts two words.
 _AS_LETTER, _REPEATED, _GONE, _PARTS = 0.7, 1.2, 0.2, 3.0
-#: Words of the corpus that are kept, the most frequent ones, to part letters without any word's edge;
-#: what a letter costs there that belongs to none; distinct words counted before they are sent on.
-LEXICON, _UNKNOWN, _COUNTED = 20_000, 20.0, 100_000
+#: Share of documents that have a word which is kept to part letters without any word's edge. So many words
+#: at most, whatever the corpus: a document's distinct words on average, over the share. Further, what a letter
+#: costs there that belongs to none; distinct words counted before they are sent on.
+LEXICON, _UNKNOWN, _COUNTED = 0.002, 20.0, 100_000
 #: A word is common if it stands in COMMON_DOCS documents and in COMMON_SHARE of all; its doubled letters are its own.
 COMMON_DOCS, COMMON_SHARE = 20, 0.002
 #: Tokens up to this length are kept in a task's tables, so many at most; longer ones are decoded anew.
@@ -65,11 +66,9 @@ CACHED, KEPT = 64, 60_000
 
 _SIGNS = re.escape("".join(READINGS))
 _EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~«»„“”‚‘’…–—¿¡"
-_SPACED = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]{{1,3}}[a-z{_SIGNS}]){{2,}}(?![^\W\d_])")
-#: A separator before a single letter, and three letters set apart: searched for about the first, for texts without
-#: any such run are the rule.
-_SINGLE = re.compile(rf"[ .\-_*~](?=[a-z{_SIGNS}][ .\-_*~])")
-_THREE = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]{{1,3}}[a-z{_SIGNS}]){{2}}(?:[ .\-_*~]|(?![^\W\d_]))")
+_SPACED = re.compile(rf"(?<![^\W\d_])[a-z{_SIGNS}](?:[ .\-_*~]++[a-z{_SIGNS}]){{2,}}(?![^\W\d_])")
+#: The last two letters of such a run: searched for first, for texts without any are the rule.
+_PAIR = re.compile(rf"[ .\-_*~](?=[a-z{_SIGNS}][ .\-_*~]++[a-z{_SIGNS}](?![^\W\d_]))")
 _WIDTHS = re.compile(r"[ .\-_*~]+")
 _JOINTS = re.compile(r"[.\-_*~'/,:;=&?]+")
 _RUNS = re.compile(r"(.)\1*", re.DOTALL)
@@ -153,15 +152,11 @@ def _summed(sets: Iterator[set[str]], name: str) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(counts: DataFrame) -> tuple[dict[str, int], int]:
-    """At most LEXICON words, the most frequent ones, with the number of documents that have each, and the
-    number of all. Words of one frequency come all or none, so that only words taken reach the driver.
-    counts: counted(), written."""
-    levels = counts.filter("word <> ''").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(LEXICON).collect()
-    taken = itertools.accumulate(r["words"] for r in levels)
-    least = min((r["n"] for r, words in zip(levels, taken, strict=True) if words <= LEXICON), default=math.inf)
-    rows = counts.filter((F.col("n") >= least) | (F.col("word") == "")).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    return found, found.pop("", 0)
+    """The words that LEXICON of all documents have, with the number of documents that have each, and the
+    number of all. Only words taken reach the driver. counts: counted(), written."""
+    docs = counts.filter("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = {r["word"]: r["n"] for r in counts.filter((F.col("word") != "") & (F.col("n") >= LEXICON * docs)).select("word", "n").collect()}
+    return found, docs
 
 
 class Reader:
@@ -234,22 +229,32 @@ class Reader:
             yield from ((end + 1, cost, begun) for begun, cost in live.items())
 
     def parted(self, letters: str) -> list[str]:
-        """The likeliest words of the corpus that make up letters and signs without any separator."""
+        """The likeliest words of the corpus that make up letters and signs without any separator. What is begun
+        alike at several places goes on as one, so that repeated letters take time in proportion to their number."""
         if not self.lexicon:
             return []
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")]  # by place: cost, where the last word starts, it
-        best += [(math.inf, 0, "")] * len(letters)
-        for start in range(len(letters)):
-            so_far = best[start][0]
-            best[start + 1] = min(best[start + 1], (so_far + _UNKNOWN, start, ""))
-            for end, cost, word in self.spelt(letters, start):
-                if n := self.lexicon.get(word):
-                    best[end] = min(best[end], (so_far + cost + math.log(self.all / n), start, word))
-        found, at = [], len(letters)
-        while at:
-            _, at, word = best[at]
+        ended: tuple[float, tuple | None] = (0.0, None)  # cost and words of all that is read
+        live: dict[str, tuple[float, tuple | None]] = {}  # the same by the beginning of the word that follows them
+        for char in letters:
+            options, after = [(char, 0.0)] if char.isalpha() else [(c, _AS_LETTER) for c in READINGS[char]], {}
+            for begun, (cost, words) in [("", ended), *live.items()]:
+                for c, extra in options:
+                    k = bisect.bisect_left(self.sorted, begun + c)
+                    if k < len(self.sorted) and self.sorted[k].startswith(begun + c) and (
+                            begun + c not in after or cost + extra < after[begun + c][0]):
+                        after[begun + c] = (cost + extra, words)
+                    if c == begun[-1:] and (begun not in after or cost + extra + _REPEATED < after[begun][0]):
+                        after[begun] = (cost + extra + _REPEATED, words)
+            ended = (ended[0] + _UNKNOWN, ended[1])
+            for begun, (cost, words) in after.items():
+                if (n := self.lexicon.get(begun)) and cost + math.log(self.all / n) < ended[0]:
+                    ended = (cost + math.log(self.all / n), (words, begun))
+            live = after
+        found, chain = [], ended[1]
+        while chain:
+            chain, word = chain
             found.append(word)
-        return [w for w in reversed(found) if w]
+        return found[::-1]
 
 
 def _spelled(chain: tuple | None) -> str:
@@ -260,11 +265,20 @@ def _spelled(chain: tuple | None) -> str:
     return "".join(reversed(letters))
 
 
+def levelled(run: str) -> tuple[str, int]:
+    """A run whose separators are as wide as their place among the run's widths, from the narrowest, and the
+    number of places. Beyond three, widths count by doublings, so that even long runs have few places."""
+    kinds = sorted({min(len(w), 2 + len(w).bit_length()) for w in _WIDTHS.findall(run)})
+    place = {kind: i for i, kind in enumerate(kinds, 1)}
+    return _WIDTHS.sub(lambda m: m[0][0] * place[min(len(m[0]), 2 + len(m[0]).bit_length())], run), len(kinds)
+
+
 def spaced_out(run: str, reader: Reader) -> set[str]:
     """The words of a run of letters set apart: as the reader parts the whole run, as the corpus's words part
     it, and as wider separators do where their widths differ."""
+    run, places = levelled(run)
     found = {*reader.read(run).split(), *reader.parted(_WIDTHS.sub("", run))}
-    for width in sorted({len(w) for w in _WIDTHS.findall(run)})[1:]:
+    for width in range(2, places + 1):
         for part in re.split(rf"[ .\-_*~]{{{width},}}", run):
             said = reader.read(part).split()
             found.update(said)
@@ -320,7 +334,7 @@ class Names:
 
 def spaced(text: str) -> Iterator[re.Match]:
     """The runs of three letters and more that are set apart in a lower-case text."""
-    if any(_THREE.search(text, max(0, m.start() - 3), m.end() + 6) for m in _SINGLE.finditer(text)):
+    if _PAIR.search(text):
         yield from _SPACED.finditer(text)
 
 

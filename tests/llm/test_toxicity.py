@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import pytest
@@ -59,6 +60,39 @@ def test_long_spaced_out_texts_are_read_whole(spark):
     assert toxicity.Finder(read).words(hidden) >= {"stupid", "idiot"}
 
 
+def test_the_words_kept_follow_shares_of_documents(spark):
+    """However many words there are: none is left out for their number, and the rare ones of many documents are."""
+    for n in (15_000, 30_000):
+        many = [" ".join(f"{w}{a}" for a in map("".join, toxicity.itertools.product("abcdefghij", repeat=3))) for w in
+                ("".join(x) for x in toxicity.itertools.islice(toxicity.itertools.product("klmno", repeat=3), n // 1000))]
+        known, docs = toxicity.lexicon(words_of(spark, many + ["a stupid idiot"] * 50))
+        assert docs == n // 1000 + 50 and len(known) == n + 3 and known["stupid"] == 50
+        assert toxicity.Reader(reader(spark).counts, known).parted("astupidkkkabcidiot") == ["a", "stupid", "kkkabc", "idiot"]
+    known, docs = toxicity.lexicon(words_of(spark, [f"rare{i} seldom{i // 2} word".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(1000)]))
+    assert docs == 1000 and known["word"] == 1000 and len(known) == 501  # two documents in a thousand
+
+
+def test_separators_of_any_width(spark):
+    known, _ = toxicity.lexicon(words_of(spark, ["you are a stupid idiot and the moron is here"] * 9))
+    find = toxicity.Finder(toxicity.Reader(reader(spark).counts, known))
+    for width in (1, 2, 3, 4, 5, 9, 40, 3000):
+        assert find.words("so " + (" " * width).join("stupid") + "!") >= {"stupid"}, width
+        assert find.words((" " * 2 * width).join((" " * width).join(w) for w in ("an", "id1ot"))) >= {"idiot"}, width
+        assert find.words(("-" * width).join("idiot")) >= {"idiot"}, width
+    plain = toxicity.Finder(toxicity.Reader(reader(spark).counts))  # by the widths alone
+    assert plain.words("          ".join("    ".join(w) for w in ("stupid", "idiot"))) >= {"stupid", "idiot"}
+    assert toxicity.levelled("a b  c   d    e     f      g       h") == ("a b  c   d    e     f     g     h", 5)
+    # what is searched for first misses no run
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1é9 .-  _x") for _ in range(rng.randrange(14)))
+        assert [m[0] for m in toxicity.spaced(text)] == [m[0] for m in toxicity._SPACED.finditer(text)], text
+    began = time.perf_counter()
+    wide = "".join("x" + " " * k for k in range(1500)) + "-" * 300_000 + "a " * 30_000
+    find.words(wide)
+    assert time.perf_counter() - began < 60  # a few passes, not one a width
+
+
 def test_every_form_of_disguise_reaches_the_reader(spark):
     texts = ["you are a stupid idiot and the moron is here", "a worthless and disgusting ass"] * 20 + ["see all that is good"] * 60
     counts = toxicity.np.zeros(toxicity.SYMBOLS**3, toxicity.np.int64)
