@@ -3,14 +3,16 @@
 Vectors are turned by random rotations and reduced to the signs: a code of one bit a dimension and
 rotation, with the code's inner product with its own vector as correction factor. <code, other> over
 that factor is an unbiased estimate of the inner product, with an error bound that falls with the
-number of bits. Runs of code bits are also the keys under which vectors meet: TABLES of them, so many
-that a pair at the threshold shares one with probability RECALL (closer pairs more surely). In a
-bucket, estimates and bounds throw out what can't be near; the rest is recomputed in double
-precision, and only that makes a link. Links found are never below the threshold; a pair is counted
-in the first table whose key it shares, so no list of pairs is made.
+number of bits. The other vector takes part rounded to LEVELS steps, at random and so without bias. Code,
+factors and rounded vector are computed once and stored: 148 bytes for 128 dimensions. Runs of code bits are also
+the keys under which vectors meet: so many tables of them that a pair at the threshold shares one with
+probability RECALL (closer pairs more surely). In a bucket of codes, estimates and bounds throw out what
+can't be near, and earlier shared keys what has met before. Vectors are fetched only for what is left, and
+recomputed in double precision; only that makes a link. Links found are never below the threshold; a pair
+counts in the first table whose key it shares, so no list of pairs is made.
 
 Spark side: rows of one label with equal vectors are a class, which is compared once and counts as many as
-it has rows. Keys are counted narrow (id, key) before vectors move, buckets of one are dropped, and
+it has rows. Keys are counted narrow (id, key) before codes move, buckets of one are dropped, and
 buckets of more than CHUNK classes are dealt in pairs of chunks, so a label or bucket with a third of
 all rows is many tasks. Each label has the bits, and with them the tables, that its own number of classes needs.
 
@@ -37,6 +39,8 @@ THRESHOLD, RECALL = 0.93, 0.999
 BUCKET, CHUNK = 192, 1024
 #: Rotations in a code, and standard errors in a bound.
 ROTATIONS, DEVIATIONS, SEED = 4, 4.0, 29
+#: Steps of a rounded component (four bits), and what float32 sums may be off.
+LEVELS, SLACK = 15, 1e-4
 #: Labels whose sizes are broadcast at most; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 
@@ -62,12 +66,56 @@ def codes(unit: np.ndarray, rotations: int = ROTATIONS) -> tuple[np.ndarray, np.
     return signs, np.abs(turned).sum(2) / math.sqrt(unit.shape[1])
 
 
-def keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(vectors, tables): runs of code bits as numbers."""
-    n = unit.shape[1]
-    rounds = -(-bits * tables // n)
-    sign = np.concatenate([unit @ rotation(n, i).T >= 0 for i in range(rounds)], 1)[:, :bits * tables]
-    return (sign.reshape(len(unit), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+def keys(sign: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Code bits (vectors, at least bits * tables) -> (vectors, tables): runs of them as numbers."""
+    return (sign[:, :bits * tables].reshape(len(sign), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+
+
+def turns(dimension: int, rotations: int, bits: int, tables: int) -> int:
+    """Rotations in a stored code: those of the estimate, or more where keys need more bits."""
+    return max(rotations, -(-bits * tables // dimension))
+
+
+def stored(unit: np.ndarray, rotations: int, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, bytes) code bits, correction factors, largest component and components in four bits
+    each, and the keys."""
+    n, dimension = unit.shape
+    signs, factor = codes(unit, rotations)
+    more = [unit @ rotation(dimension, i).T >= 0 for i in range(rotations, turns(dimension, rotations, bits, tables))]
+    sign = np.concatenate([signs.reshape(n, -1) > 0, *more], 1)
+    top = np.abs(unit).max(1, keepdims=True)
+    offset = np.random.default_rng([SEED, dimension]).random(dimension)  # randomised rounding: no bias
+    level = np.floor((unit / top + 1) * (LEVELS / 2) + offset).astype(np.uint8)
+    if dimension % 2:
+        level = np.concatenate([level, np.zeros((n, 1), np.uint8)], 1)
+    numbers = np.concatenate([factor, top], 1).astype(np.float32).view(np.uint8)
+    return np.concatenate([np.packbits(sign, axis=1), numbers, level[:, ::2] << 4 | level[:, 1::2]], 1), keys(sign, bits, tables)
+
+
+def opened(code: np.ndarray, dimension: int, rotations: int, bits: int, tables: int) -> tuple[np.ndarray, ...]:
+    """What stored() holds: signs (vectors, rotations, dimension), factors, largest components, rounded vectors, keys."""
+    total = turns(dimension, rotations, bits, tables) * dimension
+    at, n = -(-total // 8), len(code)
+    sign = np.unpackbits(code[:, :at], axis=1, count=total)
+    numbers = np.ascontiguousarray(code[:, at:at + 4 * (rotations + 1)]).view(np.float32)
+    pairs = code[:, at + 4 * (rotations + 1):]
+    level = np.stack([pairs >> 4, pairs & 15], 2).reshape(n, -1)[:, :dimension]
+    factor, top = numbers[:, :-1], numbers[:, -1:]
+    signs = sign[:, :rotations * dimension].reshape(n, rotations, dimension).astype(np.float32) * 2 - 1
+    return signs, factor, top, (level * np.float32(2 / LEVELS) - 1) * top, keys(sign, bits, tables)
+
+
+def estimates(signs: np.ndarray, factor: np.ndarray, top: np.ndarray, rounded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of all vectors estimated by their codes, as the mean of both directions, and each
+    vector's part in the variance: a pair's is at most the mean of its two."""
+    n, rotations, dimension = signs.shape
+    one_way = np.zeros((n, n), np.float32)
+    for r in range(rotations):
+        turned = rounded @ rotation(dimension, r).T.astype(np.float32)
+        one_way += (signs[:, r] @ turned.T) / (factor[:, r, None] * np.float32(math.sqrt(dimension) * rotations))
+    by_code = np.maximum(0, 1 / (factor * factor) - 1).mean(1) / max(1, dimension - 1) / rotations
+    by_rounding = (top[:, 0] / LEVELS) ** 2 * (1 + (dimension - 1) * by_code)
+    return (one_way + one_way.T) / 2, by_code + by_rounding
 
 
 def unit_rows(vectors: list[np.ndarray]) -> np.ndarray:
@@ -83,31 +131,49 @@ def is_valid() -> Column:
     return F.coalesce(there & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def _neighbours(threshold: float, rotations: int, deviations: float):
+#: A class in a chunk of a bucket.
+PLACED = "class long, bits int, tables int, label string, dimension int, at int, band long, part int, low int, high int"
+
+
+def _maybe(key: tuple, table: pa.Table, threshold: float, rotations: int, deviations: float, slack: float) -> np.ndarray:
+    """(classes, classes), above the diagonal: whether a pair's bound reaches the threshold, and it meets here first."""
+    at, dimension, low, high = (key[i].as_py() for i in (2, 1, 4, 5))
+    code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(len(table), -1)
+    signs, factor, top, rounded, bands = opened(code, dimension, rotations, table["bits"][0].as_py(), table["tables"][0].as_py())
+    estimate, variance = estimates(signs, factor, top, rounded)
+    maybe = estimate + deviations * np.sqrt((variance[:, None] + variance) / 2) + slack >= threshold
+    if low != high:  # pairs within a chunk meet where low = high
+        part = table["part"].to_numpy()
+        maybe &= part[:, None] != part
+    maybe = np.triu(maybe, 1)
+    for i in np.flatnonzero(maybe.any(1)) if at else ():
+        j = np.flatnonzero(maybe[i])
+        maybe[i, j] = ~(bands[j, :at] == bands[i, :at]).any(1)
+    return maybe
+
+
+def _candidates(*how: float):
+    """Of a chunk of codes, the classes that have a pair to be recomputed."""
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        maybe = _maybe(key, table, *how, SLACK)
+        return table.select([f.split()[0] for f in PLACED.split(", ")]).filter(pa.array(maybe.any(0) | maybe.any(1)))
+
+    return meet
+
+
+def _neighbours(threshold: float, *how: float):
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         ids, weight = table["class"].to_numpy(), table["n"].to_numpy()
+        maybe = _maybe(key, table, threshold, *how, 2 * SLACK)  # no less than in the step before
         unit = unit_rows([np.asarray(v, np.float64) for v in table["embedding"].to_pylist()])
-        bands = keys(unit, table["bits"][0].as_py(), table["tables"][0].as_py())
-        part = table["part"].to_numpy()
-        at, low, high = key[2].as_py(), key[4].as_py(), key[5].as_py()
-        dimension = unit.shape[1]
-        signs, factor = codes(unit, rotations)
-        estimate = np.zeros((len(ids), len(ids)), np.float32)
-        for r in range(rotations):
-            turned = (unit @ rotation(dimension, r).T).astype(np.float32)
-            estimate += (signs[:, r] @ turned.T) / (factor[:, r, None] * math.sqrt(dimension) * rotations).astype(np.float32)
-        spread = np.sqrt(np.maximum(0, 1 / (factor * factor) - 1).mean(1) / max(1, dimension - 1) / rotations)
-        maybe = estimate + (deviations * spread)[:, None].astype(np.float32) + 1e-4 >= threshold
         near = np.zeros((len(ids), len(ids)), bool)
         n = np.zeros(len(ids), np.int64)
-        for i in range(len(ids)):
-            j = np.flatnonzero(maybe[i, i + 1:]) + i + 1
-            j = j[(part[j] != part[i]) | (low == high)]
+        for i in np.flatnonzero(maybe.any(1)):
+            j = np.flatnonzero(maybe[i])
             j = j[unit[j] @ unit[i] >= threshold]
             near[i, j] = near[j, i] = True
-            first = j[~(bands[j, :at] == bands[i, :at]).any(1)] if at else j
-            n[i] += weight[first].sum()
-            n[first] += weight[i]
+            n[i] += weight[j].sum()
+            n[j] += weight[i]
         root = np.arange(len(ids))
         for i in np.flatnonzero(near.any(1)):
             if root[i] == i and not near[i, :i].any():  # walk its component
@@ -137,31 +203,33 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     sizes = staged(classes.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
     few = F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes
 
-    def banded(batches):
+    def encoded(batches):
         for batch in batches:
             embedded, sizes_ = batch.column("embedding").to_pylist(), batch.column("size").to_pylist()
             plans = [(len(v), *layout(n, threshold, recall)) for v, n in zip(embedded, sizes_, strict=True)]
-            found = [None] * len(embedded)
+            found, bands = [b""] * len(plans), [None] * len(plans)
             for plan in set(plans):
                 own_ = [i for i, p in enumerate(plans) if p == plan]
-                for i, k in zip(own_, keys(unit_rows([embedded[i] for i in own_]), *plan[1:]), strict=True):
-                    found[i] = k
+                for i, code, band in zip(own_, *stored(unit_rows([embedded[i] for i in own_]), rotations, *plan[1:]), strict=True):
+                    found[i], bands[i] = code.tobytes(), band
             yield pa.RecordBatch.from_arrays(
-                [batch.column("class"), batch.column("label"), *(pa.array([p[i] for p in plans], pa.int32()) for i in range(3)), pa.array(found, pa.list_(pa.int64()))],
-                ["class", "label", "dimension", "bits", "tables", "bands"])
+                [batch.column("class"), batch.column("label"), *(pa.array([p[i] for p in plans], pa.int32()) for i in range(3)),
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(found, pa.binary())],
+                ["class", "label", "dimension", "bits", "tables", "bands", "code"])
 
-    with_bands = staged(classes.join(few, "label").select("class", "label", "embedding", "size").mapInArrow(
-        banded, "class long, label string, dimension int, bits int, tables int, bands array<long>"), "bands")
-    narrow = with_bands.select("class", "label", "dimension", "bits", "tables", F.posexplode("bands").alias("at", "band"))
+    coded = staged(classes.join(few, "label").select("class", "label", "embedding", "size").mapInArrow(
+        encoded, "class long, label string, dimension int, bits int, tables int, bands array<long>, code binary"), "codes")
+    narrow = coded.select("class", "label", "dimension", "bits", "tables", F.posexplode("bands").alias("at", "band"))
     bucket = ["label", "dimension", "at", "band"]
     crowded = narrow.groupBy(*bucket).agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
     chunks = F.ceil(F.col("crowd") / CHUNK).cast("int")
     placed = narrow.join(crowded, bucket).withColumn("part", F.pmod(F.hash("class"), chunks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     placed = placed.select("class", "bits", "tables", *bucket, "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    wide = placed.join(classes.select("class", "n", "embedding"), "class")
-    compared = staged(wide.groupBy(*bucket, "low", "high").applyInArrow(
-        _neighbours(threshold, rotations, deviations), "class long, n long, root long"), "compared")
+    chunk, how = [*bucket, "low", "high"], (threshold, rotations, deviations)
+    met = staged(placed.join(coded.select("class", "code"), "class").groupBy(*chunk).applyInArrow(_candidates(*how), PLACED), "met")
+    wide = met.join(coded.select("class", "code"), "class").join(classes.select("class", "n", "embedding"), "class")
+    compared = staged(wide.groupBy(*chunk).applyInArrow(_neighbours(*how), "class long, n long, root long"), "compared")
     links = compared.groupBy("class").agg(F.sum("n").alias("links"))
     connected = components(compared.select("class", "root")).withColumnRenamed("id", "class")
     known = staged(classes.select("class", *same, "n", "low_id").join(links, "class", "left").join(connected, "class", "left").select(

@@ -82,3 +82,31 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs((estimate - true).mean()) < 0.01
     spread = np.sqrt(np.maximum(0, 1 / (factor * factor) - 1).mean(1) / 63 / vectors.ROTATIONS)
     assert (np.abs(estimate - true) <= vectors.DEVIATIONS * spread).mean() > 0.99
+
+
+def test_stored_codes_estimate_as_well_as_their_bound_says():
+    """Through the stored bytes: four bits a component, odd dimensions, and keys that need more rotations."""
+    draw = np.random.default_rng(3)
+    for dimension, bits, tables in ((64, 4, 9), (33, 3, 80)):
+        a = draw.standard_normal((200, dimension))
+        unit = vectors.unit_rows(list(np.concatenate([a, a + 0.3 * draw.standard_normal(a.shape)])))
+        code, bands = vectors.stored(unit, vectors.ROTATIONS, bits, tables)
+        assert code.shape[1] == -(-vectors.turns(dimension, vectors.ROTATIONS, bits, tables) * dimension // 8) + 4 * (vectors.ROTATIONS + 1) + -(-dimension // 2)
+        *parts, again = vectors.opened(code, dimension, vectors.ROTATIONS, bits, tables)
+        assert (again == bands).all() and bands.shape == (400, tables)
+        estimate, variance = vectors.estimates(*parts)
+        off = (estimate - unit @ unit.T)[np.triu_indices(400, 1)]
+        bound = vectors.DEVIATIONS * np.sqrt((variance[:, None] + variance) / 2)[np.triu_indices(400, 1)]
+        assert abs(off.mean()) < 0.01 and (np.abs(off) <= bound).mean() > 0.999
+
+
+def test_vectors_are_fetched_for_candidates_only(spark, monkeypatch):
+    """Of random directions with few near pairs, most classes never leave the buckets of codes."""
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((1500, 96))
+    rows = np.concatenate([centres, centres[:30] + 0.1 * draw.standard_normal((30, 96))])
+    kept, staged = {}, vectors.staged
+    monkeypatch.setattr(vectors, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    found = check(spark, [(i, v.tolist(), 0) for i, v in enumerate(rows)])
+    assert all(found[i][0] == 1 and found[1500 + i] == (1, i) for i in range(30)) and sum(x[0] for x in found.values()) == 60
+    assert kept["codes"].count() == 1530 and kept["met"].select("class").distinct().count() == 60
