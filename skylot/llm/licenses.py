@@ -6,7 +6,7 @@ quoted notice vote for one diagonal, and a word put in or left out moves the vot
 one. Diagonals at most SLACK apart are merged; a merged span counts if it holds enough of the
 template's k-grams, and if enough of its own words are the template's.
 
-The templates are the list below, so what is broadcast has a size known beforehand. Only hits are
+The templates are the lists below, sentences and whole licence texts, so what is broadcast has a size known beforehand. Only hits are
 shuffled, not k-grams.
 
 Cases: null text is empty; a text with fewer words than a k-gram has no hits; repeated rows (and null
@@ -26,7 +26,7 @@ from skylot.llm.common import lower_ascii
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that decide by themselves, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Public licence notices, by label (fixed values).
+#: Sentences of public licence notices, by label (fixed values).
 TEMPLATES = [
     ("mit", "released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
@@ -46,6 +46,48 @@ TEMPLATES = [
     ("cc-by-nc", "shared under the terms of CC BY-NC 4.0"),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 ]
+#: A disclaimer that two of the texts below end with.
+AS_IS = """The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of
+merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim,
+damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use
+or other dealings in the software."""
+#: Whole public licence texts, without titles and copyright lines, by label (fixed values).
+WHOLE = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. """ + AS_IS),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+the above copyright notice and this permission notice appear in all copies. The software is provided "as is" and the author disclaims all warranties
+with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special,
+direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract,
+negligence or other tortious action, arising out of or in connection with the use or performance of this software."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the
+copyright holders and contributors "as is" and any express or implied warranties, including, but not limited to, the implied warranties of
+merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct,
+indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss
+of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort
+(including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as
+being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We
+intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. """ + AS_IS),
+    ("apache-2", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""),
+]
 K, SLACK, COVERAGE, DENSITY = 3, 3, 0.6, 0.5
 
 
@@ -80,7 +122,7 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, k: int
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
     rolled = keyed.select("doc_id", "text_key", F.posexplode(_grams(F.col("words"), k)).alias("pos", "gram"))
     hits = (rolled.select("doc_id", "text_key", "pos", F.col("gram.key").alias("key"), F.col("gram.proof").alias("proof"))
-            .join(F.broadcast(index), ["key", "proof"])  # the list above: a few hundred rows
+            .join(F.broadcast(index), ["key", "proof"])  # the lists above: about a thousand rows
             .withColumn("diagonal", F.col("pos") - F.col("at")))
     one = ["doc_id", "text_key", "template", "label", "grams"]
     votes = hits.groupBy(*one, "diagonal", "pos", "at").agg(F.lit(1).alias("vote"))  # repeated rows vote once
@@ -122,7 +164,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text_key", "n_words", F.size(every).cast("long").alias("n_base"),
                        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
                        F.array_sort(F.array_distinct(base)).alias("base"))
-    voted = spans(docs).groupBy("doc_id", "text_key").agg(  # labels: as many as there are templates at most
+    voted = spans(docs, TEMPLATES + WHOLE).groupBy("doc_id", "text_key").agg(  # labels: as many as there are templates at most
         F.collect_set("label").alias("voted"), F.max(F.col("coverage") * F.col("density")).alias("best"))
     voted = voted.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
     both = rows.join(voted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left")

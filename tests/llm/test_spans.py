@@ -179,3 +179,50 @@ def test_native_operators_run_no_python(spark):
     for rows in (licenses.labelled(docs), secrets.findings(docs)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def diagonal_labels(text):
+    """The voting in plain loops, over words instead of hashes."""
+    word = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s))
+    grams = lambda w: [tuple(w[i:i + licenses.K]) for i in range(len(w) - licenses.K + 1)]
+    own, labels, best = grams(word(text)), set(), 0.0
+    places = {}
+    for p, g in enumerate(own):
+        places.setdefault(g, []).append(p)
+    for label, template in licenses.TEMPLATES + licenses.WHOLE:
+        told = grams(word(template))
+        votes = sorted((p - t, p) for t, g in enumerate(told) for p in places.get(g, ()))
+        line = []
+        for i, vote in enumerate(votes):
+            line.append(vote)
+            if i + 1 == len(votes) or votes[i + 1][0] - vote[0] > licenses.SLACK:
+                low, high = min(p for _, p in line), max(p for _, p in line)
+                coverage, density = min(1.0, len(line) / len(told)), min(1.0, len(line) / (high - low + 1))
+                if coverage >= licenses.COVERAGE and density >= licenses.DENSITY:
+                    labels.add(label)
+                    best = max(best, coverage * density)
+                line = []
+    return labels, best
+
+
+def test_diagonals_against_plain_voting(spark):
+    """Whole licences with words put in, left out and changed, inside other text, and all documents."""
+    draw, texts = random.Random(8), [r["text"] for r in table("documents", "sf0.01")]
+    for label, whole in licenses.WHOLE:
+        for rate in (0.0, 0.03, 0.1, 0.3):
+            edited = []
+            for w in whole.split():
+                edited += [] if (x := draw.random()) < rate / 3 else ["other"] if x < rate * 2 / 3 else [w, "more"] if x < rate else [w]
+            texts.append("Some words before. " + " ".join(edited) + " and behind " + draw.choice(licenses.TEMPLATES)[1])
+        texts += [" ".join(whole.split()[:len(whole.split()) // 3]), whole.upper() + " " + whole]
+    rows = licenses.labelled(frame(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        labels, best = diagonal_labels(texts[r["doc_id"] - 1] or "")
+        assert set(filter(None, r["labels"].split(","))) == labels | set(filter(None, r["base_labels"].split(","))), texts[r["doc_id"] - 1][:300]
+        assert math.isclose(r["score"], 1.0 if r["n_base"] else best, abs_tol=1e-9)
+
+
+def test_a_whole_licence_gets_its_own_label(spark):
+    rows = licenses.labelled(frame(spark, [whole for _, whole in licenses.WHOLE])).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == [label for label, _ in licenses.WHOLE]
