@@ -43,6 +43,12 @@ def readiness(ready: str, priority: str) -> str:
             "ELSE 'Standard handoff readiness' END")
 
 
+def let(value: str, body: str) -> str:
+    """body, in which x stands for value: however often it names x, value is written once, so that steps on steps stay as long as
+    their sum when the optimizer merges them into one expression."""
+    return f"get(transform(array({value}), x -> {body}), 0)"
+
+
 #: A model's answer, step by step: without its code fence, the outermost brackets' slice, without trailing commas.
 UNFENCED = ["CASE WHEN contains({x}, '```json') THEN substr({x}, instr({x}, '```json') + 7) ELSE {x} END", "CASE WHEN contains({x}, '```') THEN substr({x}, 1, instr({x}, '```') - 1) ELSE {x} END", "trim({x})"]
 FIRST_BRACKET = "least(CASE WHEN contains({x}, '{{') THEN instr({x}, '{{') ELSE 1000000000 END, CASE WHEN contains({x}, '[') THEN instr({x}, '[') ELSE 1000000000 END)"

@@ -95,10 +95,10 @@ _PARSED_SQL = (f"(SELECT *, coalesce(CASE WHEN json_valid(x3) THEN x3 END, CASE
 
 def answered(spark, d):
     """Model answers with the JSON that they hold, or null: as it is, the outermost brackets, or either without trailing commas."""
-    rows = lens.demands(spark, d).select("demand_id", "label", F.expr(_SAID).alias("x"))
+    said = _SAID
     for e in records.UNFENCED:
-        rows = rows.withColumn("x", F.expr(e.format(x="x")))
-    return files.with_json(rows, "x", "body")
+        said = records.let(said, e.format(x="x"))
+    return files.with_json(lens.demands(spark, d).select("demand_id", "label", F.expr(said).alias("x")), "x", "body")
 
 
 @query("tolerant_json", with_demand(f"SELECT demand_id, body IS NOT NULL AS parsed, CAST(coalesce(body->>'$.demand_configs[0].priority', body->>'$.priority_labels[0].priority') AS INT) AS first_priority FROM {_PARSED_SQL}"))
@@ -112,8 +112,9 @@ def tolerant_json(spark, d):
 def model_rows(spark, d):
     """A model's rows under any of their keys, with ids trimmed, priorities from 1 to 4 and ranks by place where none is given."""
     kind = "array<struct<demand_id:string,priority:string,window_rank:string>>"
-    lists = F.coalesce(*(F.from_json(F.get_json_object("body", f"$.{k}"), kind) for k in records.ROW_KEYS))
-    rows = answered(spark, d).filter("body IS NOT NULL").select("demand_id", F.posexplode(lists).alias("i", "row"))
+    lists = records.let("body", f"coalesce({', '.join(f"from_json(get_json_object(x, '$.{k}'), '{kind}')" for k in records.ROW_KEYS)})")
+    # the outer form, so that the optimizer makes no filters that read the answer's JSON again
+    rows = answered(spark, d).select("demand_id", F.posexplode_outer(F.expr(lists)).alias("i", "row")).filter("i IS NOT NULL")
     return rows.select("demand_id", F.trim("row.demand_id").alias("row_id"), F.greatest(F.lit(1), F.least(F.lit(4), F.coalesce(F.col("row.priority").try_cast("int"), F.lit(4)))).alias("priority"),
                        F.coalesce(F.col("row.window_rank").try_cast("int"), F.col("i") + 1).alias("window_rank"))
 

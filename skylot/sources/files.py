@@ -56,14 +56,17 @@ def latest_run(spark: SparkSession, pattern: str, schema: StructType) -> DataFra
     return rows.join(F.broadcast(last), "run", "left_semi")  # last is one row
 
 
+#: A comma before a closing bracket.
+TRAILING = r",\s*([}\]])"
+
+
 def with_json(rows: DataFrame, said: str, name: str) -> DataFrame:
     """rows with the JSON text in a column said, without code fences: as it is, from its first bracket to its last, or either
     without trailing commas; null if none of them is JSON."""
-    from skylot.functions.records import SLICED
+    from skylot.functions.records import SLICED, let
 
-    rows = rows.withColumn("_slice", F.expr(SLICED.format(x=said)))
-    forms = [F.col(said), F.col("_slice"), *(F.regexp_replace(c, r",\s*([}\]])", "$1") for c in (said, "_slice"))]
-    return rows.withColumn(name, F.coalesce(*(F.when(F.try_parse_json(f).isNotNull(), f) for f in forms))).drop("_slice")
+    forms = let(f"struct(x AS whole, {SLICED.format(x='x')} AS slice)", rf"array(x.whole, x.slice, regexp_replace(x.whole, r'{TRAILING}', '$1'), regexp_replace(x.slice, r'{TRAILING}', '$1'))")
+    return rows.withColumn(name, F.expr(let(said, f"get(filter({forms}, f -> try_parse_json(f) IS NOT NULL), 0)")))
 
 
 def numbered(lines: DataFrame, log: str, order: str) -> DataFrame:

@@ -125,3 +125,10 @@ def test_weight_files_and_per_demand_results(spark, tmp_path):
     assert [(r["time_window"], r["v"]) for r in files.weight_files(spark, str(tmp_path), schema).collect()] == [("w", 2)]
     results = spark.createDataFrame([("w", [("d", True)])], "time_window string, per_demand_results array<struct<demand_id:string,is_served:boolean>>")
     assert tuple(files.per_demand_results(results).first()) == ("w", "d", True)
+
+
+def test_plans_over_model_answers_stay_short(spark):
+    from skylot.plans import records as plans
+
+    for rows in (plans.answered(spark, "/root/testdata/sf0.001").filter("body IS NOT NULL"), plans.model_rows(spark, "/root/testdata/sf0.001")):
+        assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 100_000  # 2,814,772 characters where each step repeated the one before
