@@ -87,3 +87,24 @@ def test_noise_counts_each_home_once(spark):
     points = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 0.0), (1, 1, 1, 10.0, 0.0, 0.0), (2, 0, 1, 5000.0, 0.0, 0.0)], "flight_id int, seq int, n int, x double, y double, z double")
     homes = spark.createDataFrame([(7, 5.0, 3.0, 0.0), (8, 300.0, 0.0, 0.0), (9, -8.0, -1.0, 4.0)], "residence_id int, x double, y double, z double")
     assert [tuple(r) for r in spatial.noise_impact(points, homes, 120.0).collect()] == [(1, 2)]
+
+
+def test_hearers_are_those_of_all_way_points(spark):
+    rng = random.Random(9)
+    place = lambda: [rng.uniform(-2500, 2500), rng.uniform(-2500, 2500), rng.uniform(20, 60)]
+    flights = spark.createDataFrame([(i, *place(), *place()) for i in range(40)] + [(90, 5.0, 5.0, 5.0, 5.0, 5.0, 5.0)], "flight_id int, ax double, ay double, az double, bx double, by double, bz double")
+    homes = spark.createDataFrame([(i, *place()) for i in range(1500)] + [(9000, 5.0, 6.0, 5.0)], "residence_id int, x double, y double, z double")
+    for height in (120.0, 20.0):
+        want = spatial.noise_impact(spatial.way_points(flights, 50.0), homes, height).collect()
+        assert sorted(map(tuple, spatial.hearers(flights, homes, 50.0, height).collect())) == sorted(map(tuple, want)) and len(want) > 9
+
+
+def test_a_segment_is_sent_once(spark):
+    flights = spark.createDataFrame([(i, 0.0, 0.0, 100.0, 900.0 * i, 700.0, 30.0) for i in range(1, 9)], "flight_id int, ax double, ay double, az double, bx double, by double, bz double")
+    obstacles = spark.createDataFrame([(i, 400.0 * i, 90.0 * i, 50.0, 99.0) for i in range(20)], "obstacle_id int, x double, y double, z double, radius double")
+    parts = spatial.segments(flights, 500.0)
+    want = sorted(map(tuple, spatial.blocked(parts, obstacles, 250.0, 100.0).collect()))
+    found = spatial.blocked(parts, obstacles, 250.0, 100.0, 500.0)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 20
+    pairs = spatial.nearby(parts, obstacles, 250.0, 100.0, 500.0)
+    assert pairs.select("flight_id", "seq", "cx", "cy").distinct().count() == pairs.select("flight_id", "seq").distinct().count()
