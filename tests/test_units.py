@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,26 @@ def test_fronts_that_do_not_shrink(spark):
     rows = [(i, float(i), float(400 - i)) for i in range(400)] + [(500, 200.0, 201.0)]
     found = pareto.frontier(spark.createDataFrame(rows, "i int, a double, b double").repartition(40), ("a", "b"))
     assert sorted(r["i"] for r in found.collect()) == list(range(400))
+
+
+def test_places_within_a_distance_against_all_pairs(spark):
+    from skylot.functions.scalars import haversine_m
+    spot = lambda i, a, b: (i, 113.8 + i * a % 997 / 997 * 0.06, 22.4 + i * b % 991 / 991 * 0.06)
+    s = spark.createDataFrame([spot(i, 71, 113) for i in range(700)], "site_id int, lon double, lat double")
+    t = spark.createDataFrame([spot(i, 37, 59) for i in range(90)], "station_id int, lon_t double, lat_t double")
+    for metres, parts in ((2000.0, 2), (1000.0, 4)):
+        cm = F.floor(haversine_m(F.col("lon_t"), F.col("lat_t"), F.col("lon"), F.col("lat")) * 100 + 0.5)
+        want = s.crossJoin(t).filter(cm <= metres * 100).select("site_id", "station_id").collect()
+        assert sorted(map(tuple, space.within(s, t, metres, parts).select("site_id", "station_id").collect())) == sorted(map(tuple, want)) and len(want) > 500
+
+
+def test_pairs_of_a_radius_are_counted_where_they_are_made(spark):
+    plan = space.radius_impact(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[station_id" in plan and not any("station_id" in k and "site_id" in k for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+
+
+def test_of_stations_at_one_place_the_first_is_nearest(spark):
+    s = spark.createDataFrame([(i, 113.8 + i * 0.01, 22.4) for i in range(30)], "site_id int, lon double, lat double")
+    t = spark.createDataFrame([(i, 113.8 + i % 5 * 0.05, 22.4) for i in range(50)], "station_id int, lon_t double, lat_t double")
+    found = {r["site_id"]: (r["station_id"], r["cm"]) for r in space.nearest(s, t).collect()}
+    assert len(found) == 30 and {i: found[i] for i in (0, 5, 20)} == {0: (0, 0), 5: (1, 0), 20: (4, 0)} and found[29][0] == 4
