@@ -1,7 +1,8 @@
 """The audit of ranking data: what is wrong with each window, how often, and the first examples of each fault.
 
 Windows come as JSON texts, whose fields may be of any kind, and are read as variants. All faults of a window are found by
-array functions over its own lists, in one pass over the rows. Counts and examples are combined in each task before anything
+functions over its own lists, in one pass over the rows and in time and memory that grow with the lists: that all pairs of a window are there
+is known by their number, unless it is right. Counts and examples are combined in each task before anything
 moves: a task sends at most `limit` examples of a fault.
 """
 
@@ -71,42 +72,63 @@ def windows(rows: DataFrame) -> DataFrame:
                         F.transform("pairwise_preferences", pair).alias("pairs"), F.transform("critical_topk_targets", lambda t: F.coalesce(t.try_cast("string"), F.lit("None"))).alias("targets"))
 
 
+LOOK = "named array<string>, urgent array<string>, high array<struct<known: boolean, priority: int>>, low array<struct<known: boolean, priority: int>>, unknown array<string>"
+
+
+def _looked_up(urgent: int):
+    """Of a window's lists: the ids that labels name (the last label of an id counts), the urgent ones of them, what is known of each
+    pair's ends, and the targets that no demand is. Arrays know no lookup that doesn't read them whole."""
+
+    @F.udf(LOOK, useArrow=True)
+    def look(ids, labels, priorities, high, low, targets):
+        if ids is None or labels is None:
+            return None
+        known, of = set(ids), {i: int(p) for i, p in zip(labels, priorities, strict=True) if i != ""}
+        ends = lambda names: None if names is None else [{"known": n in known, "priority": of.get(n)} for n in names]
+        return {"named": list(of), "urgent": [i for i, p in of.items() if p <= urgent], "high": ends(high), "low": ends(low),
+                "unknown": None if targets is None else [t for t in targets if t not in known]}
+
+    return look
+
+
 def faults(found: DataFrame, urgent: int = 2) -> DataFrame:
     """windows() -> (issue, n, source, line, example), one row a window and fault that it has; example: the first of its kind
     in the window."""
     c = F.col
     found = found.withColumn("ids", F.transform(F.filter("demands", lambda d: d["fine"] & (d["id"] != "")), lambda d: d["id"]))
-    # the last label of an id counts
-    found = found.withColumn("map", F.map_from_entries(F.transform(F.filter(F.transform("labels", lambda r, i: F.struct(r["id"].alias("id"), r["priority"].alias("priority"), i.alias("i"))), lambda r: (r["id"] != "") & ~F.exists(
-        F.transform("labels", lambda s, j: F.struct(s["id"].alias("id"), j.alias("j"))), lambda s: (s["id"] == r["id"]) & (s["j"] > r["i"]))), lambda r: F.struct(r["id"], r["priority"]))))
-    known = lambda i: F.array_contains("ids", i)
-    of = lambda p, side: F.element_at("map", p[side])
-    judged = F.filter("pairs", lambda p: known(p["high"]) & known(p["low"]) & of(p, "high").isNotNull() & of(p, "low").isNotNull())
+    found = found.withColumn("look", _looked_up(urgent)("ids", F.transform("labels", lambda r: r["id"]), F.transform("labels", lambda r: r["priority"]), F.transform("pairs", lambda p: p["high"]), F.transform("pairs", lambda p: p["low"]), "targets"))
+    found = found.withColumns({"high": c("look.high"), "low": c("look.low")}).withColumn("seen", F.arrays_zip("pairs", "high", "low"))
+    both_known = lambda s: s["high"]["known"] & s["low"]["known"]
+    judged = F.filter("seen", lambda s: both_known(s) & s["high"]["priority"].isNotNull() & s["low"]["priority"].isNotNull())
     ranks = F.transform(F.filter("labels", lambda r: r["rank"].isNotNull()), lambda r: r["rank"])
-    urgent_ids = F.array_sort(F.map_keys(F.map_filter("map", lambda _, p: p <= urgent)))
+    named, urgent_ids = F.array_sort("look.named"), F.array_sort("look.urgent")
     by_rank = F.transform(F.array_sort(F.transform("demands", lambda d: F.struct(d["priority"].alias("priority"), (-d["score"]).alias("s"), d["id"].alias("id")))), lambda d, i: F.struct(d["id"].alias("id"), d["priority"].alias("priority"), (i + 1).alias("rank")))
     found = found.withColumn("want", by_rank)
+    # in the order of want priorities rise, so runs of equal ones tell how many pairs differ
+    runs = F.aggregate("want", F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("alike")), lambda a, w: F.struct(
+        w["priority"].alias("p"), F.when(w["priority"] == a["p"], a["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), F.when(w["priority"] == a["p"], a["alike"] + a["run"]).otherwise(a["alike"]).alias("alike")), lambda a: a["alike"])
+    found = found.withColumn("n_mixed", F.size("want").cast("long") * (F.size("want") - 1) / 2 - runs).withColumn("n_mixed", c("n_mixed").cast("long"))
     mixed = F.transform("want", lambda h: F.transform(F.filter("want", lambda w: (w["rank"] > h["rank"]) & (w["priority"] != h["priority"])), lambda w: F.struct(h["id"].alias("high"), w["id"].alias("low"), (w["priority"] - h["priority"]).alias("gap"))))
     whole = F.forall("demands", lambda d: d["fine"])
     both = c("demands").isNotNull() & c("labels").isNotNull()
     one = lambda test, example: F.when(test, F.array(example.cast("string"))).otherwise(F.array().cast("array<string>"))
     told = lambda rows, test, say: F.transform(F.filter(rows, test), say)
     joined = lambda a: F.array_join(a, ",")
-    pair_text = lambda p: F.concat_ws(">", p["high"], p["low"], p["gap"].cast("string"))
+    seen_text = lambda s: F.concat_ws(">", s["pairs"]["high"], s["pairs"]["low"], s["pairs"]["gap"].cast("string"))
     lists = {
         "demands_not_list": one(c("demands").isNull(), c("time_window")), "priority_labels_not_list": one(c("demands").isNotNull() & c("labels").isNull(), c("time_window")),
         "pairwise_preferences_not_list": one(both & c("pairs").isNull(), c("time_window")), "critical_topk_targets_not_list": one(both & c("targets").isNull(), c("time_window")),
         "demand_not_dict": F.filter(F.transform("demands", lambda d, i: F.when(~d["fine"], i.cast("string"))), lambda x: x.isNotNull()),
         "missing_demand_id": F.filter(F.transform("demands", lambda d, i: F.when(d["fine"] & (d["id"] == ""), i.cast("string"))), lambda x: x.isNotNull()),
         "duplicate_demand_id": one(F.size("ids") != F.size(F.array_distinct("ids")), joined("ids")),
-        "priority_label_id_set_mismatch": one(F.array_sort(F.array_distinct("ids")) != F.array_sort(F.map_keys("map")), F.concat(joined(F.array_sort(F.array_except("ids", F.map_keys("map")))), F.lit("|"), joined(F.array_sort(F.array_except(F.map_keys("map"), "ids"))))),
+        "priority_label_id_set_mismatch": one(F.array_sort(F.array_distinct("ids")) != named, F.concat(joined(F.array_sort(F.array_except("ids", named))), F.lit("|"), joined(F.array_except(named, "ids")))),
         "invalid_priority_value": told("labels", lambda r: ~r["fine"], lambda r: r["id"]), "invalid_window_rank": told("labels", lambda r: r["rank"].isNull(), lambda r: r["id"]),
         "window_ranks_not_contiguous": one((F.size(ranks) > 0) & (F.array_sort(ranks) != F.sequence(F.lit(1), F.greatest(F.size("labels"), F.lit(1)))), joined(F.transform(F.array_sort(ranks), lambda x: x.cast("string")))),
-        "pairwise_unknown_demand_id": told("pairs", lambda p: ~known(p["high"]) | ~known(p["low"]), pair_text), "pairwise_priority_conflict": F.transform(F.filter(judged, lambda p: of(p, "high") >= of(p, "low")), pair_text),
-        "pairwise_gap_mismatch": F.transform(F.filter(judged, lambda p: p["gap"].isNotNull() & (p["gap"] != of(p, "low") - of(p, "high"))), pair_text),
-        "topk_unknown_demand_id": F.filter("targets", lambda t: ~known(t)), "topk_mismatch_vs_priority_labels": one(F.array_sort("targets") != urgent_ids, joined(F.array_sort("targets"))),
+        "pairwise_unknown_demand_id": told("seen", lambda s: ~both_known(s), seen_text), "pairwise_priority_conflict": F.transform(F.filter(judged, lambda s: s["high"]["priority"] >= s["low"]["priority"]), seen_text),
+        "pairwise_gap_mismatch": F.transform(F.filter(judged, lambda s: s["pairs"]["gap"].isNotNull() & (s["pairs"]["gap"] != s["low"]["priority"] - s["high"]["priority"])), seen_text),
+        "topk_unknown_demand_id": c("look.unknown"), "topk_mismatch_vs_priority_labels": one(F.array_sort("targets") != urgent_ids, joined(F.array_sort("targets"))),
         "priority_labels_mismatch_vs_demands": one(whole & (F.transform("labels", lambda r: F.struct(r["id"].alias("id"), r["priority"].alias("priority"), r["rank"].alias("rank"))) != c("want")), joined(F.transform(F.slice("want", 1, 3), lambda w: w["id"]))),
-        "pairwise_mismatch_vs_demands": one(whole & (c("pairs") != F.flatten(mixed)), F.concat_ws(":", F.size("pairs").cast("string"), F.size(F.flatten(mixed)).cast("string"))),
+        "pairwise_mismatch_vs_demands": one(whole & c("pairs").isNotNull() & F.when(F.size("pairs") != c("n_mixed"), True).otherwise(c("pairs") != F.flatten(mixed)), F.concat_ws(":", F.size("pairs").cast("string"), c("n_mixed").cast("string"))),
         "topk_mismatch_vs_demands": one(whole & (c("targets") != F.transform(F.filter("want", lambda w: w["priority"] <= urgent), lambda w: w["id"])), joined("targets")),
         "failed_to_recompute_targets": one(~whole, c("time_window"))}
     first = {"demands_not_list", "priority_labels_not_list"}

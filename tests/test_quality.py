@@ -118,3 +118,17 @@ def test_sound_windows_have_no_faults(spark):
     lines = [("s", i, window(random.Random(i), False)) for i in range(40)]
     assert quality.audited(spark.createDataFrame(lines, "source string, line long, value string")).count() == 0
     assert quality.audited(spark.createDataFrame([], "source string, line long, value string")).count() == 0
+
+
+def test_pairs_of_a_large_window_are_not_made(spark):
+    """3,000 demands have 4.5 million pairs, of which the window lists none: their number alone tells."""
+    import json
+
+    from skylot.operators import quality
+
+    demands = [{"demand_id": f"D{i}", "labels": {"extraction_observable_priority": 1 + i % 4, "extraction_observable_score": i}} for i in range(3000)]
+    labels = [{"demand_id": f"D{i}", "priority": 1 + i % 4, "window_rank": 1} for i in range(3000)]
+    text = json.dumps({"time_window": "w", "demands": demands, "priority_labels": labels, "pairwise_preferences": [], "critical_topk_targets": []})
+    rows = quality.faults(quality.windows(spark.createDataFrame([("a", 1, text)], "source string, line long, value string")))
+    found = {r["issue"]: r["example"] for r in rows.collect()}
+    assert found["pairwise_mismatch_vs_demands"] == f"0:{6 * 750 * 750}"
