@@ -54,8 +54,11 @@ def matched(said: DataFrame, dialogues: DataFrame, truth: DataFrame, slots: list
     wanted = known.join(asked.select("event_id").distinct(), "event_id")
     rows = said.withColumn("dialogue_id", _named("source_dialogue_id")).join(asked.withColumnRenamed("event_id", "_told"), "dialogue_id", "left")
     rows = rows.withColumn("event_id", F.coalesce(_named("source_event_id"), "_told")).drop("_told")
-    first = rows.filter("event_id IS NOT NULL").groupBy("event_id").agg(F.min("place").alias("_first"))
-    rows = rows.join(wanted.withColumn("_wanted", F.lit(True)), "event_id", "left").join(first, "event_id", "left")
+    # rows without an event meet nothing, and would all go to one task
+    rows = rows.withColumn("_spread", F.when(F.col("event_id").isNull(), F.xxhash64("place")).otherwise(F.pmod(F.length("event_id"), F.lit(1)).cast("long")))
+    first = rows.filter("event_id IS NOT NULL").groupBy("event_id", "_spread").agg(F.min("place").alias("_first"))
+    marked = wanted.withColumns({"_wanted": F.lit(True), "_spread": F.pmod(F.length("event_id"), F.lit(1)).cast("long")})
+    rows = rows.join(marked, ["event_id", "_spread"], "left").join(first, ["event_id", "_spread"], "left")
     kind = F.when(F.col("event_id").isNull(), "unresolved").when(F.col("_wanted").isNull(), "out_of_scope").when(F.col("place") == F.col("_first"), "tp").otherwise("duplicate")
     same = lambda c: F.trim(F.col(c).cast("string")) == F.trim(F.col(f"true_{c}").cast("string"))
     hit = {"origin": same("origin"), "destination": same("destination"), "weight": F.abs(F.col("weight") - F.col("true_weight")) <= tolerance}

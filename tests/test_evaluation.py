@@ -118,3 +118,19 @@ def test_edits_apply_where_they_change_something(spark):
     one = found[1, "deadline15"]
     assert (one["deadline"], one["hard"], one["role"], one["handling"], one["destination"]) == (15, True, "consumer", None, "office")
     assert found[1, "vulnerable"]["elderly"] and found[1, "cold_chain"]["handling"] == "cold_chain" and found[1, "not_ready"]["ready"] is False
+
+
+def test_extractions_without_an_event_are_spread(spark):
+    """All that the joins by event shuffle goes by a second key too, by which rows without an event part."""
+    import re
+
+    from skylot.plans import evaluation as plans
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.event_extraction(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [x for x in re.findall(r"SortMergeJoin \[([^\]]*)\][^\n]*LeftOuter", plan) if "event_id" in x]
+    assert len(joins) == 2 and all("_spread" in x for x in joins)
