@@ -191,10 +191,7 @@ def subtype_split(spark, d):
 
 @query("near_tie_pairs", with_demand("SELECT a.label, a.demand_id AS a, b.demand_id AS b, abs(a.score - b.score) AS gap FROM v_demand a JOIN v_demand b ON a.label = b.label AND a.demand_id < b.demand_id AND a.priority <> b.priority AND abs(a.score - b.score) <= 6", 60))
 def near_tie_pairs(spark, d):
-    rows = lens.demands(spark, d, 60).select("label", "demand_id", "score", "priority")
-    other = rows.withColumnsRenamed({"demand_id": "b", "score": "score_b", "priority": "priority_b"})
-    gap = F.abs(F.col("score") - F.col("score_b"))
-    return rows.join(other, "label").filter((F.col("demand_id") < F.col("b")) & (F.col("priority") != F.col("priority_b")) & (gap <= 6)).select("label", F.col("demand_id").alias("a"), "b", gap.alias("gap"))
+    return ranking.near_ties(lens.demands(spark, d, 60), ["label"], 6)
 
 
 @query("merge_policy", with_demand("""SELECT label, demand_id, rule_priority, llm_priority, merged, blended, CAST(row_number() OVER (PARTITION BY label ORDER BY blended DESC, merged, demand_id) AS BIGINT) AS window_rank FROM (

@@ -96,6 +96,31 @@ def test_global_ranks_against_one_sort(spark):
     assert [(r["i"], r["v"]) for r in sorted(out, key=lambda r: r["place"])] == sorted(rows, key=lambda r: (-r[1], r[0]))
 
 
+def crowd(seed):
+    draw = random.Random(seed)
+    some = lambda v: None if draw.random() < 0.05 else v
+    return [(some(draw.choice("aaab")), some(draw.randint(0, 150)), some(draw.randint(1, 4)), some(draw.randint(-40, 40))) for _ in range(200)]
+
+
+DEMANDS = "label string, demand_id long, priority int, score int"
+
+
+@pytest.mark.parametrize("block", [9, 2048])
+def test_pairs_of_a_window_against_a_loop(spark, block):
+    rows, known = crowd(block), lambda *x: None not in x
+    df = spark.createDataFrame(rows, DEMANDS)
+    pairs = [(a, b) for a in rows for b in rows if known(a[0], a[2], b[2]) and a[0] == b[0]]
+    ties = [(a[0], a[1], b[1], abs(a[3] - b[3])) for a, b in pairs if known(a[1], b[1], a[3], b[3]) and a[1] < b[1] and a[2] != b[2] and abs(a[3] - b[3]) <= 6]
+    assert sorted(map(tuple, ranking.near_ties(df, ["label"], 6, block).collect())) == sorted(ties)
+
+
+@pytest.mark.parametrize("pairs", [lambda df: ranking.near_ties(df, ["label"], 6, 50)])
+def test_pairs_of_one_window_go_to_several_tasks(spark, pairs):
+    df = spark.createDataFrame([("w", i, i % 4 + 1, i * 7919 % 100) for i in range(2000)], DEMANDS)
+    shares = [r["count"] for r in pairs(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and max(shares) < 0.5 * sum(shares)
+
+
 def test_tolerant_json_of_known_answers(spark):
     said = ['{"a": 1}', '```json\n[1, 2,]\n```', 'Look: {"a": [1,],} and so on', "nothing", "", "[broken"]
     rows = files.with_json(spark.createDataFrame([(x,) for x in said[:1] + ["[1, 2,]"] + said[2:]], "x string"), "x", "body").collect()
