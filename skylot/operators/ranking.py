@@ -64,12 +64,18 @@ def paired(rows: DataFrame, keys: list[str], cell: list[str], meets: Column, blo
     return first.join(second, at).drop("_i", "_j")
 
 
-def preferences(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of one window whose priorities differ: (keys, higher_id, lower_id, gap). The window's
-    equality makes it a hash join with a condition, never a product of all rows."""
-    high = rows.select(*keys, F.col("demand_id").alias("higher_id"), F.col("priority").alias("_p"))
-    low = rows.select(*keys, F.col("demand_id").alias("lower_id"), F.col("priority").alias("_q"))
-    return high.join(low, keys).filter("_p < _q").select(*keys, "higher_id", "lower_id", (F.col("_q") - F.col("_p")).alias("gap"))
+def preferences(rows: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Pairs of one window whose priorities differ: (keys, higher_id, lower_id, gap)."""
+    pairs = paired(rows.select(*keys, "demand_id", "priority"), keys, ["priority"], F.col("priority") < F.col("priority_b"), block)
+    return pairs.select(*keys, F.col("demand_id").alias("higher_id"), F.col("demand_id_b").alias("lower_id"), (F.col("priority_b") - F.col("priority")).alias("gap"))
+
+
+def preference_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Number and mean gap of those pairs (keys, n_pairs, avg_gap), from the rows that a window has of each priority."""
+    rows = staged(rows.select(*keys, "priority"), "priorities")
+    met = cells_met(rows, keys, ["priority"], F.col("priority") < F.col("priority_b")).withColumn("_n", F.col("n") * F.col("n_b"))
+    gaps = F.sum(F.col("_n") * (F.col("priority_b") - F.col("priority")))
+    return met.groupBy(*keys).agg(F.sum("_n").alias("n_pairs"), (gaps.cast("double") / F.sum("_n")).alias("avg_gap"))
 
 
 def near_ties(rows: DataFrame, keys: list[str], most: int, block: int = BLOCK) -> DataFrame:

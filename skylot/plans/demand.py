@@ -102,7 +102,7 @@ def pairwise_prefs(spark, d):
 
 @query("pref_counts", with_demand(f"SELECT a.label, count(*) AS n_pairs, {q('avg(b.priority - a.priority)')} AS avg_gap FROM v_demand a JOIN v_demand b ON a.label = b.label AND a.priority < b.priority GROUP BY a.label"))
 def pref_counts(spark, d):
-    return ranking.preferences(lens.demands(spark, d), ["label"]).groupBy("label").agg(F.count(F.lit(1)).alias("n_pairs"), q6(F.avg("gap")).alias("avg_gap"))
+    return ranking.preference_counts(lens.demands(spark, d), ["label"]).withColumn("avg_gap", q6(F.col("avg_gap")))
 
 
 @query("urgent_topk_targets", with_demand("""SELECT label, string_agg(CAST(demand_id AS VARCHAR), ',' ORDER BY place) AS ids FROM (

@@ -110,17 +110,27 @@ def test_pairs_of_a_window_against_a_loop(spark, block):
     rows, known = crowd(block), lambda *x: None not in x
     df = spark.createDataFrame(rows, DEMANDS)
     pairs = [(a, b) for a in rows for b in rows if known(a[0], a[2], b[2]) and a[0] == b[0]]
+    key = lambda r: tuple((x is None, x) for x in r)
+    prefs = [(a[0], a[1], b[1], b[2] - a[2]) for a, b in pairs if a[2] < b[2]]
+    assert sorted(map(tuple, ranking.preferences(df, ["label"], block).collect()), key=key) == sorted(prefs, key=key)
+    counts = {r["label"]: (r["n_pairs"], r["avg_gap"]) for r in ranking.preference_counts(df, ["label"]).collect()}
+    assert counts == {w: (len(g), sum(g) / len(g)) for w in "ab" for g in [[p[3] for p in prefs if p[0] == w]]}
     ties = [(a[0], a[1], b[1], abs(a[3] - b[3])) for a, b in pairs if known(a[1], b[1], a[3], b[3]) and a[1] < b[1] and a[2] != b[2] and abs(a[3] - b[3]) <= 6]
     assert sorted(map(tuple, ranking.near_ties(df, ["label"], 6, block).collect())) == sorted(ties)
 
 
-@pytest.mark.parametrize("pairs", [lambda df: ranking.near_ties(df, ["label"], 6, 50)])
+@pytest.mark.parametrize("pairs", [lambda df: ranking.preferences(df, ["label"], 50), lambda df: ranking.near_ties(df, ["label"], 6, 50)])
 def test_pairs_of_one_window_go_to_several_tasks(spark, pairs):
     df = spark.createDataFrame([("w", i, i % 4 + 1, i * 7919 % 100) for i in range(2000)], DEMANDS)
     shares = [r["count"] for r in pairs(df).groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) == 4 and max(shares) < 0.5 * sum(shares)
 
 
+def test_preferences_of_a_large_window_are_counted_without_pairs(spark):
+    df = spark.range(2_000_000).select(F.lit("w").alias("label"), (F.col("id") % 4 + 1).cast("int").alias("priority"))
+    assert tuple(ranking.preference_counts(df, ["label"]).first()) == ("w", 6 * 500_000 ** 2, 10 / 6)
+
+
 def test_tolerant_json_of_known_answers(spark):
     said = ['{"a": 1}', '```json\n[1, 2,]\n```', 'Look: {"a": [1,],} and so on', "nothing", "", "[broken"]
     rows = files.with_json(spark.createDataFrame([(x,) for x in said[:1] + ["[1, 2,]"] + said[2:]], "x string"), "x", "body").collect()
