@@ -235,3 +235,40 @@ def near(flights: DataFrame, obstacles: DataFrame, step: float, cell: float, mar
     reach = _reach(cell, margin, step)
     placed = _tiled(obstacles, lambda a: F.floor(F.col(a) / cell) - (reach - 1), lambda a: F.floor(F.col(a) / cell))
     return _met(flights, placed, step, cell, margin, found, "seq int, n_near long, n_blocking long, clearance double")
+
+
+def blocking(flights: DataFrame, obstacles: DataFrame, step: float, cell: float) -> DataFrame:
+    """(flight_id, blocked): how many segments of a flight, at most `step` long, have an obstacle whose clearance is less than its
+    radius, wherever it stands. Each flight once, 0 or no row where it is free. The widest obstacles are looked at first, and of a segment no more than one that blocks it."""
+
+    def found(runs: pa.Table, rows: pa.Table) -> pa.Table:
+        first = runs.column("first").to_numpy()
+        row, _, a, b = _cut(runs, first, runs.column("last").to_numpy() - first + 1)
+        place, radius, hit = np.array([rows.column(x).to_numpy() for x in AXES]), rows.column("radius").to_numpy(), np.zeros(len(row), bool)
+        order = np.argsort(-radius, kind="stable")
+        place, radius = place[:, order], radius[order]
+        squares, (low, high) = _Squares(len(radius)), (np.floor(e[:2] / cell).astype(np.int64) for e in (np.minimum(a, b), np.maximum(a, b)))
+        for block, _, lows, highs in _blocks(low, high, len(radius)) if len(row) and len(radius) else ():
+            (x, y), (dx, dy) = (lows.min(axis=1) + highs.max(axis=1) + 1) * cell / 2, (highs.max(axis=1) - lows.min(axis=1) + 1) * cell / 2 + 1e-3
+            there = np.flatnonzero((np.abs(place[0] - x) < radius + dx) & (np.abs(place[1] - y) < radius + dy))
+            start, many = 0, 64
+            while len(block) and start < len(there):
+                few = there[start:start + many]
+                hit[block] = touched(a[:, block], b[:, block], place[:, few], radius[few], squares)
+                block, start, many = block[~hit[block]], start + many, many * 2
+        return pa.table({"flight_id": runs.column("flight_id").combine_chunks(), "blocked": np.bincount(row, weights=hit, minlength=runs.num_rows).astype(np.int64)})
+
+    def touched(a: np.ndarray, b: np.ndarray, place: np.ndarray, radius: np.ndarray, squares: _Squares) -> np.ndarray:
+        hit, bounds, close = np.zeros(a.shape[1], bool), _bounds(radius, squares.take(a, b, place)), []
+        for part in _parts(len(hit), len(radius)):
+            surely, maybe = squares.below(squares.of(part), *bounds)
+            hit[part] = surely.any(axis=1)
+            close.append(_true(np.not_equal(surely, maybe, out=maybe), part.start))
+        i, j = np.concatenate(close, axis=1)
+        i, j = i[~hit[i]], j[~hit[i]]
+        hit[i[_off(a[:, i], b[:, i], place[:, j]) < radius[j]]] = True
+        return hit
+
+    reach, out = _reach(cell, 0.0, step), F.col("radius") + 1e-3
+    placed = _tiled(obstacles.filter("radius > 0"), lambda a: F.floor((F.col(a) - out) / cell) - (reach - 1), lambda a: F.floor((F.col(a) + out) / cell))
+    return _met(flights, placed, step, cell, 0.0, found, "blocked long").groupBy("flight_id").agg(F.sum("blocked").alias("blocked"))

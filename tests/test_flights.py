@@ -132,3 +132,18 @@ def test_tiles_give_what_the_pairs_of_segments_and_obstacles_give(spark, monkeyp
 def test_segment_obstacles_makes_no_row_of_a_pair(spark):
     plan = plans.segment_obstacles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "[cx" not in plan
+
+
+def test_an_obstacle_wider_than_the_margin_blocks_from_beyond_it(spark, monkeypatch):
+    flights = spark.createDataFrame([(1, 0.0, 10.0, 50.0, 400.0, 10.0, 50.0), (2, 0.0, 10.0, 50.0, 900.0, 10.0, 50.0)], "flight_id int, ax double, ay double, az double, bx double, by double, bz double")
+    stood = spark.createDataFrame([(1, 200.0, 300.0, 50.0, 300.0), (2, 800.0, -290.0, 50.0, 300.0), (3, 800.0, 300.0, 50.0, 290.0)], "obstacle_id int, x double, y double, z double, radius double")
+    assert sorted(map(tuple, obstacles.blocking(flights, stood, 500.0, 250.0).collect())) == [(1, 1), (2, 1)]  # at 290 m only 1 blocks, 2 is as far as its radius
+    for span, tile, limit in ((900, 3, 7), (15000, 16, 500_000)):
+        flights, stood = _ground(spark, span, span)
+        monkeypatch.setattr(obstacles, "TILE", tile)
+        monkeypatch.setattr(obstacles, "LIMIT", limit)
+        parts = spatial.segments(flights.distinct(), 500.0).crossJoin(stood).withColumn("clearance", spatial.clearance())
+        hit = parts.groupBy("flight_id", "seq").agg(F.max(F.coalesce(F.col("clearance") < F.col("radius"), F.lit(False)).cast("long")).alias("hit"))
+        want = {r["flight_id"]: r["blocked"] for r in hit.groupBy("flight_id").agg(F.sum("hit").alias("blocked")).collect()}
+        got = {r["flight_id"]: r["blocked"] for r in obstacles.blocking(flights, stood, 500.0, 250.0).collect()}
+        assert {k: got.get(k, 0) for k in want} == want and sum(want.values()) > 9
